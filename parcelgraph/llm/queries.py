@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,59 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    said = "</s>[INST] ok [/INST]"
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], table.schema)
+    made = chat.format_conversations(table.unionByName(more))
+    turns = F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    return made.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted").select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: Characters that escaping adds to a text: see chat.escape.
+_ADDED = """(length({0}) - length(replace({0}, chr(92), ''))) + (length({0}) - length(replace(replace(replace(replace(replace({0}, '<s', ''), '</', ''), '<|', ''), '[I', ''), '[/', ''))) // 2
+ + (length({0}) - length(replace({0}, '<', '')) - len(regexp_extract_all({0}, '<+'))) + ends_with({0}, '<')::int + ends_with({0}, '[')::int"""
+
+OP2_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    7 + sum(16 + length(role) + length(text) + {_ADDED.format("text")} + {_ADDED.format("role")} + length(role) - length(replace(role, chr(10), ''))) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
+FROM c"""
+
+
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    made = shard_by_bytes(_table(spark, sf_dir, "documents"), shards=40, tolerance=0.005)
+    return made.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -28,9 +82,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op3_histogram_shards": op3_histogram_shards,
     "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
