@@ -173,3 +173,14 @@ class WordEncoder:
             return self._plain(text)
         parts = self.special.split(text)
         return b"".join(self._plain(p) if k % 2 == 0 else np.array([self.ids[p]], "<u4").tobytes() for k, p in enumerate(parts))
+
+
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """The encoder of this key that the worker process holds, made once for all of its tasks."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

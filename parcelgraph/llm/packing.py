@@ -24,8 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bpe, util
 
-_made: dict = {}
-
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) for each length, longest first, each into the first bin with room.
@@ -62,18 +60,16 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, en
     draw is a random number for dealing pieces into groups; it is drawn with the partition's
     number as seed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
-    key = tokenizer_file
+    spec = Path(tokenizer_file).read_text(encoding="utf-8")
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    key = ("encode", tokenizer_file, len(spec))
     longs = ["start", "length", "ids_crc32", "doc_tokens", "draw"]
     schema = T.StructType([util.field(docs, id_col), *(T.StructField(c, T.LongType()) for c in longs)])
     arrow = to_arrow_schema(schema)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        if key not in _made:
-            _made.clear()
-            _made[key] = bpe.WordEncoder(shared.value)
-        encode = _made[key]
+        encode = bpe.kept(key, lambda: bpe.WordEncoder(shared.value))
         draw = random.Random(TaskContext.get().partitionId()).getrandbits
         for batch in batches:
             row, out = [], []

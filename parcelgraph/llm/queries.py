@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -75,6 +80,44 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    held_out = _remainder(3) == 1
+    made = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out, shrinkage=0.001)
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_collision_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collisions import link_vectors
+
+    return link_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+OP5_SQL = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN low l ON l.a = e.vec_id"""
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    made = extract(_table(spark, sf_dir, "pages"))
+    return made.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -84,9 +127,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_quality": op4_quality,
+    "op5_collision_links": op5_collision_links,
+    "op6_main_text": op6_main_text,
     "op7_packing": op7_packing,
     "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_collision_links": OP5_SQL}

@@ -20,8 +20,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bpe, util
 
-_made: dict = {}
-
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of ``docs``.
@@ -33,15 +31,12 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
     shared = docs.sparkSession.sparkContext.broadcast((spec, bpe.whole_tokens(spec)))
-    key = hash((tokenizer_file, len(spec)))
+    key = ("count", tokenizer_file, len(spec))
     schema = T.StructType([util.field(docs, id_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        if key not in _made:
-            _made.clear()
-            _made[key] = bpe.ByteLevelCounter(*shared.value)
-        count = _made[key]
+        count = bpe.kept(key, lambda: bpe.ByteLevelCounter(*shared.value))
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(1):

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests in
-    local mode) a temporary folder takes its place, and the session remembers it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="parcelgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from parcelgraph.sources.shared import delete, shared_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -34,10 +22,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def words(text) -> F.Column:
