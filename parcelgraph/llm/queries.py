@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.75, width=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -131,6 +137,7 @@ QUERIES = {
     "op5_collision_links": op5_collision_links,
     "op6_main_text": op6_main_text,
     "op7_packing": op7_packing,
+    "op8_chosen_path": op8_chosen_path,
     "op10_token_counts": op10_token_counts,
 }
 
