@@ -22,6 +22,25 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.75, width=5)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), containment=0.75, width=5)
+
+
+#: Distinct five-word shingles of a text, or the whole text with fewer words.
+_SHINGLES = """
+{1} AS (SELECT DISTINCT id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT {2} AS id, [x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM {0}),
+    unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0)"""
+
+OP9_SQL = f"""
+WITH {_SHINGLES.format("documents", "d", "doc_id")}, {_SHINGLES.format("benchmark", "b", "item_id")},
+n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_item_shingles, count(*) AS n_shared
+FROM d JOIN b ON d.s = b.s JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n.n)"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -138,8 +157,9 @@ QUERIES = {
     "op6_main_text": op6_main_text,
     "op7_packing": op7_packing,
     "op8_chosen_path": op8_chosen_path,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_collision_links": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_collision_links": OP5_SQL, "op9_decontamination": OP9_SQL}
