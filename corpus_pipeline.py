@@ -1,17 +1,74 @@
-"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, packing."""
+"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelgraph.llm import decontamination, neardup, packing, quality, util
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at least 0.5, learnt from the labelled ones among them.
+
+    Rows whose id is null can't be told apart afterwards, so scores travel with the rows.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    stats = util.materialize(quality.document_statistics(docs, keep=[c for c in COLUMNS if c != "doc_id"]), "scored")
+    known = labels.where(~held_out).select("doc_id", F.col("quality").alias("_y"))
+    model = quality.fit(stats.select("doc_id", "x").join(known, "doc_id"), F.col("_y"), shrinkage=0.001)
+    return quality.apply(stats, model, COLUMNS).where("score >= 0.5").select(*COLUMNS)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates.
+
+    Rows with a null id are in no component and stay; of rows that repeat a kept id one stays.
+    """
+    groups = neardup.near_duplicates(docs, similarity=0.75, width=5)
+    dropped = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 75 % of the shingles of every test item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contaminated(docs, items, containment=0.75, width=5).select("doc_id").distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, start, length, ids_crc32, doc_tokens,
+    sequence_id, offset."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
 
-from parcelgraph.llm import queries as _q  # noqa: F401
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicate_filter", near_duplicate_filter),
+    ("decontaminate", decontaminate),
+    ("pack_sequences", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can neither fit the classifier nor encode the texts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = util.materialize(docs, f"pipeline-{name}")
     return docs
