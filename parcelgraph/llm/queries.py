@@ -52,6 +52,14 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_texts
+
+    held_out = _remainder(7) == 2
+    made = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -150,6 +158,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_chat_format": op2_chat_format,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_quality": op4_quality,
