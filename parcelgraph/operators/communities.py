@@ -123,7 +123,6 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     degree = ends.join(c, "nodeid").groupBy("community").agg(F.sum("weight").alias("degree"))
     tagged = edges.join(c.withColumnRenamed("nodeid", "src").withColumnRenamed("community", "a"), "src").join(c.withColumnRenamed("nodeid", "dst").withColumnRenamed("community", "b"), "dst")
     inside = tagged.where("a = b").groupBy(F.col("a").alias("community")).agg(F.sum("weight").alias("inside"))
-    total = edges.agg(F.sum("weight").alias("m"))
-    # one row, the sum of all weights
-    rows = degree.join(inside, "community", "left").join(F.broadcast(total))
-    return rows.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
+    m = edges.agg(F.sum("weight")).first()[0] or 1.0
+    rows = degree.join(inside, "community", "left")
+    return rows.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / m - F.pow(F.col("degree") / (2 * m), 2)).alias("modularity"))
