@@ -10,9 +10,10 @@ groups of copies, which are compared in blocks. Independent trees are repeated u
 missing a pair is below ``1 - recall``.
 
 Equal sets are one node from the start. What is returned are components, so pairs that links found
-earlier already connect need no test; candidates are therefore tested in rounds (to the least
-member of a node, then the likeliest, then all others), each on the documents' full sets, and a
-round looks only at pairs whose components still differ. No link between components is left out.
+earlier already connect need no test; candidates are therefore tested in rounds (to the most
+central member of a node, then each document's likeliest partner, then all others), each on the
+documents' full sets, and a round looks only at pairs whose components still differ. No link
+between components is left out, but for what the signatures' estimates miss (see _candidates).
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from parcelgraph.operators.components import connected_components
 
 from . import shingles, util
 
-#: Signature places; the first half of them estimates similarities inside nodes.
+#: Signature places.
 PLACES = 128
-_HALF = PLACES // 2
+#: Ids up to which a round's documents are looked up by a broadcast; beyond it by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def signatures(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -125,60 +127,80 @@ def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth
     return done
 
 
-def _candidates(members: DataFrame, similarity: float, mode: str, likely: int, block_rows: int) -> DataFrame:
-    """Untested pairs (a, b), a < b, of members (node, id, size, n, comp, half) that may link.
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places at which each row of ``a`` and each of ``b`` agree; rows of ``a.T`` are places."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x[:, None] == y[None]
+    return out
+
+
+def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int) -> DataFrame:
+    """Pairs (a, b) of members (node, id, size, n, comp, sig) that may link and are not connected.
 
     Nodes of more than ``block_rows`` members are compared block by block. mode: ``star`` pairs the
-    least member of a block with the others, and blocks by their least members and likeliest pairs;
-    ``likely`` each member with its likeliest partners; ``rest`` with all the others.
+    member that agrees most with the block's commonest values with all others, ``best`` each member
+    with the likeliest partner it has in any node, ``rest`` all that remain.
     """
     id_type = members.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("same", T.IntegerType())])
     arrow = to_arrow_schema(schema)
-    low = similarity - 4.7 * (similarity * (1 - similarity) / _HALF) ** 0.5  # a link's estimate is lower once in a million
+    # a link at the threshold agrees in fewer places once in two thousand pairs; a quarter of the
+    # places is looked at first, with a bound that links miss once in ten thousand
+    least = PLACES * (similarity - 3.3 * (similarity * (1 - similarity) / PLACES) ** 0.5)
+    quarter = PLACES // 4
+    first_least = quarter * (similarity - 4.0 * (similarity * (1 - similarity) / quarter) ** 0.5)
 
     def run(table: pa.Table) -> pa.Table:
         ids = table["id"].combine_chunks()
         order = pa.compute.sort_indices(ids).to_numpy()
         ids = ids.take(pa.array(order))
         n, comp, block = (table[c].to_numpy()[order] for c in ("n", "comp_no", "block"))
-        half = np.frombuffer(b"".join(table["half"].to_pylist()), np.uint32).reshape(-1, _HALF)[order]
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)[order]
         left, right = table["p"][0].as_py(), table["q"][0].as_py()
-        one = left == right
         at, to = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        if mode == "star" and left == right and len(at) > 2:
+            centre = np.array([np.bincount(np.unique(v, return_inverse=True)[1]).argmax() for v in sig[at].T])
+            common = np.array([np.unique(v)[c] for v, c in zip(sig[at].T, centre, strict=True)])
+            at = at[[(sig[at] == common).sum(1).argmax()]]
         if not len(at) or not len(to):
             return arrow.empty_table()
-        # pairs already connected, of too different sizes, or met before in the same block are out
         small, large = np.minimum(n[at][:, None], n[to][None]), np.maximum(n[at][:, None], n[to][None])
         may = (comp[at][:, None] != comp[to][None]) & (100 * small >= round(100 * similarity) * large)
-        if one:
-            may &= np.arange(len(at))[:, None] < np.arange(len(at))[None]
+        if left == right and len(at) == len(to):
+            may &= np.arange(len(at))[:, None] < np.arange(len(to))[None]
+        if may.any():
+            may &= _agreement(sig[at, :quarter], sig[to, :quarter]) >= first_least
         i, j = np.nonzero(may)
-        if not len(i):
-            return arrow.empty_table()
-        same = np.concatenate([(half[at[i[s : s + 65536]]] == half[to[j[s : s + 65536]]]).mean(1) for s in range(0, len(i), 65536)])
-        i, j, same = i[same >= low], j[same >= low], same[same >= low]
-        rank = np.zeros(len(i), np.int64)
-        by = np.lexsort((j, -same, i))
-        first = np.flatnonzero(np.r_[True, np.diff(i[by]) > 0]) if len(i) else np.zeros(0, np.int64)
-        rank[by] = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        if mode == "star":
-            keep = i == 0 if one else (i == 0) & (j == 0) | (np.arange(len(i)) == np.argmax(same) if len(i) else np.zeros(0, bool))
+        same = np.concatenate([np.zeros(0, np.int64), *((sig[at[i[s : s + 65536]]] == sig[to[j[s : s + 65536]]]).sum(1) for s in range(0, len(i), 65536))])
+        keep = np.flatnonzero(same >= least)
+        i, j, same = i[keep], j[keep], same[keep]
+        if mode == "star" and left != right:
+            keep = np.argsort(-same, kind="stable")[:1]
+        elif mode == "best":
+            ends = np.concatenate([at[i], to[j]])
+            by = np.lexsort((np.tile(np.arange(len(i)), 2), -np.tile(same, 2), ends))
+            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % max(len(i), 1)) if len(i) else np.zeros(0, np.int64)
         else:
-            keep = rank < likely if mode == "likely" else rank >= likely
+            keep = np.arange(len(i))
         a, b = at[i[keep]], to[j[keep]]
         a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.Table.from_arrays([ids.take(pa.array(a)).cast(arrow.field(0).type), ids.take(pa.array(b)).cast(arrow.field(1).type)], schema=arrow)
+        return pa.Table.from_arrays([ids.take(pa.array(a)).cast(arrow.field(0).type), ids.take(pa.array(b)).cast(arrow.field(1).type), pa.array(same[keep].astype(np.int32))], schema=arrow)
 
     parts = F.ceil(F.col("size") / block_rows).cast("int")
     blocks = members.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("comp_no", F.xxhash64("comp"))
     pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    return pairs.select("node", "p", "q", "id", "n", "comp_no", "block", "half").groupBy("node", "p", "q").applyInArrow(run, schema)
+    found = pairs.select("node", "p", "q", "id", "n", "comp_no", "block", "sig").groupBy("node", "p", "q").applyInArrow(run, schema)
+    if mode == "best":
+        ends = found.select(F.col("a").alias("end"), "a", "b", "same").unionByName(found.select(F.col("b").alias("end"), "a", "b", "same"))
+        found = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("m")).select("m.*")
+    return found.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, exactly."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = util.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
     schema = T.StructType([util.field(docs, id_col, "id"), T.StructField("s", T.BinaryType())])
     arrow = to_arrow_schema(schema)
     percent = round(100 * similarity)
@@ -188,7 +210,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, i
             s = [shingles.shingle_set(t.as_py() or "", width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(s, pa.binary())], schema=arrow)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     full = util.materialize(texts.select("id", "text").mapInArrow(sets, schema), "sets")
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     out_schema = pairs.select("a", "b").schema
@@ -209,7 +231,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, i
     return found
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, recall: float = 0.9999, leaf_rows: int = 128, depth: int = 4, likely: int = 16, block_rows: int = 512, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, recall: float = 0.9999, leaf_rows: int = 128, depth: int = 4, block_rows: int = 512, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept for every row of ``docs``.
 
     Documents link if the Jaccard similarity of their shingle sets is at least ``similarity`` (in
@@ -228,12 +250,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     one = own.join(least, "fp").where("id = rep").dropDuplicates(["fp"])
     sets = util.materialize(one.select("id", "n", "sig"), "representatives")
     leaf = util.materialize(leaves(sets, similarity, trees, leaf_rows, depth), "leaves")
-    half = sets.select("id", "n", F.substring("sig", 1, 4 * _HALF).alias("half"))
     # ids that repeat with different texts are one node
     same = own.select("id", "fp").join(least, "fp").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = None
-    component = None
-    for mode, first in (("star", True), ("star", False), ("likely", False), ("rest", False)):
+    links = tested = component = None
+    for mode, first in (("star", True), ("best", False), ("best", False), ("rest", False)):
         rows = leaf.where("tree < 2") if first else leaf
         if component is None:
             members = rows.withColumn("comp", F.col("id"))
@@ -241,9 +261,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
             members = rows.join(component.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             open_nodes = members.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
             members = members.join(open_nodes, "node", "left_semi")
-        pairs = util.materialize(_candidates(members.join(half, "id"), similarity, mode, likely, block_rows).distinct(), "pairs")
+        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = util.materialize(pairs, "pairs")
         if not pairs.isEmpty():
-            found = verified(pairs, docs.join(sets.select(F.col("id").alias(id_col)), id_col, "left_semi"), similarity, width, id_col, text_col)
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = verified(pairs, docs, similarity, width, id_col, text_col)
             links = found if links is None else links.unionByName(found)
             component = util.materialize(connected_components(links, "a", "b"), "components")
     every = same if links is None else links.unionByName(same)
