@@ -135,10 +135,11 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int) -> DataFrame:
+def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int, buckets: int) -> DataFrame:
     """Pairs (a, b) of members (node, id, size, n, comp, sig) that may link and are not connected.
 
-    Nodes of more than ``block_rows`` members are compared block by block. mode: ``star`` pairs the
+    Nodes of more than ``block_rows`` members are compared block by block; nodes are dealt into
+    ``buckets`` groups, so that small ones are compared many at once. mode: ``star`` pairs the
     member that agrees most with the block's commonest values with all others, ``best`` each member
     with the likeliest partner it has in any node, ``rest`` all that remain.
     """
@@ -148,49 +149,80 @@ def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: in
     # a link at the threshold agrees in fewer places once in two thousand pairs; a quarter of the
     # places is looked at first, with a bound that links miss once in ten thousand
     least = PLACES * (similarity - 3.3 * (similarity * (1 - similarity) / PLACES) ** 0.5)
-    quarter = PLACES // 4
+    quarter, percent = PLACES // 4, round(100 * similarity)
     first_least = quarter * (similarity - 4.0 * (similarity * (1 - similarity) / quarter) ** 0.5)
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].combine_chunks()
-        order = pa.compute.sort_indices(ids).to_numpy()
-        ids = ids.take(pa.array(order))
-        n, comp, block = (table[c].to_numpy()[order] for c in ("n", "comp_no", "block"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)[order]
-        left, right = table["p"][0].as_py(), table["q"][0].as_py()
-        at, to = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        if mode == "star" and left == right and len(at) > 2:
-            centre = np.array([np.bincount(np.unique(v, return_inverse=True)[1]).argmax() for v in sig[at].T])
-            common = np.array([np.unique(v)[c] for v, c in zip(sig[at].T, centre, strict=True)])
-            at = at[[(sig[at] == common).sum(1).argmax()]]
-        if not len(at) or not len(to):
-            return arrow.empty_table()
+    def likely(sig, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs those that agree in enough places, and in how many."""
+        out = []
+        for s in range(0, len(i), 1 << 16):
+            x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            keep = (sig[x, :quarter] == sig[y, :quarter]).sum(1) >= first_least
+            x, y = x[keep], y[keep]
+            same = (sig[x] == sig[y]).sum(1)
+            out.append((x[same >= least], y[same >= least], same[same >= least]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    def small_nodes(starts, sizes, n, comp, sig):
+        """All pairs of nodes of few members, those of one size at once."""
+        for size in np.unique(sizes):
+            x, y = np.triu_indices(int(size), 1)
+            at = starts[sizes == size][:, None]
+            i, j = (at + x).ravel(), (at + y).ravel()
+            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            yield likely(sig, i[keep], j[keep])
+
+    def large_node(at, to, one, n, comp, sig):
+        """Pairs of a block with itself (``one``) or with another block."""
+        if mode == "star" and one:
+            common = [v[np.unique(v, return_index=True, return_counts=True)[1][np.unique(v, return_counts=True)[1].argmax()]] for v in sig[at].T]
+            at = at[[(sig[at] == np.array(common)).sum(1).argmax()]]
         small, large = np.minimum(n[at][:, None], n[to][None]), np.maximum(n[at][:, None], n[to][None])
-        may = (comp[at][:, None] != comp[to][None]) & (100 * small >= round(100 * similarity) * large)
-        if left == right and len(at) == len(to):
+        may = (comp[at][:, None] != comp[to][None]) & (100 * small >= percent * large)
+        if one and len(at) == len(to):
             may &= np.arange(len(at))[:, None] < np.arange(len(to))[None]
         if may.any():
             may &= _agreement(sig[at, :quarter], sig[to, :quarter]) >= first_least
         i, j = np.nonzero(may)
-        same = np.concatenate([np.zeros(0, np.int64), *((sig[at[i[s : s + 65536]]] == sig[to[j[s : s + 65536]]]).sum(1) for s in range(0, len(i), 65536))])
-        keep = np.flatnonzero(same >= least)
-        i, j, same = i[keep], j[keep], same[keep]
-        if mode == "star" and left != right:
+        i, j, same = likely(sig, at[i], to[j])
+        if mode == "star" and not one:
             keep = np.argsort(-same, kind="stable")[:1]
-        elif mode == "best":
-            ends = np.concatenate([at[i], to[j]])
+            i, j, same = i[keep], j[keep], same[keep]
+        elif mode == "best" and len(i):
+            ends = np.concatenate([i, j])
             by = np.lexsort((np.tile(np.arange(len(i)), 2), -np.tile(same, 2), ends))
-            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % max(len(i), 1)) if len(i) else np.zeros(0, np.int64)
-        else:
-            keep = np.arange(len(i))
-        a, b = at[i[keep]], to[j[keep]]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.Table.from_arrays([ids.take(pa.array(a)).cast(arrow.field(0).type), ids.take(pa.array(b)).cast(arrow.field(1).type), pa.array(same[keep].astype(np.int32))], schema=arrow)
+            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
+            i, j, same = i[keep], j[keep], same[keep]
+        return i, j, same
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending"), ("p", "ascending"), ("q", "ascending"), ("id", "ascending")])
+        ids = table["id"].combine_chunks()
+        node, p, q, n, comp, block = (table[c].to_numpy() for c in ("node", "p", "q", "n", "comp_no", "block"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)
+        starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
+        sizes = np.diff(np.r_[starts, len(node)])
+        few = (sizes <= 32) & (p[starts] == q[starts])
+        found = list(small_nodes(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], n, comp, sig))
+        for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+            rows = np.arange(start, start + size)
+            at, to = rows[block[rows] == p[start]], rows[block[rows] == q[start]]
+            if len(at) and len(to):
+                found.append(large_node(at, to, p[start] == q[start], n, comp, sig))
+        if not found:
+            return arrow.empty_table()
+        i, j, same = (np.concatenate(c) for c in zip(*found, strict=True))
+        # rows of a node are in the order of ids, those of two blocks are not
+        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+        swap = pa.compute.greater(a, b)
+        a, b = pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b)
+        return pa.Table.from_arrays([a.cast(arrow.field(0).type), b.cast(arrow.field(1).type), pa.array(same.astype(np.int32))], schema=arrow)
 
     parts = F.ceil(F.col("size") / block_rows).cast("int")
     blocks = members.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("comp_no", F.xxhash64("comp"))
     pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    found = pairs.select("node", "p", "q", "id", "n", "comp_no", "block", "sig").groupBy("node", "p", "q").applyInArrow(run, schema)
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("node", "p", "q"), F.lit(buckets)))
+    found = pairs.select("bucket", "node", "p", "q", "id", "n", "comp_no", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
     if mode == "best":
         ends = found.select(F.col("a").alias("end"), "a", "b", "same").unionByName(found.select(F.col("b").alias("end"), "a", "b", "same"))
         found = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("m")).select("m.*")
@@ -252,6 +284,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     leaf = util.materialize(leaves(sets, similarity, trees, leaf_rows, depth), "leaves")
     # ids that repeat with different texts are one node
     same = own.select("id", "fp").join(least, "fp").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    buckets = max(8, leaf.count() // 8192)
     links = tested = component = None
     for mode, first in (("star", True), ("best", False), ("best", False), ("rest", False)):
         rows = leaf.where("tree < 2") if first else leaf
@@ -261,7 +294,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
             members = rows.join(component.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             open_nodes = members.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
             members = members.join(open_nodes, "node", "left_semi")
-        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows)
+        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows, buckets)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = util.materialize(pairs, "pairs")
