@@ -212,6 +212,17 @@ def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: in
         if not found:
             return arrow.empty_table()
         i, j, same = (np.concatenate(c) for c in zip(*found, strict=True))
+        # documents meet in many nodes: each pair once, and where one partner is asked for, only the
+        # likeliest of each document
+        code = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
+        x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+        once = np.unique(x * (len(code) + 1) + y, return_index=True)[1]
+        i, j, same = i[once], j[once], same[once]
+        if mode == "best" and len(i):
+            ends = np.concatenate([code[i], code[j]])
+            by = np.lexsort((np.tile(np.arange(len(i)), 2), -np.tile(same, 2), ends))
+            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
+            i, j, same = i[keep], j[keep], same[keep]
         # rows of a node are in the order of ids, those of two blocks are not
         a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
         swap = pa.compute.greater(a, b)
