@@ -1,28 +1,34 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are the words that make up at least ``least_share`` of the training tokens, one class for
-all rarer words, and the end of a text; a rare word's probability is its class's times its share of
-the class by smoothed word counts. Contexts of up to ``depth`` symbols are counted level by level;
-a context is a candidate only if it has ``least_share`` of all positions, and it is retained if its
-next-symbol distribution diverges from that of its longest suffix (relative entropy of at least
-``divergence`` nats), or if a longer retained context has it as its suffix. A retained context
-gives the symbols it has seen often their discounted share and hands the rest to its suffix, down to
-the smoothed word counts, so every state's distribution sums to one. A text is scored by walking
-through the longest retained suffixes of its past.
-
-Word counts are kept for every word of the training texts and joined to the texts by a shuffle;
-shares bound the tree whatever the input's size (at most ``1 / least_share`` contexts a level and
-``1 / least_pair`` distributions' entries a level), which is why it can be broadcast. Words are
-known by 64-bit hashes.
+Symbols are all words of the training texts and the end of a text. Contexts of up to ``depth``
+symbols are counted level by level; a context is a candidate if it occurs ``least_count`` times, one
+of its next symbols is an entry if it follows ``least_pair_count`` times, and the context is retained
+if its next-symbol distribution diverges from that of its longest suffix (relative entropy of at
+least ``divergence`` nats), or if a longer retained context has it as its suffix. A retained context
+gives its entries their discounted share and hands the rest to its suffix, down to the smoothed word
+counts, so every state's distribution sums to one. A text is scored by walking through the longest
+retained suffixes of its past.
+
+The counts asked for do not rise with the input, so the tree grows with it. It is kept as written
+tables of runs of symbols (a context with an entry's symbol is a run), which are joined by hash: to
+each other when the tree is fitted and to the runs of the texts when they are scored. The walk's
+log10 probability is a sum over the runs that end at each position (see :func:`run_values`), so the
+join needs no order. What is broadcast has a fixed size and only saves rows of the join, never
+changes the result: a filter that no known run fails, and the values of the most frequent runs.
+Runs are known by 64-bit hashes.
+
+:class:`Tree` and :func:`fit` hold a tree in memory, with the words that are no symbols of their own
+in one class; the tables are tested against them.
 """
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,6 +42,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 GATHERED = 1 << 20
 #: Bytes of text or symbols that are worked on as one array.
 PORTION = 1 << 21
+#: Bits of the filter of known runs, as a power of two, and tasks that fill it.
+FILTER_BITS, FILTER_TASKS = 27, 6
+#: Slots of the values of frequent runs, as a power of two.
+CACHE_BITS = 21
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -333,45 +343,142 @@ def fit(encoded: DataFrame, hashes: np.ndarray, counts: np.ndarray, tokens: int,
     return Tree(hashes, counts, tokens, words, contexts, rests, all_keys, all_shares)
 
 
-def encode(docs: DataFrame, hashes: np.ndarray, text_col: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and syms: the text's symbol numbers, its end included."""
-    schema = T.StructType([*(util.field(docs, c) for c in keep), T.StructField("syms", T.BinaryType())])
+def runs(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length 1..order the hash of the run of words that ends at each position.
+
+    A run is hashed from the runs that leave out its last and its first word; those that reach over
+    the start of a text are void.
+    """
+    out = [words]
+    for n in range(2, order + 1):
+        first = np.zeros_like(words)
+        first[1:] = out[-1][:-1]
+        out.append(_joined(first, out[-1], n))
+    return out
+
+
+def _joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
+    return shingles.mix(first * _STEP + last + np.uint64(order))
+
+
+def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def known_filter(table: DataFrame, column: str) -> np.ndarray:
+    """Bits of fixed number that are set for every hash in ``column``, and by chance for others."""
+    schema = T.StructType([T.StructField("bits", T.BinaryType())])
     arrow = to_arrow_schema(schema)
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def run(batches):
-        bare = Tree(shared.value, np.zeros(0), 0, 0, [], [], [], [])
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            syms = [bare.encode(_tokens(t.as_py() or "")).astype(np.uint32).tobytes() for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(arrow.field(k).type) for k in range(len(keep))), pa.array(syms, pa.binary())], schema=arrow)
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], schema=arrow)
 
-    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in table.select(column).coalesce(FILTER_TASKS).mapInArrow(run, schema).toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
 
 
-def rare_words(docs: DataFrame, hashes: np.ndarray, key_col: str, text_col: str) -> DataFrame:
-    """(key, h, m): how often (m) each word that is no symbol of its own occurs in each text."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("m", T.IntegerType())])
-    arrow = to_arrow_schema(schema)
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
+def count_runs(docs: DataFrame, text_col: str, order: int, known: np.ndarray, least: float) -> DataFrame:
+    """(g, ctx, suf, c): runs of ``order`` words that occur ``least`` times, and those that leave out
+    their last (ctx) and first word (suf), which are both in the filter ``known``."""
+    longs = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+    schema, full = longs("ctx", "suf", "c"), longs("g", "ctx", "suf", "c")
+    arrow, full_arrow = to_arrow_schema(schema), to_arrow_schema(full)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        frequent = shared.value
-        bare = Tree(frequent, np.zeros(0), 0, 0, [], [], [], [])
-        for batch in (b for whole in batches for b in _portions(whole, 1)):
-            keys, words, times = [], [], []
-            for key, text in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-                found = _tokens(text.as_py() or "")
-                found, m = np.unique(found[bare.encode(found) == len(frequent)], return_counts=True)
-                keys.append(np.full(len(found), key, np.int64))
-                words.append(found)
-                times.append(m.astype(np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _longs(np.concatenate(words)), pa.array(np.concatenate(times))], schema=arrow)
-
-    return docs.select(key_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
-
-
-def score_texts(docs: DataFrame, train: Column, depth: int = 3, least_share: float = 2e-5, least_pair: float = 5e-7, divergence: float = 0.02, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for batch in (b for whole in batches for b in _portions(whole, 0, 2 * PORTION)):
+            texts = [_tokens(t.as_py() or "") for t in batch.column(0)]
+            place = _places(np.array([len(t) for t in texts]))
+            end = runs(np.concatenate(texts), order - 1)[-1]
+            ok = _in_filter(shared.value, end)
+            at = np.flatnonzero(place >= order - 1)
+            at = at[ok[at] & ok[at - 1]]
+            first, last = end[at - 1], end[at]
+            _, once, c = np.unique(_joined(first, last, order), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_longs(first[once]), _longs(last[once]), pa.array(c)], schema=arrow)
+
+    def name(batches):
+        for batch in batches:
+            first, last = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([_longs(_joined(first, last, order)), *batch.columns], schema=full_arrow)
+
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= least).mapInArrow(name, full)
+
+
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """A written table; the shuffles that made it and are held no longer free their disk."""
+    out = util.materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def level_rows(found: DataFrame, shorter: DataFrame, q: DataFrame, least: float, pair_least: float, discount: float) -> DataFrame:
+    """The runs ``found`` (g, ctx, suf, c) whose context, a run of ``shorter`` (g, c), is a candidate,
+    with its count n; p, an entry's probability by the suffix's q (suf, q); gain, the divergence of
+    the context's distribution from its suffix's. Other runs than entries have a null p."""
+    contexts = shorter.where(F.col("c") >= least).select(F.col("g").alias("ctx"), F.col("c").alias("n"))
+    by_ctx = Window.partitionBy("ctx")
+    rows = found.join(q, "suf", "left").join(contexts, "ctx")
+    s = F.when(F.col("c") >= pair_least, (F.col("c") - discount) / F.col("n"))
+    left = 1 - F.coalesce(F.sum(s).over(by_ctx), F.lit(0.0))
+    rows = rows.withColumn("p", s + left * F.col("q"))
+    over = lambda c: F.coalesce(F.sum(F.when(F.col("p").isNotNull(), c)).over(by_ctx), F.lit(0.0))
+    inside, outside = 1 - over(F.col("p")), 1 - over(F.col("q"))
+    beyond = F.when((inside > 1e-12) & (outside > 1e-12), inside * F.ln(inside / outside)).otherwise(0.0)
+    return rows.select("g", "ctx", "suf", "c", "n", "p", (over(F.col("p") * F.ln(F.col("p") / F.col("q"))) + beyond).alias("gain"))
+
+
+def run_values(base: DataFrame, levels: list[DataFrame], divergence: float, discount: float) -> DataFrame:
+    """(g, v, c): what each run of the tree adds to the log10 probability of a text, and its count.
+
+    base: (suf, q), the words' probabilities; levels: :func:`level_rows` for contexts of 1, 2, ...
+    words, which are deleted. With the suffix's probability q, the share s and the rest r, an entry's
+    probability is s + r q and another symbol's r q. So a retained context adds log10(r) wherever it
+    occurs before a symbol, and an entry log10(1 + s / (r q)) besides.
+    """
+    by_ctx = Window.partitionBy("ctx")
+    # from long to short: what is retained, and what longer retained contexts take out of its counts
+    kept = []
+    for k in range(len(levels) - 1, -1, -1):
+        rows = levels[k].withColumns({"own": F.col("gain") >= divergence, "entry": F.col("p").isNotNull()}).drop("gain", "p")
+        if kept:
+            longer = levels[k].join(kept[-1].select(F.col("ctx").alias("g")).distinct(), "g", "left_semi").groupBy(F.col("suf").alias("ctx")).agg(F.sum("c").alias("taken"))
+            below = kept[-1].groupBy(F.col("suf").alias("g")).agg(F.sum("c").alias("less"))
+            rows = rows.join(longer, "ctx", "left").join(below, "g", "left").where(F.col("own") | F.col("taken").isNotNull()).fillna(0, ["taken", "less"])
+        else:
+            rows = rows.where("own").withColumns({"taken": F.lit(0).cast("long"), "less": F.lit(0).cast("long")})
+        kept.append(_step(rows.where("entry").drop("own", "entry"), f"retained{k + 1}"))
+        util.drop_table(levels[k])
+    values, q = [], base
+    for k, held in enumerate(reversed(kept)):
+        n = F.greatest((F.col("n") - F.col("taken")).cast("double"), F.lit(1.0))
+        rows = held.withColumn("s", F.greatest(F.col("c") - F.col("less") - discount, F.lit(0.0)) / n)
+        # entries of longer contexts too rare to be known are still counted here
+        rows = rows.withColumn("sum", F.sum("s").over(by_ctx))
+        most = F.least("sum", 1 - discount / (n + 1))
+        rows = rows.withColumn("s", F.col("s") * most / F.greatest("sum", F.lit(1e-300))).withColumn("rest", 1 - most)
+        rows = rows.join(q, "suf").select("g", "ctx", "c", "n", F.log10("rest").alias("rest"), (F.col("s") + F.col("rest") * F.col("q")).alias("p"), F.log10(1 + F.col("s") / (F.col("rest") * F.col("q"))).alias("v"))
+        rows = _step(rows, f"values{k + 1}")
+        util.drop_table(held)
+        values.append(rows.where("v != 0").select("g", "v", "c"))
+        values.append(rows.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("n").alias("c")).withColumnRenamed("ctx", "g"))
+        q = rows.select(F.col("g").alias("suf"), F.col("p").alias("q"))
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("g").agg(F.sum("v").alias("v"), F.max("c").alias("c"))
+
+
+def score_texts(docs: DataFrame, train: Column, depth: int = 3, least_share: float = 0.0, least_pair: float = 0.0, divergence: float = 0.02, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text", least_count: int = 2, least_pair_count: int = 2) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     Words are runs of other characters than ASCII white space, A-Z lowered; each text ends with one
@@ -380,43 +487,83 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 3, least_share: flo
     log10 probability of the text; n_known counts tokens with c > 0. A null or empty text is its
     end alone. Repeated rows are learnt from and scored each; null ids are scored and, as ``train``
     says, learnt from. With no training rows every score is the base's. Other columns are not read;
-    an empty table gives no rows; texts are read whole.
+    an empty table gives no rows; texts are read whole. ``least_share`` and ``least_pair`` ask for
+    shares of the training tokens besides the counts; they bound the tree and are off by default.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"))
-    counts = util.materialize(count_words(keyed.where("_train"), text_col), "words")
+    learnt = keyed.where("_train")
+    counts = util.materialize(count_words(learnt, text_col), "words")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    h, c = _collect(counts.where(F.col("c") >= max(1.0, least_share * tokens)), "h", "c")  # 1 / least_share at most
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    encoded = util.materialize(encode(keyed, h, text_col, [id_col, "_key", "_train"]), "encoded")
-    tree = fit(encoded.where("_train"), h, c, tokens, words, depth, least_share, least_pair, divergence, discount)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    schema = T.StructType([util.field(docs, id_col), T.StructField("_key", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("gain", T.DoubleType())])
+    total = tokens + words + 1
+    least, pair_least = max(least_count, least_share * tokens), max(least_pair_count, least_pair * tokens)
+    base = counts.select(F.col("h").alias("suf"), ((F.col("c") + 1) / F.lit(float(total))).alias("q"))
+    levels, shorter, q = [], counts.withColumnRenamed("h", "g"), base
+    for k in range(1, depth + 1):
+        known = known_filter(shorter.where(F.col("c") >= min(least, pair_least)), "g")
+        found = count_runs(learnt, text_col, k + 1, known, min(least, pair_least))
+        shorter = _step(level_rows(found, shorter, q, least, pair_least, discount), f"level{k}")
+        levels.append(shorter)
+        q = shorter.where("p is not null").select(F.col("g").alias("suf"), F.col("p").alias("q"))
+    tree = run_values(base, levels, divergence, discount)
+    own = F.log10((F.col("n") + 1) / F.lit(float(total)))
+    is_word = counts.select(F.col("h").alias("g"), F.col("c").alias("n"))
+    tree = _step(tree.join(is_word, "g", "full").select("g", F.coalesce("v", F.lit(0.0)).alias("v"), own.alias("own"), F.coalesce("n", "c").alias("c")), "tree")
+    top = _collect(tree.orderBy(F.desc("c"), "g").limit(1 << (CACHE_BITS - 1)), "g", "v", "own")
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((_cache(*top), known_filter(tree.where("v != 0"), "g")))
+
+    # kind 0: a text's sums over cached runs, joined to nothing; 1: a word, 2: a longer run to look up
+    schema = T.StructType([T.StructField(n, kind()) for n, kind in (("key", T.LongType), ("g", T.LongType), ("kind", T.IntegerType), ("n", T.LongType), ("known", T.LongType), ("base", T.DoubleType), ("gain", T.DoubleType))])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        model = shared.value
-        log_base = np.log10(model.base())
-        own = log_base.copy()
-        own[-1] = 0.0  # rare words' own counts are joined later
-        for batch in (b for whole in batches for b in _portions(whole, 2, 2 * PORTION)):
-            texts = [np.frombuffer(s.as_buffer(), np.uint32) for s in batch.column(2)]
-            lengths = np.array([len(t) for t in texts])
-            sym = np.concatenate(texts).astype(np.int64)
-            starts = np.cumsum(lengths) - lengths
-            gain = np.log10(model.probabilities(sym, _places(lengths))) - log_base[sym]
-            known = (sym < len(model.hashes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), batch.column(1), pa.array(lengths), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(own[sym], starts)), pa.array(np.add.reduceat(gain, starts))], schema=arrow)
-
-    walked = encoded.select(id_col, "_key", "syms").mapInArrow(run, schema)
-    total = F.lit(float(tokens + words + 1))
-    looked_up = rare_words(keyed, h, "_key", text_col).join(counts, "h", "left")
-    count = F.coalesce("c", F.lit(0))
+        (held, v, own), known_runs = shared.value
+        for batch in (b for whole in batches for b in _portions(whole, 1, 2 * PORTION)):
+            texts = [_tokens(t.as_py() or "") for t in batch.column(1)]
+            key, lengths = batch.column(0).to_numpy(), np.array([len(t) for t in texts])
+            place, row = _places(lengths), np.repeat(np.arange(len(texts)), lengths)
+            base, gain, known = (np.zeros(len(texts)) for _ in range(3))
+            for k, h in enumerate(runs(np.concatenate(texts), depth + 1)):
+                at = np.flatnonzero((place >= k) & _in_filter(known_runs, h)) if k else np.arange(len(h))
+                slot = _slot(h[at])
+                hit = held[slot] == h[at]
+                found, slot, at = at[hit], slot[hit], at[~hit]
+                gain += np.bincount(row[found], v[slot], len(texts))
+                if not k:
+                    base += np.bincount(row[found], own[slot], len(texts))
+                    known += np.bincount(row[found], minlength=len(texts))
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), _longs(h[at]), pa.array(np.full(len(at), 2 if k else 1, np.int32)), none, none, none.cast(pa.float64()), none.cast(pa.float64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(np.zeros(len(key), np.int32)), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], schema=arrow)
+
+    met = keyed.select("_key", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    value = tree.select("g", "v", F.col("own").alias("own"))
+    joined = met.join(value, "g", "left")
+    word, none = F.col("kind") == 1, F.lit(0.0)
+    unseen = F.log10(F.lit(1.0 / total))
+    sums = joined.groupBy("key").agg(
+        F.count_if(F.col("kind") == 0).alias("copies"),
+        F.sum("n").alias("n"),
+        (F.sum("known") + F.count_if(word & F.col("own").isNotNull())).alias("known"),
+        (F.sum("base") + F.sum(F.when(word, F.coalesce("own", unseen)).otherwise(none))).alias("base"),
+        (F.sum("gain") + F.sum(F.when(F.col("kind") > 0, F.coalesce("v", none)).otherwise(none))).alias("gain"),
+    )
     # rows that repeat id and text have one key: their sums are shared out again
-    rare = looked_up.groupBy("key").agg(F.sum(F.col("m") * F.log10((count + 1) / total)).alias("rare"), F.sum(F.when(count > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    copies = encoded.groupBy("_key").agg(F.count("*").alias("_copies")).withColumnRenamed("_key", "key")
-    out = walked.join(rare.join(copies, "key", "right").withColumnRenamed("key", "_key"), "_key")
-    base = F.col("base") + F.coalesce(F.col("rare") / F.col("_copies"), F.lit(0.0))
-    return out.select(id_col, "n_tokens", (F.col("n") + F.coalesce((F.col("rare_known") / F.col("_copies")).cast("long"), F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    out = keyed.select(id_col, "_key").join(sums.withColumnRenamed("key", "_key"), "_key")
+    each = lambda c: F.col(c) / F.col("copies")
+    return out.select(id_col, each("n").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), each("base").alias("base_score"), ((F.col("base") + F.col("gain")) / F.col("copies")).alias("score"))
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
+
+
+def _cache(g: np.ndarray, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and values by slot, the most frequent run of each; others are joined."""
+    g = g.view(np.uint64)
+    slots, first = np.unique(_slot(g), return_index=True)
+    # an empty slot holds a hash that belongs in another one
+    held = (np.arange(1 << CACHE_BITS, dtype=np.uint64) + np.uint64(1)) & np.uint64((1 << CACHE_BITS) - 1)
+    values, owns = np.zeros(len(held)), np.zeros(len(held))
+    held[slots], values[slots], owns[slots] = g[first], v[first], own[first]
+    return held, values, owns

@@ -327,6 +327,28 @@ def test_suffix_tree_learns_and_sums_to_one(spark):
         assert abs(sum(p) - 1) < 1e-9
 
 
+def test_suffix_tree_grows_with_the_input(spark):
+    """Whatever else is in the corpus, what two texts share is learnt; the tables give the scores of
+    a tree in memory."""
+    rng = np.random.default_rng(12)
+    pool = [f"w{k}" for k in range(3000)]
+    filler = [(100 + k, " ".join(rng.choice(pool[: 30 + 20 * (k % 140)], 500))) for k in range(300)]
+    twice = " ".join(f"rare{k}" for k in rng.permutation(60))
+    texts = [(1, twice), (2, twice), *filler]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix_tree.score_texts(docs, F.lit(True)).collect()}
+    assert out[1].score == out[2].score and out[1].score > 0.4 * out[1].base_score
+    tokens = [suffix_tree._tokens(t) for _, t in texts]
+    h, c = np.unique(np.concatenate(tokens), return_counts=True)
+    n = int(c.sum())
+    bare = suffix_tree.Tree(h, c, n, len(h), [], [], [], [])
+    encoded = spark.createDataFrame([(bytearray(bare.encode(t).astype(np.uint32).tobytes()),) for t in tokens], "syms binary")
+    tree = suffix_tree.fit(encoded, h, c, n, len(h), 3, 0.0, 0.0, 0.02, 0.75)
+    for (i, _), t in zip(texts, tokens, strict=True):
+        want = np.log10(tree.probabilities(bare.encode(t), np.arange(len(t)))).sum()
+        assert abs(out[i].score - want) < 1e-6 * abs(want)
+
+
 def test_queries_have_their_columns(spark):
     from parcelgraph.llm import queries
 
