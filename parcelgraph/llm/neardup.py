@@ -7,17 +7,19 @@ child for each chosen place, named by the place and the document's value there.
 every level in expectation, and dissimilar documents part quickly. Nodes of a few documents are
 compared exhaustively; larger ones branch further, up to a depth at which what is left together are
 groups of copies, which are compared in blocks. Independent trees are repeated until the chance of
-missing a pair is below ``1 - recall``.
+missing a pair, that of the signatures' estimates included, is below ``1 - recall``.
 
 Equal sets are one node from the start. What is returned are components, so pairs that links found
 earlier already connect need no test; candidates are therefore tested in rounds (to the most
 central member of a node, then each document's likeliest partner, then all others), each on the
 documents' full sets, and a round looks only at pairs whose components still differ. No link
-between components is left out, but for what the signatures' estimates miss (see _candidates).
+between components is left out, but for what trees and estimates miss (see calibrate).
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,8 @@ from . import shingles, util
 PLACES = 128
 #: Ids up to which a round's documents are looked up by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs that a task gathers before it looks for those that are there twice.
+HELD_PAIRS = 1 << 20
 
 
 def signatures(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -63,15 +67,47 @@ def chosen_places(path: int, similarity: float) -> list[int]:
     return [first, second + (second >= first)] if more else [first]
 
 
-def survival(similarity: float, depth: int) -> float:
-    """The chance that a pair at the threshold shares a node at ``depth`` of one tree."""
+def survival(similarity: float, depth: int, agreement: float | None = None) -> float:
+    """The chance that a pair shares a node at ``depth`` of one tree made for ``similarity``: a pair at
+    the threshold, or one whose signatures agree in the share ``agreement`` of places."""
     two, f = 1 / similarity - 1, 1.0
     for _ in range(depth):
-        p = similarity * f
+        p = (similarity if agreement is None else agreement) * f
         f = (1 - two) * p + two * (1 - (1 - p) ** 2)
     return f
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    return [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+def calibrate(similarity: float, recall: float, depth: int) -> tuple[int, int, int]:
+    """(trees, places, quarter): how many trees, and in how many of all places and of the first quarter
+    a pair has to agree to be tested, so that all three together miss a pair at the threshold with a
+    chance of at most ``1 - recall``: half of it by the trees, a quarter by each estimate.
+
+    All trees branch by the same places, so their misses are independent only given the number of
+    places that agree; over that the chance is averaged.
+    """
+    miss = 1 - recall
+
+    def least(places: int) -> int:
+        k, below = 0, 0.0
+        for chance in _binomial(places, similarity):
+            below += chance
+            if below > miss / 4:
+                return k
+            k += 1
+        return places
+
+    agree = _binomial(PLACES, similarity)
+    part = [1 - survival(similarity, depth, k / PLACES) for k in range(PLACES + 1)]
+    trees = 1
+    while sum(a * m**trees for a, m in zip(agree, part, strict=True)) > miss / 2:
+        trees += 1
+    return trees, least(PLACES), least(PLACES // 4)
+
+
 def _child(path: int, place: int, values: np.ndarray) -> np.ndarray:
     salt = np.uint64(xxhash.xxh3_64_intdigest(path.to_bytes(8, "little") + place.to_bytes(2, "little")))
     return shingles.mix(values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt).view(np.int64)
@@ -135,28 +171,25 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int, buckets: int) -> DataFrame:
+def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int, buckets: int, least: int, first_least: int) -> DataFrame:
     """Pairs (a, b) of members (node, id, size, n, comp, sig) that may link and are not connected.
 
     Nodes of more than ``block_rows`` members are compared block by block; nodes are dealt into
     ``buckets`` groups, so that small ones are compared many at once. mode: ``star`` pairs the
     member that agrees most with the block's commonest values with all others, ``best`` each member
-    with the likeliest partner it has in any node, ``rest`` all that remain.
+    with the likeliest partner it has in any node, ``rest`` all that remain. Pairs agree in ``least``
+    places at least, and in ``first_least`` of the quarter that is looked at first.
     """
     id_type = members.schema["id"].dataType
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("same", T.IntegerType())])
     arrow = to_arrow_schema(schema)
-    # a link at the threshold agrees in fewer places once in two thousand pairs; a quarter of the
-    # places is looked at first, with a bound that links miss once in ten thousand
-    least = PLACES * (similarity - 3.3 * (similarity * (1 - similarity) / PLACES) ** 0.5)
     quarter, percent = PLACES // 4, round(100 * similarity)
-    first_least = quarter * (similarity - 4.0 * (similarity * (1 - similarity) / quarter) ** 0.5)
 
     def likely(sig, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the pairs those that agree in enough places, and in how many."""
         out = []
-        for s in range(0, len(i), 1 << 16):
-            x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        for s in range(0, len(i), 1 << 14):
+            x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
             keep = (sig[x, :quarter] == sig[y, :quarter]).sum(1) >= first_least
             x, y = x[keep], y[keep]
             same = (sig[x] == sig[y]).sum(1)
@@ -203,26 +236,41 @@ def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: in
         starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
         sizes = np.diff(np.r_[starts, len(node)])
         few = (sizes <= 32) & (p[starts] == q[starts])
-        found = list(small_nodes(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], n, comp, sig))
-        for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
-            rows = np.arange(start, start + size)
-            at, to = rows[block[rows] == p[start]], rows[block[rows] == q[start]]
-            if len(at) and len(to):
-                found.append(large_node(at, to, p[start] == q[start], n, comp, sig))
+        code = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
+        found, held, most = [], 0, HELD_PAIRS
+
+        def pairs_found():
+            yield from small_nodes(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], n, comp, sig)
+            for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                rows = np.arange(start, start + size)
+                at, to = rows[block[rows] == p[start]], rows[block[rows] == q[start]]
+                if len(at) and len(to):
+                    yield large_node(at, to, p[start] == q[start], n, comp, sig)
+
+        def reduced(parts):
+            """Documents meet in many nodes: each pair once, and where one partner is asked for, only
+            the likeliest of each document."""
+            i, j, same = (np.concatenate(c) for c in zip(*parts, strict=True))
+            x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+            once = np.unique(x * (len(code) + 1) + y, return_index=True)[1]
+            i, j, same = i[once], j[once], same[once]
+            if mode == "best" and len(i):
+                ends, alike = np.concatenate([code[i], code[j]]), np.tile(same, 2).astype(np.int64)
+                by = np.lexsort((np.tile(np.arange(len(i)), 2), -alike, ends))
+                keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
+                i, j, same = i[keep], j[keep], same[keep]
+            return i, j, same
+
+        for i, j, same in pairs_found():
+            found.append((i.astype(np.int32), j.astype(np.int32), same.astype(np.uint8)))
+            held += len(i)
+            if held > most:
+                found = [reduced(found)]
+                held = len(found[0][0])
+                most = max(HELD_PAIRS, 2 * held)
         if not found:
             return arrow.empty_table()
-        i, j, same = (np.concatenate(c) for c in zip(*found, strict=True))
-        # documents meet in many nodes: each pair once, and where one partner is asked for, only the
-        # likeliest of each document
-        code = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
-        x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
-        once = np.unique(x * (len(code) + 1) + y, return_index=True)[1]
-        i, j, same = i[once], j[once], same[once]
-        if mode == "best" and len(i):
-            ends = np.concatenate([code[i], code[j]])
-            by = np.lexsort((np.tile(np.arange(len(i)), 2), -np.tile(same, 2), ends))
-            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
-            i, j, same = i[keep], j[keep], same[keep]
+        i, j, same = reduced(found)
         # rows of a node are in the order of ids, those of two blocks are not
         a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
         swap = pa.compute.greater(a, b)
@@ -284,9 +332,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     with nothing and have a null component; an id that repeats is one node that has the links of
     all its rows. Other columns are not read; an empty table gives no rows; texts are read whole.
     """
-    trees = 1
-    while (1 - survival(similarity, depth)) ** trees > 1 - recall:
-        trees += 1
+    trees, least_places, least_quarter = calibrate(similarity, recall, depth)
     table = util.materialize(signatures(docs, width, seed, id_col, text_col), "signatures")
     own = table.where("id is not null and n > 0")
     least = own.groupBy("fp").agg(F.min("id").alias("rep"))
@@ -305,7 +351,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
             members = rows.join(component.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             open_nodes = members.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
             members = members.join(open_nodes, "node", "left_semi")
-        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows, buckets)
+        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows, buckets, least_places, least_quarter)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = util.materialize(pairs, "pairs")

@@ -281,6 +281,29 @@ def test_near_duplicates(spark, texts, words):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.75 exactly whose signatures agree in fewer than 80 of 128 places, or 15 of
+    the first 32, are links as well; that together with the trees few enough are missed."""
+    draws, texts = shingles.multipliers(neardup.PLACES, 5), []
+    for k in range(6000):
+        a = [f"a{k}x{i}" for i in range(74)]
+        b = a[:64] + [f"b{k}x{i}" for i in range(10)]
+        x, y = (shingles.shingle_set(" ".join(w)) for w in (a, b))
+        same = shingles.minhash(x, draws) == shingles.minhash(y, draws)
+        if same.sum() < 80 or same[:32].sum() < 15:
+            assert (shingles.overlap(x, y), len(x), len(y)) == (60, 70, 70)
+            texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    assert len(texts) >= 4
+    out = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in out)
+    trees, places, quarter = neardup.calibrate(0.75, 0.9999, 4)
+    rng = np.random.default_rng(0)
+    lost = lambda n, least: (rng.binomial(n, 0.75, 4_000_000) < least).mean()
+    share = rng.binomial(128, 0.75, 400_000) / 128
+    by_trees = np.mean([(1 - neardup.survival(0.75, 4, f)) ** trees * c for f, c in zip(*np.unique(share, return_counts=True), strict=True)]) * len(np.unique(share)) / len(share)
+    assert lost(128, places) + lost(32, quarter) + by_trees < 1e-4
+
+
 def test_decontamination(spark, docs, texts, words):
     item = words(30)
     held = [(700, words(2000) + " " + item.upper() + " " + words(500)), (701, words(300) + " " + " ".join(item.split()[:24])), (702, words(50) + " " + " ".join(item.split()[:22]))]
