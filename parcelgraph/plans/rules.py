@@ -117,6 +117,24 @@ def nearest_mortgage(deeds: DataFrame, mortgages: DataFrame, before: int = 14, a
     return near.groupBy("bbl", "deed_id").agg(F.min_by(F.struct("event_id", gap.alias("gap")), F.struct(F.abs(gap), "event_id")).alias("m")).select("bbl", "deed_id", F.col("m.event_id").alias("mortgage_id"), F.col("m.gap").alias("gap_days"))
 
 
+def mortgage_concealment(subjects: DataFrame, buildings: DataFrame, deeds: DataFrame, mortgages: DataFrame, before: int = 14, after: int = 60) -> DataFrame:
+    """One row a subject (bbl): the latest deed with a grantee (deeds: grantee_names), the mortgage
+    nearest to it (mortgages: mortgagor_names), whether their parties share a name token, the verdict,
+    and the first reason why there is none."""
+    parties = deeds.where("event_date is not null and grantee_names is not null")
+    deed = latest_per_key(parties.select("bbl", "event_date", "event_id", "grantee_names"), "bbl", "event_date", "event_id").select("bbl", F.col("event_date").alias("deed_date"), F.col("event_id").alias("deed_id"), "grantee_names")
+    named = mortgages.where("event_date is not null and mortgagor_names is not null").select("bbl", "event_date", "event_id", "mortgagor_names")
+    near = nearest_mortgage(parties, named, before, after).select("bbl", "mortgage_id", "gap_days")
+    loans = named.groupBy("bbl", F.col("event_id").alias("mortgage_id")).agg(F.min(F.struct("event_date", "mortgagor_names")).alias("m")).select("bbl", "mortgage_id", "m.mortgagor_names")
+    known = buildings.select("bbl", F.lit(True).alias("known")).distinct()
+    facts = subjects.select("bbl").distinct().join(known, "bbl", "left").join(deed, "bbl", "left").join(near.join(loans, ["bbl", "mortgage_id"]), "bbl", "left")
+    a, b = name_tokens(F.col("grantee_names")), name_tokens(F.col("mortgagor_names"))
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    reason = F.when(F.col("known").isNull(), "building_not_resolved").when(none("grantee_names"), "no_deed_transfer").when(none("mortgagor_names"), "no_contemporaneous_mortgage").when((F.size(a) == 0) | (F.size(b) == 0), "unparseable_names")
+    out = facts.withColumn("reason", reason).withColumn("token_overlap", F.when(reason.isNull(), F.arrays_overlap(a, b)))
+    return out.select("bbl", "deed_id", "deed_date", "grantee_names", "mortgage_id", "gap_days", "mortgagor_names", "token_overlap", (~F.col("token_overlap")).alias("flagged"), F.col("reason").isNotNull().alias("insufficient"), "reason")
+
+
 def name_discrepancy(pairs: DataFrame) -> DataFrame:
     """id, corporate, overlap, discrepancy of rows (id, dof_name, controller)."""
     a, b = name_tokens(F.col("dof_name")), name_tokens(F.col("controller"))

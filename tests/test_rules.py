@@ -49,6 +49,24 @@ def test_nearest_mortgage(spark):
     assert rules.nearest_mortgage(deed, far).count() == 0
 
 
+def test_mortgage_concealment(spark):
+    kinds = "bbl string, event_id string, event_date date, {} string"
+    old, later, far = DAY - timedelta(50), DAY + timedelta(3), DAY + timedelta(61)
+    deeds = spark.createDataFrame([("same", "d1", DAY, "ANN LEE"), ("same", "d2", later, None), ("other", "d3", DAY, "ANN LEE"), ("other", "d0", old, "BO RAY"), ("late", "d4", DAY, "ANN LEE"), ("odd", "d5", DAY, "1 2"), ("blank", "d6", DAY, "")], kinds.format("grantee_names"))
+    loans = spark.createDataFrame([("same", "m1", later, "LEE, A."), ("other", "m2", later, "BO RAY"), ("other", "m3", DAY + timedelta(9), "ANN LEE"), ("other", "m4", DAY, None), ("late", "m5", far, "ANN LEE"), ("odd", "m6", DAY, "ANN LEE"), ("blank", "m7", DAY, "ANN LEE")], kinds.format("mortgagor_names"))
+    buildings = spark.createDataFrame([(k,) for k in ("same", "other", "late", "odd", "blank", "none")], "bbl string")
+    out = {r.bbl: (r.deed_id, r.mortgage_id, r.flagged, r.reason) for r in rules.mortgage_concealment(buildings.union(spark.createDataFrame([("gone",)], "bbl string")), buildings, deeds, loans).collect()}
+    assert out == {
+        "same": ("d1", "m1", False, None),
+        "other": ("d3", "m2", True, None),
+        "late": ("d4", None, None, "no_contemporaneous_mortgage"),
+        "odd": ("d5", "m6", None, "unparseable_names"),
+        "blank": ("d6", "m7", None, "no_deed_transfer"),
+        "none": (None, None, None, "no_deed_transfer"),
+        "gone": (None, None, None, "building_not_resolved"),
+    }
+
+
 def test_ownership_change(spark):
     deed = spark.createDataFrame([(b, "d" + b, date(2025, 7, 1), 1) for b in "abc"], "bbl string, event_id string, event_date date, amount long")
     start = date(2025, 7, 1) - timedelta(730)
