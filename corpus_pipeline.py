@@ -31,12 +31,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates.
 
-    Rows with a null id are in no component and stay; of rows that repeat a kept id one stays.
+    Rows with a null id are in no component and stay; of rows that repeat a kept id and their text
+    one stays. An id that repeats with different texts is one node: all its texts stay, or none.
     """
     groups = neardup.near_duplicates(docs, similarity=0.75, width=5)
     dropped = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where("doc_id is null")).select(*COLUMNS)
 
 

@@ -304,6 +304,16 @@ def test_near_duplicates_at_the_threshold(spark):
     assert lost(128, places) + lost(32, quarter) + by_trees < 1e-4
 
 
+def test_pipeline_keeps_different_texts_of_an_id(spark, words):
+    import corpus_pipeline
+
+    one, other, third = words(60), words(60), words(60)
+    rows = [(1, one), (1, one), (1, other), (2, one), (3, third), (3, None), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.near_duplicate_filter(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, one), (1, other), (3, third), (3, None), (None, one), (None, one)])
+
+
 def test_decontamination(spark, docs, texts, words):
     item = words(30)
     held = [(700, words(2000) + " " + item.upper() + " " + words(500)), (701, words(300) + " " + " ".join(item.split()[:24])), (702, words(50) + " " + " ".join(item.split()[:22]))]
