@@ -9,11 +9,12 @@ compared exhaustively; larger ones branch further, up to a depth at which what i
 groups of copies, which are compared in blocks. Independent trees are repeated until the chance of
 missing a pair, that of the signatures' estimates included, is below ``1 - recall``.
 
-Equal sets are one node from the start. What is returned are components, so pairs that links found
-earlier already connect need no test; candidates are therefore tested in rounds (to the most
-central member of a node, then each document's likeliest partner, then all others), each on the
-documents' full sets, and a round looks only at pairs whose components still differ. No link
-between components is left out, but for what trees and estimates miss (see calibrate).
+Equal sets are one node from the start. Comparing a node's signatures yields candidates, of which
+only a spanning forest leaves the task; the forests' components are clusters, and every candidate
+pair lies within one. A cluster's full sets then meet in blocks, where all pairs are counted
+exactly, and of the links again a spanning forest leaves. So no step makes a row for each pair of a
+group, and no link between components is left out, but for what trees and estimates miss (see
+calibrate).
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ from . import shingles, util
 
 #: Signature places.
 PLACES = 128
-#: Ids up to which a round's documents are looked up by a broadcast; beyond it by a shuffle.
-BROADCAST_IDS = 500_000
-#: Pairs that a task gathers before it looks for those that are there twice.
+#: Members up to which a cluster is compared as a whole; a larger one node by node of the trees.
+WHOLE_CLUSTER = 16_384
+#: Ids up to which the documents of clusters are looked up by a broadcast; beyond it by a shuffle.
+BROADCAST_IDS = 200_000
+#: Pairs that a task gathers before it thins them out.
 HELD_PAIRS = 1 << 20
+#: Bytes of sets that one task's group holds, about.
+GROUP_BYTES = 8 << 20
 
 
 def signatures(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
@@ -142,18 +147,19 @@ def _branch(rows: DataFrame, similarity: float, trees: int | None) -> DataFrame:
 
 
 def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth: int) -> DataFrame:
-    """(node, id, tree) for all leaves with two documents at least.
+    """(node, id, size) for all leaves with two documents at least.
 
     sets: id, sig. Children are counted after each level; those of up to ``leaf_rows`` documents are
-    leaves, and so are all at ``depth``.
+    leaves, and so are all at ``depth``. Counts are written before they are joined, so that both
+    sides of the join are exchanges and Spark can split a node that holds many documents.
     """
     done, level = None, _branch(sets.select("id", "sig"), similarity, trees)
     for k in range(1, depth + 1):
         level = util.materialize(level, f"level{k}")
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = util.materialize(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{k}")
         held = level.join(sizes, "node")
         leaf = held if k == depth else held.where(F.col("size") <= leaf_rows)
-        leaf = leaf.select("node", "id", "tree", "size")
+        leaf = leaf.select("node", "id", "size")
         done = leaf if done is None else done.unionByName(leaf)
         if k < depth:
             large = held.where(F.col("size") > leaf_rows).drop("size")
@@ -163,6 +169,51 @@ def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth
     return done
 
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Positions of pairs that form a spanning forest over ``n`` nodes; earlier pairs go first.
+
+    All components choose their first pair to another one at once and merge, until none is left.
+    """
+    label, kept, live = np.arange(n), [], np.arange(len(i))
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            break
+        a, b = label[i[live]], label[j[live]]
+        first = np.full(n, len(i))
+        np.minimum.at(first, a, live)
+        np.minimum.at(first, b, live)
+        at = np.flatnonzero(first < len(i))
+        pick = first[at]
+        kept.append(np.unique(pick))
+        x, y = label[i[pick]], label[j[pick]]
+        to = np.arange(n)
+        to[at] = np.where(x == at, y, x)
+        # two that chose each other: the smaller one is the root
+        both = (to[to] == np.arange(n)) & (np.arange(n) < to)
+        to[both] = np.flatnonzero(both)
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _named(ids: pa.Array, i: np.ndarray, j: np.ndarray, arrow: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([ids.take(pa.array(x)).cast(f.type) for x, f in zip((i, j), arrow, strict=True)], schema=arrow)
+
+
+def _pair_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+
+
+def _blocks(rows: DataFrame, group: str, id_hash, buckets: int) -> DataFrame:
+    """``rows`` (with parts, the blocks of their group) once for each pair (p, q) of blocks that their
+    own ``block`` is in, and the bucket of pairs that go to one task."""
+    mine = rows.withColumn("block", F.pmod(id_hash, F.col("parts")).cast("int"))
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    return pairs.withColumn("bucket", F.pmod(F.xxhash64(group, "p", "q"), F.lit(buckets)))
+
+
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Places at which each row of ``a`` and each of ``b`` agree; rows of ``a.T`` are places."""
     out = np.zeros((len(a), len(b)), np.uint8)
@@ -171,17 +222,14 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: int, buckets: int, least: int, first_least: int) -> DataFrame:
-    """Pairs (a, b) of members (node, id, size, n, comp, sig) that may link and are not connected.
+def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buckets: int, least: int, first_least: int) -> DataFrame:
+    """Pairs (a, b) that span what is connected by pairs of members (node, id, size, n, sig) of one
+    node that agree in ``least`` places, and in ``first_least`` of the first quarter.
 
     Nodes of more than ``block_rows`` members are compared block by block; nodes are dealt into
-    ``buckets`` groups, so that small ones are compared many at once. mode: ``star`` pairs the
-    member that agrees most with the block's commonest values with all others, ``best`` each member
-    with the likeliest partner it has in any node, ``rest`` all that remain. Pairs agree in ``least``
-    places at least, and in ``first_least`` of the quarter that is looked at first.
+    ``buckets`` groups, so that small ones are compared many at once.
     """
-    id_type = members.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("same", T.IntegerType())])
+    schema = _pair_schema(members.schema["id"].dataType)
     arrow = to_arrow_schema(schema)
     quarter, percent = PLACES // 4, round(100 * similarity)
 
@@ -196,130 +244,174 @@ def _candidates(members: DataFrame, similarity: float, mode: str, block_rows: in
             out.append((x[same >= least], y[same >= least], same[same >= least]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
-    def small_nodes(starts, sizes, n, comp, sig):
+    def small_nodes(starts, sizes, n, sig):
         """All pairs of nodes of few members, those of one size at once."""
         for size in np.unique(sizes):
             x, y = np.triu_indices(int(size), 1)
-            at = starts[sizes == size][:, None]
-            i, j = (at + x).ravel(), (at + y).ravel()
-            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            yield likely(sig, i[keep], j[keep])
-
-    def large_node(at, to, one, n, comp, sig):
+            mine = starts[sizes == size]
+            step = max(1, HELD_PAIRS // len(x))
+            for s in range(0, len(mine), step):
+                at = mine[s : s + step, None]
+                i, j = (at + x).ravel(), (at + y).ravel()
+                keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                yield likely(sig, i[keep], j[keep])
+
+    def large_node(at, to, one, n, sig):
         """Pairs of a block with itself (``one``) or with another block."""
-        if mode == "star" and one:
-            common = [v[np.unique(v, return_index=True, return_counts=True)[1][np.unique(v, return_counts=True)[1].argmax()]] for v in sig[at].T]
-            at = at[[(sig[at] == np.array(common)).sum(1).argmax()]]
         small, large = np.minimum(n[at][:, None], n[to][None]), np.maximum(n[at][:, None], n[to][None])
-        may = (comp[at][:, None] != comp[to][None]) & (100 * small >= percent * large)
-        if one and len(at) == len(to):
+        may = 100 * small >= percent * large
+        if one:
             may &= np.arange(len(at))[:, None] < np.arange(len(to))[None]
         if may.any():
             may &= _agreement(sig[at, :quarter], sig[to, :quarter]) >= first_least
         i, j = np.nonzero(may)
-        i, j, same = likely(sig, at[i], to[j])
-        if mode == "star" and not one:
-            keep = np.argsort(-same, kind="stable")[:1]
-            i, j, same = i[keep], j[keep], same[keep]
-        elif mode == "best" and len(i):
-            ends = np.concatenate([i, j])
-            by = np.lexsort((np.tile(np.arange(len(i)), 2), -np.tile(same, 2), ends))
-            keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
-            i, j, same = i[keep], j[keep], same[keep]
-        return i, j, same
+        return likely(sig, at[i], to[j])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("node", "ascending"), ("p", "ascending"), ("q", "ascending"), ("id", "ascending")])
         ids = table["id"].combine_chunks()
-        node, p, q, n, comp, block = (table[c].to_numpy() for c in ("node", "p", "q", "n", "comp_no", "block"))
+        node, p, q, n, block = (table[c].to_numpy() for c in ("node", "p", "q", "n", "block"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)
         starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
         sizes = np.diff(np.r_[starts, len(node)])
         few = (sizes <= 32) & (p[starts] == q[starts])
-        code = ids.dictionary_encode().indices.to_numpy().astype(np.int64)
+        coded = ids.dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         found, held, most = [], 0, HELD_PAIRS
 
         def pairs_found():
-            yield from small_nodes(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], n, comp, sig)
+            yield from small_nodes(starts[few & (sizes > 1)], sizes[few & (sizes > 1)], n, sig)
             for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
                 rows = np.arange(start, start + size)
                 at, to = rows[block[rows] == p[start]], rows[block[rows] == q[start]]
                 if len(at) and len(to):
-                    yield large_node(at, to, p[start] == q[start], n, comp, sig)
+                    yield large_node(at, to, p[start] == q[start], n, sig)
 
-        def reduced(parts):
-            """Documents meet in many nodes: each pair once, and where one partner is asked for, only
-            the likeliest of each document."""
+        def forest(parts):
             i, j, same = (np.concatenate(c) for c in zip(*parts, strict=True))
-            x, y = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
-            once = np.unique(x * (len(code) + 1) + y, return_index=True)[1]
-            i, j, same = i[once], j[once], same[once]
-            if mode == "best" and len(i):
-                ends, alike = np.concatenate([code[i], code[j]]), np.tile(same, 2).astype(np.int64)
-                by = np.lexsort((np.tile(np.arange(len(i)), 2), -alike, ends))
-                keep = np.unique(by[np.flatnonzero(np.r_[True, np.diff(ends[by]) > 0])] % len(i))
-                i, j, same = i[keep], j[keep], same[keep]
-            return i, j, same
+            order = np.argsort(-same.astype(np.int64), kind="stable")
+            keep = order[spanning(i[order], j[order], len(names))]
+            return i[keep], j[keep], same[keep]
 
         for i, j, same in pairs_found():
-            found.append((i.astype(np.int32), j.astype(np.int32), same.astype(np.uint8)))
+            found.append((code[i], code[j], same.astype(np.uint8)))
             held += len(i)
             if held > most:
-                found = [reduced(found)]
+                found = [forest(found)]
                 held = len(found[0][0])
-                most = max(HELD_PAIRS, 2 * held)
+                most = HELD_PAIRS + held
         if not found:
             return arrow.empty_table()
-        i, j, same = reduced(found)
-        # rows of a node are in the order of ids, those of two blocks are not
-        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
-        swap = pa.compute.greater(a, b)
-        a, b = pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b)
-        return pa.Table.from_arrays([a.cast(arrow.field(0).type), b.cast(arrow.field(1).type), pa.array(same.astype(np.int32))], schema=arrow)
-
-    parts = F.ceil(F.col("size") / block_rows).cast("int")
-    blocks = members.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("comp_no", F.xxhash64("comp"))
-    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("node", "p", "q"), F.lit(buckets)))
-    found = pairs.select("bucket", "node", "p", "q", "id", "n", "comp_no", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
-    if mode == "best":
-        ends = found.select(F.col("a").alias("end"), "a", "b", "same").unionByName(found.select(F.col("b").alias("end"), "a", "b", "same"))
-        found = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("m")).select("m.*")
-    return found.select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, exactly."""
-    wanted = util.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    schema = T.StructType([util.field(docs, id_col, "id"), T.StructField("s", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
-    percent = round(100 * similarity)
+        i, j, _ = forest(found)
+        return _named(names, i, j, arrow)
 
-    def sets(batches):
-        for batch in batches:
-            s = [shingles.shingle_set(t.as_py() or "", width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(s, pa.binary())], schema=arrow)
+    sized = members.withColumn("parts", F.ceil(F.col("size") / block_rows).cast("int"))
+    pairs = _blocks(sized, "node", F.xxhash64("id"), buckets)
+    return pairs.select("bucket", "node", "p", "q", "id", "n", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    full = util.materialize(texts.select("id", "text").mapInArrow(sets, schema), "sets")
-    joined = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    out_schema = pairs.select("a", "b").schema
-    out_arrow = to_arrow_schema(out_schema)
 
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = shingles.overlap(x, y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            batch = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, out_arrow, strict=True)], schema=out_arrow)
+def clusters(forest: DataFrame, leaf: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, id, n): groups of ids such that the ends of each candidate pair share one.
+
+    A group is a component of the forest, and where that has more than ``WHOLE_CLUSTER`` members,
+    so that its blocks would be repeated too often, each leaf that its members meet in.
+    """
+    component = util.materialize(connected_components(forest, "a", "b").select(F.col("node").alias("id"), F.xxhash64("component").alias("grp")), "clusters")
+    sizes = component.groupBy("grp").count().where(F.col("count") > WHOLE_CLUSTER).select("grp")
+    groups = component
+    if not sizes.isEmpty():
+        sizes = util.materialize(sizes, "large_clusters")
+        inside = component.join(sizes, "grp", "left_semi").select("id")
+        groups = component.join(sizes, "grp", "left_anti").unionByName(leaf.join(inside, "id", "left_semi").select("id", F.col("node").alias("grp")))
+    return groups.join(sets.select("id", "n").distinct(), "id").select("grp", "id", "n")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets ``a`` shares with each of the sets ``b``.
+
+    Elements in many sets of both lists are counted by a matrix product, the others by listing the
+    pairs of sets that each is in.
+    """
+    out = np.zeros((len(a), len(b)), np.int64)
+    values = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    order = [np.argsort(v, kind="stable") for v in values]
+    values, owner = [v[o] for v, o in zip(values, order, strict=True)], [w[o] for w, o in zip(owner, order, strict=True)]
+    known, at, n = [], [], []
+    for v in values:
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+        known.append(v[first])
+        at.append(first)
+        n.append(np.diff(np.r_[first, len(v)]))
+    _, x, y = np.intersect1d(*known, assume_unique=True, return_indices=True)
+    ax, ay, nx, ny = at[0][x], at[1][y], n[0][x], n[1][y]
+    many = nx * ny >= 1024
+    for s in range(0, int(many.sum()), 1024):
+        k = np.flatnonzero(many)[s : s + 1024]
+        seen = []
+        for size, starts, counts, own in ((len(a), ax[k], nx[k], owner[0]), (len(b), ay[k], ny[k], owner[1])):
+            m = np.zeros((size, len(k)), np.float32)
+            places = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            m[own[places], np.repeat(np.arange(len(k)), counts)] = 1
+            seen.append(m)
+        out += (seen[0] @ seen[1].T).astype(np.int64)
+    ax, ay, nx, ny = ax[~many], ay[~many], nx[~many], ny[~many]
+    each = nx * ny
+    cuts = np.searchsorted(np.cumsum(each), np.arange(0, each.sum(), HELD_PAIRS)) if len(each) else []
+    for s, e in zip(cuts, [*cuts[1:], len(each)], strict=True):
+        k = np.repeat(np.arange(s, e), each[s:e])
+        r = np.arange(len(k)) - np.repeat(np.cumsum(each[s:e]) - each[s:e], each[s:e])
+        i, j = owner[0][ax[k] + r // ny[k]], owner[1][ay[k] + r % ny[k]]
+        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, block_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) that span what is connected by pairs of a group (grp, id, n) whose full sets are
+    similar enough, exactly."""
+    id_type = groups.schema["id"].dataType
+    sizes = util.materialize(groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "group_sizes")
+    parts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") * 8 / GROUP_BYTES)).cast("int")
+    wanted = util.materialize(groups.join(sizes.select("grp", parts.alias("parts")), "grp").select("id", "grp", "parts"), "wanted")
+    rows, copied = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("total") * 8 * parts), F.lit(0))).first()
+    if not rows:
+        return None
+    buckets = max(8, copied // GROUP_BYTES, rows // 8192)
+    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("id", id_type), T.StructField("s", T.BinaryType())])
+    arrow, out_schema = to_arrow_schema(schema), _pair_schema(id_type)
+    out_arrow, percent = to_arrow_schema(out_schema), round(100 * similarity)
 
-    found = util.materialize(joined.select("a", "b", "x", "y").mapInArrow(check, out_schema), "verified")
-    util.drop_table(full)
-    return found
+    def sets(batches):
+        for batch in batches:
+            s = [shingles.shingle_set(t.as_py() or "", width).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(f.type) for f in list(arrow)[:3]), pa.array(s, pa.binary())], schema=arrow)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("grp", "ascending"), ("p", "ascending"), ("q", "ascending")])
+        ids = table["id"].combine_chunks().dictionary_encode()
+        code, names = ids.indices.to_numpy().astype(np.int64), ids.dictionary
+        grp, p, q, block = (table[c].to_numpy() for c in ("grp", "p", "q", "block"))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["s"]]
+        n = np.array([len(x) for x in held], np.int64)
+        starts = np.flatnonzero(np.r_[True, (np.diff(grp) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
+        found = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(grp)], strict=True):
+            rows = np.arange(start, end)
+            at, to = rows[block[rows] == p[start]], rows[block[rows] == q[start]]
+            if len(at) and len(to):
+                both = shared_counts([held[k] for k in at], [held[k] for k in to])
+                near = 100 * both >= percent * (n[at][:, None] + n[to][None] - both)
+                if p[start] == q[start]:
+                    near = np.triu(near, 1)
+                i, j = np.nonzero(near)
+                keep = spanning(at[i] - start, to[j] - start, end - start)
+                found.append((code[at[i[keep]]], code[to[j[keep]]]))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return _named(names, i, j, out_arrow)
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted, "id")
+    blocks = _blocks(texts.select("grp", "parts", "id", "text").mapInArrow(sets, schema), "grp", F.xxhash64("id", "s"), buckets)
+    return blocks.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, recall: float = 0.9999, leaf_rows: int = 128, depth: int = 4, block_rows: int = 512, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,33 +427,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     trees, least_places, least_quarter = calibrate(similarity, recall, depth)
     table = util.materialize(signatures(docs, width, seed, id_col, text_col), "signatures")
     own = table.where("id is not null and n > 0")
-    least = own.groupBy("fp").agg(F.min("id").alias("rep"))
-    one = own.join(least, "fp").where("id = rep").dropDuplicates(["fp"])
-    sets = util.materialize(one.select("id", "n", "sig"), "representatives")
+    # the first id of each set; written, so that joins with it can be split where a set is common
+    least = util.materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "first_ids")
+    sets = util.materialize(own.join(least.withColumnRenamed("rep", "id"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "sig"), "representatives")
     leaf = util.materialize(leaves(sets, similarity, trees, leaf_rows, depth), "leaves")
-    # ids that repeat with different texts are one node
-    same = own.select("id", "fp").join(least, "fp").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     buckets = max(8, leaf.count() // 8192)
-    links = tested = component = None
-    for mode, first in (("star", True), ("best", False), ("best", False), ("rest", False)):
-        rows = leaf.where("tree < 2") if first else leaf
-        if component is None:
-            members = rows.withColumn("comp", F.col("id"))
-        else:
-            members = rows.join(component.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            open_nodes = members.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
-            members = members.join(open_nodes, "node", "left_semi")
-        pairs = _candidates(members.join(sets, "id"), similarity, mode, block_rows, buckets, least_places, least_quarter)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = util.materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = verified(pairs, docs, similarity, width, id_col, text_col)
-            links = found if links is None else links.unionByName(found)
-            component = util.materialize(connected_components(links, "a", "b"), "components")
-    every = same if links is None else links.unionByName(same)
-    component = connected_components(every, "a", "b")
-    out = table.select("id", "n").join(component.withColumnRenamed("node", "id"), "id", "left")
+    forest = candidate_forest(leaf.join(sets, "id"), similarity, block_rows, buckets, least_places, least_quarter)
+    forest = util.materialize(forest.distinct(), "candidates")
+    found = links(util.materialize(clusters(forest, leaf, sets), "groups"), docs, similarity, width, block_rows, id_col, text_col)
+    # texts that share an id are one node
+    texts = F.xxhash64("fp")
+    again = own.groupBy("id").agg(F.min(texts).alias("x"), F.max(texts).alias("y")).where("x != y").select("id")
+    same = own.join(again, "id", "left_semi").join(least, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a != b")
+    component = connected_components(same if found is None else found.unionByName(same), "a", "b")
+    named = least.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    node = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("fp"))
+    out = table.select("id", "n", node.alias("fp")).join(named, "fp", "left")
     to = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), to.alias("component_id"), F.coalesce(F.col("id") == to, F.lit(False)).alias("kept"))
