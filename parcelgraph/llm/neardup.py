@@ -147,16 +147,17 @@ def _branch(rows: DataFrame, similarity: float, trees: int | None) -> DataFrame:
 
 
 def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth: int) -> DataFrame:
-    """(node, id, size) for all leaves with two documents at least.
+    """(node, id, size) for all leaves with two documents at least, as a written table.
 
     sets: id, sig. Children are counted after each level; those of up to ``leaf_rows`` documents are
     leaves, and so are all at ``depth``. Counts are written before they are joined, so that both
     sides of the join are exchanges and Spark can split a node that holds many documents.
     """
-    done, level = None, _branch(sets.select("id", "sig"), similarity, trees)
+    done, level, written = None, _branch(sets.select("id", "sig"), similarity, trees), []
     for k in range(1, depth + 1):
         level = util.materialize(level, f"level{k}")
         sizes = util.materialize(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{k}")
+        written += [level, sizes]
         held = level.join(sizes, "node")
         leaf = held if k == depth else held.where(F.col("size") <= leaf_rows)
         leaf = leaf.select("node", "id", "size")
@@ -166,7 +167,10 @@ def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth
             if large.isEmpty():
                 break
             level = _branch(large.join(sets.select("id", "sig"), "id"), similarity, None)
-    return done
+    made = util.materialize(done, "leaves")
+    for table in written:
+        util.drop_table(table)
+    return made
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -368,15 +372,15 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, block_rows: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) that span what is connected by pairs of a group (grp, id, n) whose full sets are
-    similar enough, exactly."""
+    similar enough, exactly; None without groups."""
     id_type = groups.schema["id"].dataType
     sizes = util.materialize(groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") * 8 / GROUP_BYTES)).cast("int")
     wanted = util.materialize(groups.join(sizes.select("grp", parts.alias("parts")), "grp").select("id", "grp", "parts"), "wanted")
-    rows, copied = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("total") * 8 * parts), F.lit(0))).first()
+    rows, repeated, copied = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("m"), F.col("m") * parts, F.col("total") * 8 * parts))).first()
     if not rows:
         return None
-    buckets = max(8, copied // GROUP_BYTES, rows // 8192)
+    buckets = max(64, copied // GROUP_BYTES, repeated // 1024)
     schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("id", id_type), T.StructField("s", T.BinaryType())])
     arrow, out_schema = to_arrow_schema(schema), _pair_schema(id_type)
     out_arrow, percent = to_arrow_schema(out_schema), round(100 * similarity)
@@ -430,11 +434,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     # the first id of each set; written, so that joins with it can be split where a set is common
     least = util.materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "first_ids")
     sets = util.materialize(own.join(least.withColumnRenamed("rep", "id"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "sig"), "representatives")
-    leaf = util.materialize(leaves(sets, similarity, trees, leaf_rows, depth), "leaves")
+    leaf = leaves(sets, similarity, trees, leaf_rows, depth)
     buckets = max(8, leaf.count() // 8192)
     forest = candidate_forest(leaf.join(sets, "id"), similarity, block_rows, buckets, least_places, least_quarter)
     forest = util.materialize(forest.distinct(), "candidates")
-    found = links(util.materialize(clusters(forest, leaf, sets), "groups"), docs, similarity, width, block_rows, id_col, text_col)
+    groups = util.materialize(clusters(forest, leaf, sets), "groups")
+    for done in (leaf, sets):
+        util.drop_table(done)
+    found = links(groups, docs, similarity, width, block_rows, id_col, text_col)
+    found = None if found is None else util.materialize(found, "links")
     # texts that share an id are one node
     texts = F.xxhash64("fp")
     again = own.groupBy("id").agg(F.min(texts).alias("x"), F.max(texts).alias("y")).where("x != y").select("id")
@@ -444,4 +452,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     node = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("fp"))
     out = table.select("id", "n", node.alias("fp")).join(named, "fp", "left")
     to = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), to.alias("component_id"), F.coalesce(F.col("id") == to, F.lit(False)).alias("kept"))
+    made = util.materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), to.alias("component_id"), F.coalesce(F.col("id") == to, F.lit(False)).alias("kept")), "near_duplicates")
+    for done in (table, least, groups, forest):
+        util.drop_table(done)
+    return made

@@ -35,11 +35,3 @@ def words(text) -> F.Column:
 def field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:
     """The schema entry of one column, nullable, under another name if wanted."""
     return T.StructField(as_name or name, df.schema[name].dataType, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes below a plan: file sizes where it reads files.
-
-    Used only to choose how many partitions or groups to make, never which rows to read.
-    """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
