@@ -26,6 +26,8 @@ from . import util
 #: Sketch values of all items and partitions up to which they are broadcast (16 bytes each and
 #: overhead); larger benchmarks are joined by a shuffle.
 BROADCAST_VALUES = 500_000
+#: Ids of found documents up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 _HASH_BITS = 63
 
 
@@ -103,13 +105,17 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.75, w
     known = known.select("item", "part", F.explode_outer(picked).alias("value"))
     if longest * looked_up * 41 <= BROADCAST_VALUES:
         known = F.broadcast(known)
-    pairs = probes.join(known, ["part", "value"]).select("id", "item").distinct()
-    # exact containment: the documents that were found meet their items
+    pairs = util.materialize(probes.join(known, ["part", "value"]).select("id", "item").distinct(), "found")
+    # exact containment: texts are read again, of the documents that were found alone, and split
+    # after the join; items' shingles come last
     shared = F.size(F.array_intersect("texts", "shingles")).cast("long")
-    near = pairs.join(wanted.select("item", "shingles"), "item")
-    if longest * looked_up * 41 <= BROADCAST_VALUES:
-        near = pairs.join(F.broadcast(wanted.select("item", "shingles")), "item")
-    joined = held.select(F.col("id").alias("doc"), "words").join(near, F.col("doc").eqNullSafe(F.col("id")))
+    ids = pairs.select(F.col("id").alias("doc")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("doc")), "left_semi")
+    # words are made below the join: inside the shingles' own expression they'd be split for each
+    sets = texts.select(F.col("id").alias("doc"), util.words(F.col("text")).alias("words"))
+    joined = sets.join(pairs, F.col("doc").eqNullSafe(F.col("id"))).join(wanted.select("item", "shingles"), "item")
     checked = joined.select("doc", "item", "shingles", shingle_texts(F.col("words"), width).alias("texts")).select("doc", "item", F.size("shingles").cast("long").alias("n"), shared.alias("shared"))
     # the condition stands on aggregates, so it isn't evaluated inside the join as well
     counted = checked.groupBy("doc", "item").agg(F.max("n").alias("n_item_shingles"), F.max("shared").alias("n_shared"))
