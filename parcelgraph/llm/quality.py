@@ -136,31 +136,44 @@ def fit(stats: DataFrame, label: Column, shrinkage: float = 0.02) -> Discriminan
     return Discriminant.fit(n, sums, products, shrinkage)
 
 
-def apply(stats: DataFrame, model: Discriminant | None, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` columns and score for every row of ``stats``; 0.5 everywhere without a model."""
-    schema = T.StructType([*(util.field(stats, c) for c in keep), T.StructField("score", T.DoubleType())])
+def apply(docs: DataFrame, model: Discriminant | None, keep: Sequence[str] = (), text_col: str = "text") -> DataFrame:
+    """``keep`` columns and score for every row of ``docs``, in one pass; 0.5 everywhere without a
+    model. A null text is an empty one."""
+    schema = T.StructType([*(util.field(docs, c) for c in keep), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    d = len(STATISTICS)
 
     def run(batches):
         for batch in batches:
-            x = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = np.array([statistics(t.as_py() or "") for t in batch.column(0)]).reshape(-1, len(STATISTICS))
             score = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(arrow.field(k).type) for k in range(len(keep))), pa.array(score)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).cast(arrow.field(k).type) for k in range(len(keep))), pa.array(score)], schema=arrow)
+
+    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+
 
-    return stats.select(*keep, "x").mapInArrow(run, schema)
+def learn(docs: DataFrame, labels: DataFrame, train: Column, shrinkage: float, fit_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant | None:
+    """The discriminant of the rows of ``docs`` that ``labels`` marks 0 or 1 and ``train`` allows.
+
+    At most about ``fit_rows`` labels are learnt from: beyond that, those whose id's hash is below
+    the matching share. They are few enough to be broadcast to the documents.
+    """
+    known = labels.where(train).where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).alias("_y"))
+    n = known.count()
+    if n > fit_rows:
+        known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < (fit_rows << 20) // n)
+    chosen = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known), id_col)
+    return fit(document_statistics(chosen, id_col, text_col, keep=["_y"]), F.col("_y"), shrinkage)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, shrinkage: float = 0.02, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, shrinkage: float = 0.02, fit_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """id and score (0 to 1, higher: label 1 likelier) for every row of ``docs``.
 
     ``labels`` has ids and a label of 0 or 1; only rows for which ``train`` (a condition on the id
-    column) holds are learnt from, and nothing but the text enters a score. Rows with other or null
-    labels are not learnt from, ids labelled twice count twice. Null texts are empty ones, repeated
-    rows and null ids are scored each, an empty table gives no rows, and with fewer than two
-    examples of a class every score is 0.5. Other columns are not read. Texts are read whole.
+    column) holds are learnt from, about ``fit_rows`` of them at most, and nothing but the text
+    enters a score. Rows with other or null labels are not learnt from, ids labelled twice count
+    twice. Null texts are empty ones, repeated rows and null ids are scored each, an empty table
+    gives no rows, and with fewer than two examples of a class every score is 0.5. Other columns
+    are not read. Texts are read whole.
     """
-    stats = util.materialize(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.where(train).select(F.col(id_col).alias(id_col), F.col(label_col).alias("_y"))
-    model = fit(stats.join(known, id_col), F.col("_y"), shrinkage)
-    return apply(stats, model, [id_col])
+    model = learn(docs, labels, train, shrinkage, fit_rows, id_col, text_col, label_col)
+    return apply(docs, model, [id_col], text_col)
