@@ -1,346 +1,152 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are all words of the training texts and the end of a text. Contexts of up to ``depth``
-symbols are counted level by level; a context is a candidate if it occurs ``least_count`` times, one
-of its next symbols is an entry if it follows ``least_pair_count`` times, and the context is retained
-if its next-symbol distribution diverges from that of its longest suffix (relative entropy of at
-least ``divergence`` nats), or if a longer retained context has it as its suffix. A retained context
-gives its entries their discounted share and hands the rest to its suffix, down to the smoothed word
-counts, so every state's distribution sums to one. A text is scored by walking through the longest
-retained suffixes of its past.
-
-The counts asked for do not rise with the input, so the tree grows with it. It is kept as written
-tables of runs of symbols (a context with an entry's symbol is a run), which are joined by hash: to
-each other when the tree is fitted and to the runs of the texts when they are scored. The walk's
-log10 probability is a sum over the runs that end at each position (see :func:`run_values`), so the
-join needs no order. What is broadcast has a fixed size and only saves rows of the join, never
-changes the result: a filter that no known run fails, and the values of the most frequent runs.
-Runs are known by 64-bit hashes.
-
-:class:`Tree` and :func:`fit` hold a tree in memory, with the words that are no symbols of their own
-in one class; the tables are tested against them.
+symbols are counted level by level. A context that occurs ``least_count`` times or more is retained
+if its next-symbol distribution diverges from that of its longest retained suffix: if the relative
+entropy, over all its occurrences, is at least ``divergence`` nats. A retained context gives each
+symbol seen after it the share of its count less ``discount`` and hands the rest to its suffix, down
+to the smoothed word counts, so every state's distribution sums to one. A context that isn't
+retained is passed over. A text is scored by walking through the longest retained suffixes of its
+past.
+
+No threshold rises with the input, so the tree grows with it. It is kept as written tables of runs
+of symbols (a context with its next symbol is a run), known by 64-bit hashes. A text's log10
+probability is a sum over the runs that it holds: with the suffix's probability q, the share s and
+the rest r, a seen symbol's probability is s + r q and another's r q; so a retained context adds
+log10(r) wherever a symbol follows it, and a seen symbol log10(1 + s / (r q)) besides. Sums need no
+order, so a text's runs meet the tree part by part.
+
+Runs, requests and replies travel as packed columns, many in one row: a table's part is what hashes
+into one range, and a task packs what it has for a part into one binary value. What is broadcast has
+a fixed size and only saves requests, never changes the result: a filter that no known run fails, and
+the values of runs that are at least a fixed share of all.
 """
 
 from __future__ import annotations
 
 import gc
-from dataclasses import dataclass
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parcelgraph.sources.shared import shared_dir
+
 from . import shingles, util
 
 #: The end of a text, among the words' hashes.
 END = np.uint64(0xE1D0F7E87A3B5C19)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct keys that a task gathers before it hands them on.
+#: Distinct runs that a task gathers before it hands them on.
 GATHERED = 1 << 20
-#: Bytes of text or symbols that are worked on as one array.
-PORTION = 1 << 21
-#: Bits of the filter of known runs, as a power of two, and tasks that fill it.
+#: Bytes of text that are worked on as one array.
+PORTION = 1 << 22
+#: Training tokens for each part of a table.
+PART_TOKENS = 1_000_000
+#: Bits of the filters of known runs, as a power of two, and tasks that fill one.
 FILTER_BITS, FILTER_TASKS = 27, 6
-#: Slots of the values of frequent runs, as a power of two.
-CACHE_BITS = 21
+#: A run whose count is at least this share of the training tokens is frequent: of each length
+#: there are at most 2**18.
+FREQUENT = 2.0**-18
+#: Kinds of packed rows.
+PARTIAL, SEEN, CONTEXT, WORD, TEXTS, REQUEST = range(6)
+_RUNS = ("u8", "f4", "f4", "u8")  # run, value, probability of its last symbol, count
+_PACKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, each as planes of equal bytes, which compress well where sorted."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns)
 
 
-def context_hashes(symbols: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length 1..depth the hash of the symbols before each position, the nearest first.
+def unpack(blobs: list, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The columns of packed values, one value after another."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        raw = np.frombuffer(blob, np.uint8)
+        n, at = len(raw) // sum(sizes), 0
+        for into, kind, size in zip(out, kinds, sizes, strict=True):
+            into.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+            at += n * size
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
 
-    place: each position's number in its text; hashes of positions with a shorter past are void.
-    """
-    out, h = [], np.zeros(len(symbols), np.uint64)
-    for k in range(1, depth + 1):
-        past = np.zeros(len(symbols), np.uint64)
-        past[k:] = symbols[: len(symbols) - k]
-        h = shingles.mix((h + past + np.uint64(1)) * _STEP + np.uint64(k))
-        out.append(h)
-    return out
 
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a hash belongs to: parts are ranges."""
+    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
-@dataclass(frozen=True)
-class Tree:
-    """A fitted model. Symbol numbers: rank among the frequent words' hashes, then the rare class."""
-
-    hashes: np.ndarray  # sorted hashes of the frequent words
-    counts: np.ndarray  # their training counts
-    tokens: int  # N
-    words: int  # V
-    contexts: list[np.ndarray]  # for each level the sorted hashes of retained contexts
-    rest: list[np.ndarray]  # and the share that each hands to its suffix
-    keys: list[np.ndarray]  # sorted context number * symbols + symbol
-    shares: list[np.ndarray]  # the discounted share of each
-
-    @property
-    def symbols(self) -> int:
-        return len(self.hashes) + 1
-
-    def encode(self, words: np.ndarray) -> np.ndarray:
-        """Symbol numbers of word hashes."""
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.searchsorted(self.hashes, words)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == words, at, len(self.hashes))
-
-    def base(self) -> np.ndarray:
-        """The symbols' probabilities by smoothed counts alone."""
-        total = self.tokens + self.words + 1
-        p = (self.counts + 1) / total
-        return np.append(p, max(1 - p.sum(), 0.5 / total))
-
-    def probabilities(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The probability of each symbol after the longest retained suffix of its past."""
-        p = self.base()[symbols]
-        at = np.arange(len(symbols))
-        for k, h in enumerate(context_hashes(symbols, place, len(self.contexts))):
-            known = self.contexts[k]
-            at = at[place[at] > k]
-            if not len(known) or not len(at):
-                break
-            found = np.searchsorted(known, h[at])
-            found[found == len(known)] = 0
-            hit = known[found] == h[at]
-            at, found = at[hit], found[hit]
-            key = found * self.symbols + symbols[at]
-            keys = self.keys[k]
-            share = np.zeros(len(at))
-            if len(keys):
-                e = np.searchsorted(keys, key)
-                e[e == len(keys)] = 0
-                share = np.where(keys[e] == key, self.shares[k][e], 0.0)
-            p[at] = share + self.rest[k][found] * p[at]
-        return p
 
+def _stretches(x: np.ndarray):
+    """(start, end) of the stretches of equal values."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]).tolist() if len(x) else []
+    return zip(cuts, cuts[1:], strict=False)
 
-def _portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
-    """Slices of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
-    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)])
-    at = 0
-    while at < batch.num_rows:
-        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
-        upto = max(upto, at + 1)
-        yield batch.slice(at, upto - at)
-        at = upto
 
+def scatter(kind: int, parts: int, key: np.ndarray, *more: np.ndarray):
+    """(part, kind, packed) of rows in the order of their key, for each part that has any."""
+    order = np.argsort(key, kind="stable")
+    key, more = key[order], [m[order] for m in more]
+    part = part_of(key, parts)
+    for s, e in _stretches(part):
+        yield int(part[s]), kind, pack(key[s:e], *(m[s:e] for m in more))
 
-def _places(lengths: np.ndarray) -> np.ndarray:
-    starts = np.cumsum(lengths) - lengths
-    return np.arange(lengths.sum()) - np.repeat(starts, lengths)
 
+def _batch(rows, schema: T.StructType = _PACKED) -> pa.RecordBatch:
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-def _tokens(text: str) -> np.ndarray:
-    return np.append(shingles.word_hashes(text), END)
 
+def _table(rows) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
 
-def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    found, at = np.unique(all_keys, return_inverse=True)
-    return found, np.bincount(at, weights=all_counts, minlength=len(found)).astype(np.int64)
 
+def _blobs(table: pa.Table, kind: int) -> list:
+    return [x.as_buffer() for x, k in zip(table["data"], table["kind"].to_pylist(), strict=True) if k == kind]
 
-def _tally(parts):
-    """(keys, counts) of an iterator of key arrays, summed up as far as memory allows."""
-    keys, counts, held = [], [], 0
-    for part in parts:
-        k, c = np.unique(part, return_counts=True)
-        keys.append(k)
-        counts.append(c)
-        held += len(k)
-        if held > GATHERED:
-            k, c = _sum_up(keys, counts)
-            if len(k) > GATHERED // 2:
-                yield k, c
-                keys, counts, held = [], [], 0
-            else:
-                keys, counts, held = [k], [c], len(k)
-    if keys:
-        yield _sum_up(keys, counts)
 
+def _summed(key: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, the position of the first row of each, and sums of the weights."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], order[first], [np.add.reduceat(w[order], first) if len(first) else w for w in weights]
 
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(h, c): how often each word, or the end, occurs in all rows of ``docs``."""
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        texts = (np.concatenate([_tokens(t.as_py() or "") for t in b.column(0)]) for batch in batches for b in _portions(batch, 0))
-        for k, c in _tally(texts):
-            yield pa.RecordBatch.from_arrays([_longs(k), pa.array(c)], schema=arrow)
+def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in sorted ``known`` and whether the wanted values are there."""
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c"))
+
+def _portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
+    """Slices of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
+    ends = np.cumsum([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)])
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        upto = max(upto, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
-def _count_level(encoded: DataFrame, symbols: int, level: int, contexts: np.ndarray | None, pairs: np.ndarray | None, end: int) -> DataFrame:
-    """(ctx, sym, c) of contexts of ``level`` symbols; only those in ``contexts`` if given, before
-    symbols whose pair with the symbol before them is in ``pairs`` (as before * symbols + symbol).
-    """
-    schema = T.StructType([T.StructField("ctx", T.LongType()), T.StructField("sym", T.LongType()), T.StructField("c", T.LongType())])
-    arrow = to_arrow_schema(schema)
+def _tokens(text: str) -> np.ndarray:
+    return np.append(shingles.word_hashes(text), END)
 
-    def run(batches):
-        for batch in (b for whole in batches for b in _portions(whole, 0, 4 * PORTION)):
-            texts = [np.frombuffer(s.as_buffer(), np.uint32) for s in batch.column(0)]
-            place, sym = _places(np.array([len(t) for t in texts])), np.concatenate(texts).astype(np.int64)
-            h = context_hashes(sym, place, level)[-1]
-            at = np.flatnonzero(place >= level)
-            if contexts is not None:
-                e = np.searchsorted(contexts, h[at])
-                e[e == len(contexts)] = 0
-                at = at[contexts[e] == h[at]]
-                pair = sym[at - 1] * symbols + sym[at]
-                e = np.searchsorted(pairs, pair)
-                e[e == len(pairs)] = 0
-                # the context's total has to stay right: symbols that no pair announces count as rest
-                sym = np.where(np.isin(np.arange(len(sym)), at[pairs[e] != pair]), symbols, sym)
-            if not len(at):
-                continue
-            both = np.empty(len(at), [("ctx", np.uint64), ("sym", np.int64)])
-            both["ctx"], both["sym"] = h[at], sym[at]
-            order = np.lexsort((both["sym"], both["ctx"]))
-            both = both[order]
-            first = np.flatnonzero(np.r_[True, (both["ctx"][1:] != both["ctx"][:-1]) | (both["sym"][1:] != both["sym"][:-1])])
-            c = np.diff(np.r_[first, len(both)])
-            yield pa.RecordBatch.from_arrays([_longs(np.ascontiguousarray(both["ctx"][first])), pa.array(both["sym"][first]), pa.array(c)], schema=arrow)
-
-    return encoded.select("syms").mapInArrow(run, schema).groupBy("ctx", "sym").agg(F.sum("c").alias("c"))
-
-
-def _collect(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    table = df.select(*columns).toArrow()
-    return [table[c].to_numpy() for c in columns]
-
-
-def _sums(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """Sums of weights by position, as floats even when there are none."""
-    return np.bincount(at, weights=weights, minlength=n).astype(float)
-
-
-def fit(encoded: DataFrame, hashes: np.ndarray, counts: np.ndarray, tokens: int, words: int, depth: int, least_share: float, least_pair: float, divergence: float, discount: float) -> Tree:
-    """The tree over training rows ``encoded`` (syms: symbol numbers as 32-bit integers)."""
-    bare = Tree(hashes, counts, tokens, words, [], [], [], [])
-    symbols, base = bare.symbols, bare.base()
-    least, pair_least = max(2, least_share * tokens), max(2, least_pair * tokens)
-    levels = []  # (hashes, suffix's number, total, entries: number, symbol, count)
-    spelled: np.ndarray | None = None  # the symbols of the contexts of the last level, nearest first
-    candidates, allowed = None, None
-    for level in range(1, depth + 1):
-        held = util.materialize(_count_level(encoded, symbols, level, candidates, allowed, symbols), f"contexts{level}")
-        totals = held.groupBy("ctx").agg(F.sum("c").alias("n")).where(F.col("n") >= least)
-        ctx, n = _collect(totals, "ctx", "n")
-        ctx = ctx.view(np.uint64)
-        order = np.argsort(ctx)
-        ctx, n = ctx[order], n[order]
-        p_ctx, p_sym, p_c = _collect(held.where((F.col("c") >= pair_least) & (F.col("sym") < symbols)), "ctx", "sym", "c")
-        p_ctx = p_ctx.view(np.uint64)
-        e = np.searchsorted(ctx, p_ctx)
-        e[e == len(ctx)] = 0
-        keep = ctx[e] == p_ctx if len(ctx) else np.zeros(len(p_ctx), bool)
-        number, p_sym, p_c = e[keep], p_sym[keep], p_c[keep]
-        order = np.lexsort((p_sym, number))
-        number, p_sym, p_c = number[order], p_sym[order], p_c[order]
-        # spell the contexts out: level 1 by hashing every symbol, later ones by the entries that
-        # the level before has for their nearest symbol
-        if level == 1:
-            every = np.arange(symbols, dtype=np.int64)
-            two = np.stack([every, np.zeros(symbols, np.int64)], 1).ravel()
-            h = context_hashes(two, two * 0 + np.tile([0, 1], symbols), 1)[0][1::2]
-            by = np.argsort(h)
-            at = by[np.searchsorted(h[by], ctx)]
-            spelled_now, parent = at[:, None], np.zeros(len(ctx), np.int64)
-            allowed = np.sort(at[number] * symbols + p_sym)
-        else:
-            where = np.searchsorted(spelled_hash, ctx)
-            spelled_now, parent = spelled_next[where], parent_next[where]
-        levels.append((ctx, parent, n, number, p_sym, p_c))
-        if level == depth or not len(ctx):
-            break
-        # candidates of the next level: an entry (context, symbol) with enough counts is the context
-        # that ends in that symbol
-        good = p_c >= least
-        base_rows, last = spelled_now[number[good]], p_sym[good]
-        # nearest symbol first: the new symbol, then the context's, of which the oldest stays
-        spelled_next = np.concatenate([last[:, None], base_rows], 1)
-        rows = spelled_next[:, ::-1]
-        flat = np.concatenate([rows, np.zeros((len(rows), 1), np.int64)], 1)
-        width = flat.shape[1]
-        h = context_hashes(flat.ravel(), np.tile(np.arange(width), len(flat)), width - 1)
-        spelled_hash, suffix_hash = h[width - 2][width - 1 :: width], h[width - 3][width - 1 :: width]
-        # the suffix without the oldest symbol has to be a candidate of this level
-        e = np.searchsorted(ctx, suffix_hash)
-        e[e == len(ctx)] = 0
-        ok = ctx[e] == suffix_hash
-        order = np.argsort(spelled_hash[ok])
-        spelled_hash, spelled_next, parent_next = spelled_hash[ok][order], spelled_next[ok][order], e[ok][order]
-        candidates = spelled_hash
-        spelled = spelled_next
-        if not len(candidates):
-            break
-    # distributions and their divergence from those of the suffixes, from short to long
-    share, rest, keeps, lookups = [], [], [], []
-    for k, (ctx, parent, n, number, sym, c) in enumerate(levels):
-        s = (c - discount) / n[number]
-        left = 1 - _sums(number, s, len(ctx))
-        # the suffix's probability of each entry's symbol
-        q, up, factor = np.zeros(len(sym)), parent[number], np.ones(len(sym))
-        for j in range(k - 1, -1, -1):
-            keys, values = lookups[j]
-            key = up * symbols + sym
-            e = np.searchsorted(keys, key)
-            e[e == len(keys)] = 0
-            if len(keys):
-                q += factor * np.where(keys[e] == key, values[e], 0.0)
-            factor = factor * rest[j][up]
-            up = levels[j][1][up]
-        q += factor * base[sym]
-        p = s + left[number] * q
-        gain = _sums(number, p * np.log(p / q), len(ctx))
-        # symbols without an entry keep the suffix's shape, scaled
-        outside = 1 - _sums(number, q, len(ctx))
-        inside = 1 - _sums(number, p, len(ctx))
-        ok = (outside > 1e-12) & (inside > 1e-12)
-        gain[ok] += inside[ok] * np.log(inside[ok] / outside[ok])
-        share.append(s)
-        rest.append(left)
-        lookups.append((number * symbols + sym, s))
-        keeps.append(gain >= divergence)
-    for k in range(len(levels) - 1, 0, -1):
-        keeps[k - 1][levels[k][1][keeps[k]]] = True
-    # a state predicts where no longer retained context does, so what those have seen is taken out
-    # of its counts
-    contexts, rests, all_keys, all_shares = [], [], [], []
-    for k, (keep, (ctx, _, n, number, sym, c)) in enumerate(zip(keeps, levels, strict=True)):
-        n, c = n.astype(float), c.astype(float)
-        if k + 1 < len(levels):
-            _, up, n2, number2, sym2, c2 = levels[k + 1]
-            n -= _sums(up[keeps[k + 1]], n2[keeps[k + 1]], len(ctx))
-            theirs = keeps[k + 1][number2]
-            key, key2 = number * symbols + sym, (up[number2] * symbols + sym2)[theirs]
-            e = np.searchsorted(key, key2)
-            e[e == len(key)] = 0
-            hit = key[e] == key2 if len(key) else np.zeros(len(key2), bool)
-            c -= _sums(e[hit], c2[theirs][hit], len(c))
-        n = np.maximum(n, 1.0)
-        s = np.maximum(c - discount, 0.0) / n[number]
-        # entries of longer contexts too rare to be known are still counted here
-        total = _sums(number, s, len(ctx))
-        s *= (np.minimum(total, 1 - discount / (n + 1)) / np.maximum(total, 1e-300))[number]
-        left = 1 - _sums(number, s, len(ctx))
-        new = np.cumsum(keep) - 1
-        mine = keep[number] & (s > 0)
-        contexts.append(ctx[keep])
-        rests.append(left[keep])
-        all_keys.append(new[number[mine]] * symbols + sym[mine])
-        all_shares.append(s[mine])
-    return Tree(hashes, counts, tokens, words, contexts, rests, all_keys, all_shares)
+
+def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, number of each in its text, lengths) of a portion."""
+    read = [_tokens(t.as_py() or "") for t in texts]
+    lengths = np.array([len(t) for t in read])
+    starts = np.cumsum(lengths) - lengths
+    return np.concatenate(read), np.arange(lengths.sum()) - np.repeat(starts, lengths), lengths
 
 
 def runs(words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -361,124 +167,181 @@ def _joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
     return shingles.mix(first * _STEP + last + np.uint64(order))
 
 
-def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _step(df: DataFrame, name: str) -> DataFrame:
+    """A written table; the shuffles that made it and are held no longer free their disk."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def count_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h, c): how often each word, or the end, occurs in all rows of ``docs``."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in (b for whole in batches for b in _portions(whole, 0)):
+            symbols = _read(batch.column(0))[0]
+            key, _, (count,) = _summed(np.concatenate([key, symbols]), np.concatenate([count, np.ones(len(symbols), np.int64)]))
+            if len(key) > GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], schema=arrow)
+                key, count = key[:0], count[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], schema=arrow)
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def packed_words(counts: DataFrame, total: int, parts: int) -> DataFrame:
+    """The words' runs of one symbol, with their smoothed probability."""
+
+    def run(batches):
+        for batch in batches:
+            h, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.uint64)
+            yield _batch(scatter(WORD, parts, h, np.zeros(len(h), np.float32), ((c + 1.0) / total).astype(np.float32), c))
+
+    return counts.mapInArrow(run, _PACKED)
+
+
+def _bits(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - FILTER_BITS)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def known_filter(table: DataFrame, column: str) -> np.ndarray:
-    """Bits of fixed number that are set for every hash in ``column``, and by chance for others."""
+def known_filter(table: DataFrame, least: int, valued: bool = False) -> np.ndarray:
+    """Bits of fixed number that are set for every packed run that occurs ``least`` times (and has
+    a value, if asked for), and by chance for others."""
     schema = T.StructType([T.StructField("bits", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            for blob in batch.column(0):
+                g, v, _, c = unpack([blob.as_buffer()], _RUNS)
+                at = g[(c >= least) & ((v != 0) | (not valued))] >> np.uint64(64 - FILTER_BITS)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], schema=arrow)
 
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in table.select(column).coalesce(FILTER_TASKS).mapInArrow(run, schema).toLocalIterator():
+    for row in table.select("data").coalesce(FILTER_TASKS).mapInArrow(run, schema).toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def count_runs(docs: DataFrame, text_col: str, order: int, known: np.ndarray, least: float) -> DataFrame:
-    """(g, ctx, suf, c): runs of ``order`` words that occur ``least`` times, and those that leave out
-    their last (ctx) and first word (suf), which are both in the filter ``known``."""
-    longs = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
-    schema, full = longs("ctx", "suf", "c"), longs("g", "ctx", "suf", "c")
-    arrow, full_arrow = to_arrow_schema(schema), to_arrow_schema(full)
+def count_runs(docs: DataFrame, text_col: str, order: int, parts: int, known: np.ndarray | None) -> DataFrame:
+    """Packed partial counts of runs of ``order`` symbols: run without its first, without its last
+    symbol, count; by the part of the former. Only contexts in the filter ``known``, if given."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        for batch in (b for whole in batches for b in _portions(whole, 0, 2 * PORTION)):
-            texts = [_tokens(t.as_py() or "") for t in batch.column(0)]
-            place = _places(np.array([len(t) for t in texts]))
-            end = runs(np.concatenate(texts), order - 1)[-1]
-            ok = _in_filter(shared.value, end)
-            at = np.flatnonzero(place >= order - 1)
-            at = at[ok[at] & ok[at - 1]]
-            first, last = end[at - 1], end[at]
-            _, once, c = np.unique(_joined(first, last, order), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_longs(first[once]), _longs(last[once]), pa.array(c)], schema=arrow)
+        held = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)]
 
-    def name(batches):
-        for batch in batches:
-            first, last = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([_longs(_joined(first, last, order)), *batch.columns], schema=full_arrow)
-
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= least).mapInArrow(name, full)
+        def emit():
+            return _batch(scatter(PARTIAL, parts, held[1], held[2], held[3].astype(np.uint32)))
 
+        for batch in (b for whole in batches for b in _portions(whole, 0)):
+            symbols, place, _ = _read(batch.column(0))
+            end = runs(symbols, order - 1)[-1]
+            at = np.flatnonzero(place >= order - 1)
+            if shared.value is not None:
+                at = at[_bits(shared.value, end[at - 1])]
+            ctx, suf = end[at - 1], end[at]
+            g, first, (c,) = _summed(_joined(ctx, suf, order), np.ones(len(at), np.int64))
+            new = [np.concatenate(x) for x in zip(held, (g, suf[first], ctx[first], c), strict=True)]
+            g, first, (c,) = _summed(new[0], new[3])
+            held = [g, new[1][first], new[2][first], c]
+            if len(g) > GATHERED:
+                yield emit()
+                held = [x[:0] for x in held]
+        yield emit()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, _PACKED)
+
+
+def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, least: int, divergence: float, discount: float) -> DataFrame:
+    """Packed runs of ``order`` symbols (SEEN) and their contexts (CONTEXT), from partial counts and
+    the packed runs that are shorter by one."""
+
+    def with_suffix(table: pa.Table) -> pa.Table:
+        """Counts of whole runs, with the probability of their last symbol after the suffix."""
+        suf, ctx, c = unpack(_blobs(table, PARTIAL), ("u8", "u8", "u4"))
+        g, first, (c,) = _summed(_joined(ctx, suf, order), c.astype(np.int64))
+        suf, ctx = suf[first], ctx[first]
+        known, _, p, _ = unpack(_blobs(table, SEEN) + _blobs(table, WORD), _RUNS)
+        by = np.argsort(known)
+        at, hit = _found(known[by], suf)
+        q = np.where(hit, p[by][at], 0) if len(known) else np.zeros(len(suf))
+        # a suffix that no table has belongs to a context that a filter let through by chance
+        return _table(scatter(PARTIAL, parts, ctx[hit], g[hit], c[hit], q[hit].astype(np.float32)))
+
+    def fit(table: pa.Table) -> pa.Table:
+        ctx, g, c, q = unpack(_blobs(table, PARTIAL), ("u8", "u8", "i8", "f4"))
+        order_ = np.argsort(ctx, kind="stable")
+        ctx, g, c, q = ctx[order_], g[order_], c[order_], q[order_].astype(float)
+        first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
+        if not len(first):
+            return _table([])
+        over, each = lambda x: np.add.reduceat(x, first), np.diff(np.r_[first, len(ctx)])
+        n = over(c)
+        total, rest = np.repeat(n, each), discount * each / n
+        s = (c - discount) / total
+        p = s + np.repeat(rest, each) * q
+        inside, outside = 1 - over(p), 1 - over(q)
+        beyond = (inside > 1e-12) & (outside > 1e-12)
+        gain = over(p * np.log(p / q)) + np.where(beyond, inside * np.log(np.where(beyond, inside, 1) / np.where(beyond, outside, 1)), 0)
+        keep = (n >= least) & (gain * n >= divergence)
+        kept = np.repeat(keep, each)
+        p = np.where(kept, p, q)
+        v = np.where(kept, np.log10(1 + s / (np.repeat(rest, each) * q)), 0)
+        rows = [*scatter(SEEN, parts, g, v.astype(np.float32), p.astype(np.float32), c.astype(np.uint64))]
+        ctx, rest, n = ctx[first][keep], rest[keep], n[keep]
+        rows += scatter(CONTEXT, parts, ctx, np.log10(rest).astype(np.float32), np.zeros(len(ctx), np.float32), n.astype(np.uint64))
+        return _table(rows)
+
+    wanted = shorter.where(F.col("kind").isin(SEEN, WORD))
+    found = partial.unionByName(wanted).groupBy("part").applyInArrow(with_suffix, _PACKED)
+    return found.groupBy("part").applyInArrow(fit, _PACKED)
+
+
+def frequent(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, value and count (0: no word) of the packed runs that occur ``least`` times."""
 
-def _step(df: DataFrame, name: str) -> DataFrame:
-    """A written table; the shuffles that made it and are held no longer free their disk."""
-    out = util.materialize(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                g, v, p, c = unpack([blob.as_buffer()], _RUNS)
+                many = c >= least
+                rows.append((0, kind, pack(g[many], v[many], p[many], c[many] if kind == WORD else c[many] * np.uint64(0))))
+            yield _batch(rows)
+
+    rows = table.select("kind", "data").mapInArrow(run, _PACKED).select("data").toLocalIterator()
+    g, v, _, c = unpack([r.data for r in rows], _RUNS)
+    g, first, (v, c) = _summed(g, v.astype(float), c)
+    return g, v, c
+
+
+def _slots(g: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Hashes and values by slot; of those that share one the last stays, others aren't found."""
+    bits = max(4, int(len(g)).bit_length() + 1)
+    mask = np.uint64((1 << bits) - 1)
+    at = (g & mask).astype(np.int64)
+    # an empty slot holds a hash that belongs in another one
+    held = (np.arange(1 << bits, dtype=np.uint64) + np.uint64(1)) & mask
+    held[at] = g
+    out = [held]
+    for x in values:
+        into = np.zeros(1 << bits, x.dtype)
+        into[at] = x
+        out.append(into)
     return out
 
 
-def level_rows(found: DataFrame, shorter: DataFrame, q: DataFrame, least: float, pair_least: float, discount: float) -> DataFrame:
-    """The runs ``found`` (g, ctx, suf, c) whose context, a run of ``shorter`` (g, c), is a candidate,
-    with its count n; p, an entry's probability by the suffix's q (suf, q); gain, the divergence of
-    the context's distribution from its suffix's. Other runs than entries have a null p."""
-    contexts = shorter.where(F.col("c") >= least).select(F.col("g").alias("ctx"), F.col("c").alias("n"))
-    by_ctx = Window.partitionBy("ctx")
-    rows = found.join(q, "suf", "left").join(contexts, "ctx")
-    s = F.when(F.col("c") >= pair_least, (F.col("c") - discount) / F.col("n"))
-    left = 1 - F.coalesce(F.sum(s).over(by_ctx), F.lit(0.0))
-    rows = rows.withColumn("p", s + left * F.col("q"))
-    over = lambda c: F.coalesce(F.sum(F.when(F.col("p").isNotNull(), c)).over(by_ctx), F.lit(0.0))
-    inside, outside = 1 - over(F.col("p")), 1 - over(F.col("q"))
-    beyond = F.when((inside > 1e-12) & (outside > 1e-12), inside * F.ln(inside / outside)).otherwise(0.0)
-    return rows.select("g", "ctx", "suf", "c", "n", "p", (over(F.col("p") * F.ln(F.col("p") / F.col("q"))) + beyond).alias("gain"))
-
-
-def run_values(base: DataFrame, levels: list[DataFrame], divergence: float, discount: float) -> DataFrame:
-    """(g, v, c): what each run of the tree adds to the log10 probability of a text, and its count.
-
-    base: (suf, q), the words' probabilities; levels: :func:`level_rows` for contexts of 1, 2, ...
-    words, which are deleted. With the suffix's probability q, the share s and the rest r, an entry's
-    probability is s + r q and another symbol's r q. So a retained context adds log10(r) wherever it
-    occurs before a symbol, and an entry log10(1 + s / (r q)) besides.
-    """
-    by_ctx = Window.partitionBy("ctx")
-    # from long to short: what is retained, and what longer retained contexts take out of its counts
-    kept = []
-    for k in range(len(levels) - 1, -1, -1):
-        rows = levels[k].withColumns({"own": F.col("gain") >= divergence, "entry": F.col("p").isNotNull()}).drop("gain", "p")
-        if kept:
-            longer = levels[k].join(kept[-1].select(F.col("ctx").alias("g")).distinct(), "g", "left_semi").groupBy(F.col("suf").alias("ctx")).agg(F.sum("c").alias("taken"))
-            below = kept[-1].groupBy(F.col("suf").alias("g")).agg(F.sum("c").alias("less"))
-            rows = rows.join(longer, "ctx", "left").join(below, "g", "left").where(F.col("own") | F.col("taken").isNotNull()).fillna(0, ["taken", "less"])
-        else:
-            rows = rows.where("own").withColumns({"taken": F.lit(0).cast("long"), "less": F.lit(0).cast("long")})
-        kept.append(_step(rows.where("entry").drop("own", "entry"), f"retained{k + 1}"))
-        util.drop_table(levels[k])
-    values, q = [], base
-    for k, held in enumerate(reversed(kept)):
-        n = F.greatest((F.col("n") - F.col("taken")).cast("double"), F.lit(1.0))
-        rows = held.withColumn("s", F.greatest(F.col("c") - F.col("less") - discount, F.lit(0.0)) / n)
-        # entries of longer contexts too rare to be known are still counted here
-        rows = rows.withColumn("sum", F.sum("s").over(by_ctx))
-        most = F.least("sum", 1 - discount / (n + 1))
-        rows = rows.withColumn("s", F.col("s") * most / F.greatest("sum", F.lit(1e-300))).withColumn("rest", 1 - most)
-        rows = rows.join(q, "suf").select("g", "ctx", "c", "n", F.log10("rest").alias("rest"), (F.col("s") + F.col("rest") * F.col("q")).alias("p"), F.log10(1 + F.col("s") / (F.col("rest") * F.col("q"))).alias("v"))
-        rows = _step(rows, f"values{k + 1}")
-        util.drop_table(held)
-        values.append(rows.where("v != 0").select("g", "v", "c"))
-        values.append(rows.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("n").alias("c")).withColumnRenamed("ctx", "g"))
-        q = rows.select(F.col("g").alias("suf"), F.col("p").alias("q"))
-    every = values[0]
-    for more in values[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("g").agg(F.sum("v").alias("v"), F.max("c").alias("c"))
-
-
-def score_texts(docs: DataFrame, train: Column, depth: int = 3, least_share: float = 0.0, least_pair: float = 0.0, divergence: float = 0.02, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text", least_count: int = 2, least_pair_count: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int = 2, divergence: float = 1.0, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     Words are runs of other characters than ASCII white space, A-Z lowered; each text ends with one
@@ -487,83 +350,99 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 3, least_share: flo
     log10 probability of the text; n_known counts tokens with c > 0. A null or empty text is its
     end alone. Repeated rows are learnt from and scored each; null ids are scored and, as ``train``
     says, learnt from. With no training rows every score is the base's. Other columns are not read;
-    an empty table gives no rows; texts are read whole. ``least_share`` and ``least_pair`` ask for
-    shares of the training tokens besides the counts; they bound the tree and are off by default.
+    an empty table gives no rows; texts are read whole. Contexts of one symbol need no
+    ``least_count``.
     """
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("_key"), F.coalesce(train, F.lit(False)).alias("_train"))
-    learnt = keyed.where("_train")
-    counts = util.materialize(count_words(learnt, text_col), "words")
+    sc = docs.sparkSession.sparkContext
+    learnt = docs.where(F.coalesce(train, F.lit(False)))
+    counts = _step(count_words(learnt, text_col), "words")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    total = tokens + words + 1
-    least, pair_least = max(least_count, least_share * tokens), max(least_pair_count, least_pair * tokens)
-    base = counts.select(F.col("h").alias("suf"), ((F.col("c") + 1) / F.lit(float(total))).alias("q"))
-    levels, shorter, q = [], counts.withColumnRenamed("h", "g"), base
+    total, parts = tokens + words + 1, max(8, -(-tokens // PART_TOKENS))
+    tables = [_step(packed_words(counts, total, parts), "level0")]
+    util.drop_table(counts)
     for k in range(1, depth + 1):
-        known = known_filter(shorter.where(F.col("c") >= min(least, pair_least)), "g")
-        found = count_runs(learnt, text_col, k + 1, known, min(least, pair_least))
-        shorter = _step(level_rows(found, shorter, q, least, pair_least, discount), f"level{k}")
-        levels.append(shorter)
-        q = shorter.where("p is not null").select(F.col("g").alias("suf"), F.col("p").alias("q"))
-    tree = run_values(base, levels, divergence, discount)
-    own = F.log10((F.col("n") + 1) / F.lit(float(total)))
-    is_word = counts.select(F.col("h").alias("g"), F.col("c").alias("n"))
-    tree = _step(tree.join(is_word, "g", "full").select("g", F.coalesce("v", F.lit(0.0)).alias("v"), own.alias("own"), F.coalesce("n", "c").alias("c")), "tree")
-    top = _collect(tree.orderBy(F.desc("c"), "g").limit(1 << (CACHE_BITS - 1)), "g", "v", "own")
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((_cache(*top), known_filter(tree.where("v != 0"), "g")))
-
-    # kind 0: a text's sums over cached runs, joined to nothing; 1: a word, 2: a longer run to look up
-    schema = T.StructType([T.StructField(n, kind()) for n, kind in (("key", T.LongType), ("g", T.LongType), ("kind", T.IntegerType), ("n", T.LongType), ("known", T.LongType), ("base", T.DoubleType), ("gain", T.DoubleType))])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        (held, v, own), known_runs = shared.value
-        for batch in (b for whole in batches for b in _portions(whole, 1, 2 * PORTION)):
-            texts = [_tokens(t.as_py() or "") for t in batch.column(1)]
-            key, lengths = batch.column(0).to_numpy(), np.array([len(t) for t in texts])
-            place, row = _places(lengths), np.repeat(np.arange(len(texts)), lengths)
-            base, gain, known = (np.zeros(len(texts)) for _ in range(3))
-            for k, h in enumerate(runs(np.concatenate(texts), depth + 1)):
-                at = np.flatnonzero((place >= k) & _in_filter(known_runs, h)) if k else np.arange(len(h))
-                slot = _slot(h[at])
-                hit = held[slot] == h[at]
+        known = known_filter(tables[-1].where(F.col("kind") == SEEN), least_count) if k > 1 else None
+        partial = count_runs(learnt, text_col, k + 1, parts, known)
+        tables.append(_step(fit_level(partial, tables[-1], k + 1, parts, least_count if k > 1 else 1, divergence, discount), f"level{k}"))
+    tree = tables[0]
+    for table in tables[1:]:
+        tree = tree.unionByName(table)
+    g, v, c = frequent(tree, max(4, int(tokens * FREQUENT)))
+    shared = sc.broadcast((_slots(g, v, c), known_filter(tree.where(F.col("kind") != WORD), 1, valued=True)))
+    unseen = float(np.log10(1 / total))
+    own = lambda c: np.log10((c + 1.0) / total)
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([*_PACKED, T.StructField("portion", T.LongType()), T.StructField("ids", T.ArrayType(id_type))])
+    sums = ("u8", "u4", "f8", "f8")  # tokens, known, base, gain: of each text of a portion
+
+    def ask(batches):
+        """For each portion of texts its sums over frequent runs, and to each part of the tree the
+        other runs that it may know: word by word, then longer ones, by text."""
+        (held, value, count), filter_ = shared.value
+        mask, portion = np.uint64(len(held) - 1), TaskContext.get().partitionId() << 32
+        for batch in (b for whole in batches for b in _portions(whole, 1)):
+            symbols, place, lengths = _read(batch.column(1))
+            n, row = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+            known, base, gain = np.zeros(n), np.zeros(n), np.zeros(n)
+            wanted = []
+            for k, h in enumerate(runs(symbols, depth + 1)):
+                at = np.flatnonzero((place >= k) & _bits(filter_, h)) if k else np.arange(len(h))
+                slot = (h[at] & mask).astype(np.int64)
+                hit = (held[slot] == h[at]) & ((count[slot] > 0) | (k > 0))
                 found, slot, at = at[hit], slot[hit], at[~hit]
-                gain += np.bincount(row[found], v[slot], len(texts))
+                gain += np.bincount(row[found], value[slot], n)
                 if not k:
-                    base += np.bincount(row[found], own[slot], len(texts))
-                    known += np.bincount(row[found], minlength=len(texts))
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key[row[at]]), _longs(h[at]), pa.array(np.full(len(at), 2 if k else 1, np.int32)), none, none, none.cast(pa.float64()), none.cast(pa.float64())], schema=arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(np.zeros(len(key), np.int32)), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], schema=arrow)
-
-    met = keyed.select("_key", F.col(text_col).cast("string")).mapInArrow(run, schema)
-    value = tree.select("g", "v", F.col("own").alias("own"))
-    joined = met.join(value, "g", "left")
-    word, none = F.col("kind") == 1, F.lit(0.0)
-    unseen = F.log10(F.lit(1.0 / total))
-    sums = joined.groupBy("key").agg(
-        F.count_if(F.col("kind") == 0).alias("copies"),
-        F.sum("n").alias("n"),
-        (F.sum("known") + F.count_if(word & F.col("own").isNotNull())).alias("known"),
-        (F.sum("base") + F.sum(F.when(word, F.coalesce("own", unseen)).otherwise(none))).alias("base"),
-        (F.sum("gain") + F.sum(F.when(F.col("kind") > 0, F.coalesce("v", none)).otherwise(none))).alias("gain"),
-    )
-    # rows that repeat id and text have one key: their sums are shared out again
-    out = keyed.select(id_col, "_key").join(sums.withColumnRenamed("key", "_key"), "_key")
-    each = lambda c: F.col(c) / F.col("copies")
-    return out.select(id_col, each("n").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), each("base").alias("base_score"), ((F.col("base") + F.col("gain")) / F.col("copies")).alias("score"))
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
-
-
-def _cache(g: np.ndarray, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and values by slot, the most frequent run of each; others are joined."""
-    g = g.view(np.uint64)
-    slots, first = np.unique(_slot(g), return_index=True)
-    # an empty slot holds a hash that belongs in another one
-    held = (np.arange(1 << CACHE_BITS, dtype=np.uint64) + np.uint64(1)) & np.uint64((1 << CACHE_BITS) - 1)
-    values, owns = np.zeros(len(held)), np.zeros(len(held))
-    held[slots], values[slots], owns[slots] = g[first], v[first], own[first]
-    return held, values, owns
+                    base += np.bincount(row[found], own(count[slot]), n)
+                    known += np.bincount(row[found], minlength=n)
+                wanted.append((part_of(h[at], parts), h[at], row[at].astype(np.uint32), np.full(len(at), k == 0)))
+            part, h, row, is_word = (np.concatenate(x) for x in zip(*wanted, strict=True))
+            rows = [(portion % parts, TEXTS, pack(lengths.astype(np.uint64), known.astype(np.uint32), base, gain), portion, batch.column(0).to_pylist())]
+            order = np.argsort(part, kind="stable")
+            part, h, row, is_word = part[order], h[order], row[order], is_word[order]
+            for s, e in _stretches(part):
+                rows.append((int(part[s]), REQUEST, np.array([n, is_word[s:e].sum()], np.uint32).tobytes() + pack(row[s:e], h[s:e]), portion, None))
+            yield _batch(rows, schema)
+            portion += 1
+
+    def answer(table: pa.Table) -> pa.Table:
+        """What a part of the tree adds to the sums of each portion's texts."""
+        g, v, _, c = unpack([x for kind in (SEEN, CONTEXT, WORD) for x in _blobs(table, kind)], _RUNS)
+        is_word = np.repeat([False, True], [len(g) - (n := sum(len(x) // 24 for x in _blobs(table, WORD))), n])
+        g, _, (v, c) = _summed(g, v.astype(float), np.where(is_word, c, 0).astype(np.int64))
+        out = []
+        for k, (kind, portion) in enumerate(zip(table["kind"].to_pylist(), table["portion"].to_pylist(), strict=True)):
+            if kind == TEXTS:
+                out.append((0, kind, table["data"][k].as_py(), portion, table["ids"][k].as_py()))
+            elif kind == REQUEST:
+                data = table["data"][k].as_py()
+                n, n_words = np.frombuffer(data[:8], np.uint32).tolist()
+                row, h = unpack([data[8:]], ("u4", "u8"))
+                at, hit = _found(g, h)
+                gain = np.bincount(row[hit], v[at[hit]], n)
+                at, hit, row = at[:n_words], hit[:n_words], row[:n_words]
+                count = np.where(hit, c[at], 0) if len(c) else np.zeros(len(at))
+                base = np.bincount(row, own(count), n)
+                known = np.bincount(row[count > 0], minlength=n)
+                out.append((0, kind, pack(np.zeros(n, np.uint64), known.astype(np.uint32), base, gain), portion, None))
+        return pa.Table.from_batches([_batch(out, schema)])
+
+    result = T.StructType([util.field(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    result_arrow = to_arrow_schema(result)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        ids = next(x for x in table["ids"] if x.is_valid).values.cast(result_arrow.field(0).type)
+        n = len(ids)
+        length, known, base, gain = (np.zeros(n) for _ in sums)
+        for data in table["data"]:
+            for into, x in zip((length, known, base, gain), unpack([data.as_buffer()], sums), strict=True):
+                into += x
+        columns = [ids, length.astype(np.int64), known.astype(np.int64), np.full(n, tokens, np.int64), base, base + gain]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=result_arrow)
+
+    asked = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(ask, schema)
+    known = tree.select("*", F.lit(None).cast("long").alias("portion"), F.lit(None).cast(schema["ids"].dataType).alias("ids"))
+    met = asked.unionByName(known).groupBy("part").applyInArrow(answer, schema)
+    made = _step(met.select("portion", "data", "ids").groupBy("portion").applyInArrow(add_up, result), "scores")
+    for table in tables:
+        util.drop_table(table)
+    return made

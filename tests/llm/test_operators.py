@@ -335,51 +335,86 @@ def test_suffix_tree(spark, texts):
     count = Counter(w for i, ws in tokens if i is None or i % 7 != 2 for w in ws)
     n, v = sum(count.values()), len(count)
     want = Counter((i, len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    out = suffix_tree.score_texts(docs, train, least_share=1e-3, least_pair=1e-3).collect()
+    out = suffix_tree.score_texts(docs, train).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in out)
+    learnt = [ws for i, ws in tokens if i is None or i % 7 != 2]
+    scores = defaultdict(list)
+    for r in out:
+        scores[r.doc_id].append(r.score)
+    expected = defaultdict(list)
+    p = tree_by_hand(learnt, 2, 2, 1.0, 0.75)
+    for i, ws in tokens:
+        expected[i].append(sum(math.log10(p(ws[:k], w)) for k, w in enumerate(ws)))
+    for i, known in expected.items():
+        assert np.allclose(sorted(scores[i]), sorted(known), rtol=1e-6)
     none = suffix_tree.score_texts(docs, F.lit(False)).collect()
     assert len(none) == len(texts) and all(abs(r.score - r.base_score) < 1e-9 for r in none)
     assert suffix_tree.score_texts(docs.where("false"), train).count() == 0
 
 
+def tree_by_hand(texts, depth, least_count, divergence, discount):
+    """The tree's next-symbol probability as a function of the past and a symbol."""
+    count = Counter(w for ws in texts for w in ws)
+    total = sum(count.values()) + len(count) + 1
+    after = defaultdict(Counter)
+    for ws in texts:
+        for k, w in enumerate(ws):
+            for n in range(1, min(depth, k) + 1):
+                after[tuple(ws[k - n : k])][w] += 1
+    states = {}
+
+    def probability(past, w):
+        for n in range(min(depth, len(past)), 0, -1):
+            if (state := tuple(past[-n:])) in states:
+                seen, rest = states[state]
+                return seen.get(w, 0.0) + rest * probability(state[1:], w)
+        return (count[w] + 1) / total
+
+    for n in range(1, depth + 1):
+        for context, seen in after.items():
+            many = sum(seen.values())
+            if len(context) != n or (n > 1 and many < least_count):
+                continue
+            rest = discount * len(seen) / many
+            share = {w: (c - discount) / many for w, c in seen.items()}
+            q = {w: probability(context[1:], w) for w in seen}
+            p = {w: share[w] + rest * q[w] for w in seen}
+            inside, outside = 1 - sum(p.values()), 1 - sum(q.values())
+            gain = sum(p[w] * math.log(p[w] / q[w]) for w in seen)
+            if inside > 1e-12 and outside > 1e-12:
+                gain += inside * math.log(inside / outside)
+            if gain * many >= divergence:
+                states[context] = share, rest
+    return probability
+
+
 def test_suffix_tree_learns_and_sums_to_one(spark):
     rng = np.random.default_rng(8)
     text = lambda: " ".join(x for _ in range(20) for x in rng.choice(["a b c d", "b a d c", "c c a b"], 1))
-    docs = spark.createDataFrame([(k, text()) for k in range(200)], "doc_id long, text string")
-    out = suffix_tree.score_texts(docs, F.col("doc_id") % 5 > 0, least_share=0.01, least_pair=0.001).where("doc_id % 5 = 0").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > 0.6 * out[1]
-    h = np.sort(shingles.word_hashes("a b c d"))
-    count = np.array([10, 20, 30, 5])
-    sym = np.tile(np.arange(5, dtype=np.uint32), 40)
-    encoded = spark.createDataFrame([(bytearray(rng.permutation(sym).tobytes()),) for _ in range(20)], "syms binary")
-    tree = suffix_tree.fit(encoded, h, count, 4000, 9, 3, 0.001, 0.0005, 0.0, 0.75)
-    assert len(tree.contexts) == 3 and len(tree.contexts[0])
-    for past in ([0], [1, 2], [3, 1, 4], [2, 2, 2]):
-        p = [tree.probabilities(np.array([*past, s]), np.arange(len(past) + 1))[-1] for s in range(5)]
-        assert abs(sum(p) - 1) < 1e-9
+    made = [(k, text()) for k in range(200)]
+    out = suffix_tree.score_texts(spark.createDataFrame(made, "doc_id long, text string"), F.col("doc_id") % 5 > 0, depth=3).collect()
+    held = [r for r in out if r.doc_id % 5 == 0]
+    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
+    texts = [[*t.split(), ""] for k, t in made if k % 5]
+    p = tree_by_hand(texts, 3, 2, 1.0, 0.75)
+    for r in held:
+        ws = [*made[r.doc_id][1].split(), ""]
+        assert math.isclose(r.score, sum(math.log10(p(ws[:k], w)) for k, w in enumerate(ws)), rel_tol=1e-6)
+    # what is left for words never seen is one more count
+    total = sum(map(len, texts)) + 5 + 1
+    for past in (["a"], ["b", "c"], ["d", "b", "a"], ["c", "c", "c"], ["new", "a"]):
+        assert math.isclose(sum(p(past, w) for w in ["a", "b", "c", "d", "", "new"]), 1, rel_tol=1e-9) and p([], "new") == 1 / total
 
 
 def test_suffix_tree_grows_with_the_input(spark):
-    """Whatever else is in the corpus, what two texts share is learnt; the tables give the scores of
-    a tree in memory."""
+    """Whatever else is in the corpus, what two texts share is learnt."""
     rng = np.random.default_rng(12)
     pool = [f"w{k}" for k in range(3000)]
     filler = [(100 + k, " ".join(rng.choice(pool[: 30 + 20 * (k % 140)], 500))) for k in range(300)]
     twice = " ".join(f"rare{k}" for k in rng.permutation(60))
-    texts = [(1, twice), (2, twice), *filler]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs = spark.createDataFrame([(1, twice), (2, twice), *filler], "doc_id long, text string")
     out = {r.doc_id: r for r in suffix_tree.score_texts(docs, F.lit(True)).collect()}
     assert out[1].score == out[2].score and out[1].score > 0.4 * out[1].base_score
-    tokens = [suffix_tree._tokens(t) for _, t in texts]
-    h, c = np.unique(np.concatenate(tokens), return_counts=True)
-    n = int(c.sum())
-    bare = suffix_tree.Tree(h, c, n, len(h), [], [], [], [])
-    encoded = spark.createDataFrame([(bytearray(bare.encode(t).astype(np.uint32).tobytes()),) for t in tokens], "syms binary")
-    tree = suffix_tree.fit(encoded, h, c, n, len(h), 3, 0.0, 0.0, 0.02, 0.75)
-    for (i, _), t in zip(texts, tokens, strict=True):
-        want = np.log10(tree.probabilities(bare.encode(t), np.arange(len(t)))).sum()
-        assert abs(out[i].score - want) < 1e-6 * abs(want)
 
 
 def test_queries_have_their_columns(spark):
