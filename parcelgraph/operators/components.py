@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelgraph.sources.shared import delete, shared_dir
+from parcelgraph.sources.shared import delete, shared_dir, write
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -42,13 +42,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     base = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
     start = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v"))
     nodes = start.where("u = v").select("u", F.col("v"))
-    schema = start.schema
-    at, before = None, None
-    start.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(f"{base}/0")
+    before = None
+    at = write(start.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{base}/0")
     for k in range(1, max_rounds + 1):
-        now = spark.read.schema(schema).parquet(f"{base}/{k - 1}")
-        _small_star(_large_star(now)).write.parquet(f"{base}/{k}")
-        at = spark.read.schema(schema).parquet(f"{base}/{k}")
+        at = write(_small_star(_large_star(at)), f"{base}/{k}")
         state = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if k > 1:
             delete(spark, f"{base}/{k - 1}")
