@@ -24,9 +24,6 @@ the values of runs that are at least a fixed share of all.
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,24 +32,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parcelgraph.sources.shared import shared_dir
-
 from . import shingles, util
 
 #: The end of a text, among the words' hashes.
 END = np.uint64(0xE1D0F7E87A3B5C19)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct runs that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Bytes of text that are worked on as one array.
-PORTION = 1 << 22
+PORTION = 1 << 21
 #: Training tokens for each part of a table.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 600_000
 #: Bits of the filters of known runs, as a power of two, and tasks that fill one.
-FILTER_BITS, FILTER_TASKS = 27, 6
+FILTER_BITS, FILTER_TASKS = 26, 6
 #: A run whose count is at least this share of the training tokens is frequent: of each length
 #: there are at most 2**18.
 FREQUENT = 2.0**-18
+#: Documents are scored in so many slices, so that few requests are on disk at once.
+SLICES = 2
+#: Contexts of several symbols are fitted in so many slices, for the same reason.
+COUNT_SLICES = 2
 #: Kinds of packed rows.
 PARTIAL, SEEN, CONTEXT, WORD, TEXTS, REQUEST = range(6)
 _RUNS = ("u8", "f4", "f4", "u8")  # run, value, probability of its last symbol, count
@@ -90,7 +89,7 @@ def _stretches(x: np.ndarray):
 
 def scatter(kind: int, parts: int, key: np.ndarray, *more: np.ndarray):
     """(part, kind, packed) of rows in the order of their key, for each part that has any."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, more = key[order], [m[order] for m in more]
     part = part_of(key, parts)
     for s, e in _stretches(part):
@@ -113,7 +112,7 @@ def _blobs(table: pa.Table, kind: int) -> list:
 
 def _summed(key: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, the position of the first row of each, and sums of the weights."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[first], order[first], [np.add.reduceat(w[order], first) if len(first) else w for w in weights]
@@ -121,7 +120,9 @@ def _summed(key: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in sorted ``known`` and whether the wanted values are there."""
-    at = np.searchsorted(known, wanted)
+    order = np.argsort(wanted)  # a search in order is many times faster
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(known, wanted[order])
     at[at == len(known)] = 0
     return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
 
@@ -167,14 +168,14 @@ def _joined(first: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
     return shingles.mix(first * _STEP + last + np.uint64(order))
 
 
+def _columns(data: str, *which: tuple[int, int]) -> Column:
+    """Of packed runs (24 bytes each) the columns that begin at a byte and have so many."""
+    n = f"(length({data}) div 24)"
+    return F.expr("concat(" + ", ".join(f"substring({data}, cast({n} * {at} + 1 as int), cast({n} * {size} as int))" for at, size in which) + ")")
+
+
 def _step(df: DataFrame, name: str) -> DataFrame:
-    """A written table; the shuffles that made it and are held no longer free their disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return util.materialize(df, name, compression="zstd")
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -183,14 +184,18 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = []
         for batch in (b for whole in batches for b in _portions(whole, 0)):
-            symbols = _read(batch.column(0))[0]
-            key, _, (count,) = _summed(np.concatenate([key, symbols]), np.concatenate([count, np.ones(len(symbols), np.int64)]))
-            if len(key) > GATHERED:
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], schema=arrow)
-                key, count = key[:0], count[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], schema=arrow)
+            held.append(np.unique(_read(batch.column(0))[0], return_counts=True))
+            if sum(len(k) for k, _ in held) > GATHERED:
+                h, _, (c,) = _summed(*map(np.concatenate, zip(*held, strict=True)))
+                held = [(h, c)]
+                if len(h) > GATHERED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=arrow)
+                    held = []
+        if held:
+            h, _, (c,) = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=arrow)
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -232,46 +237,51 @@ def known_filter(table: DataFrame, least: int, valued: bool = False) -> np.ndarr
     return out
 
 
-def count_runs(docs: DataFrame, text_col: str, order: int, parts: int, known: np.ndarray | None) -> DataFrame:
+def count_runs(docs: DataFrame, text_col: str, order: int, parts: int, shared, slice_no: int = 0, slices: int = 1) -> DataFrame:
     """Packed partial counts of runs of ``order`` symbols: run without its first, without its last
-    symbol, count; by the part of the former. Only contexts in the filter ``known``, if given."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    symbol, count; by the part of the former. Only contexts in the filter that ``shared`` broadcasts,
+    if any, and of every ``slices``-th part."""
 
-    def run(batches):
-        held = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)]
-
-        def emit():
-            return _batch(scatter(PARTIAL, parts, held[1], held[2], held[3].astype(np.uint32)))
+    def merged(held):
+        g, suf, ctx, c = map(np.concatenate, zip(*held, strict=True))
+        g, first, (c,) = _summed(g, c)
+        return g, suf[first], ctx[first], c
 
+    def run(batches):
+        held = []
         for batch in (b for whole in batches for b in _portions(whole, 0)):
             symbols, place, _ = _read(batch.column(0))
             end = runs(symbols, order - 1)[-1]
             at = np.flatnonzero(place >= order - 1)
+            if slices > 1:
+                at = at[part_of(end[at - 1], parts) % np.uint64(slices) == slice_no]
             if shared.value is not None:
                 at = at[_bits(shared.value, end[at - 1])]
             ctx, suf = end[at - 1], end[at]
             g, first, (c,) = _summed(_joined(ctx, suf, order), np.ones(len(at), np.int64))
-            new = [np.concatenate(x) for x in zip(held, (g, suf[first], ctx[first], c), strict=True)]
-            g, first, (c,) = _summed(new[0], new[3])
-            held = [g, new[1][first], new[2][first], c]
-            if len(g) > GATHERED:
-                yield emit()
-                held = [x[:0] for x in held]
-        yield emit()
+            held.append((g, suf[first], ctx[first], c))
+            if sum(len(x[0]) for x in held) > 2 * GATHERED:
+                held = [merged(held)]
+                if len(held[0][0]) > GATHERED:
+                    _, suf, ctx, c = held.pop()
+                    yield _batch(scatter(PARTIAL, parts, suf, ctx, c.astype(np.uint32)))
+        if held:
+            _, suf, ctx, c = merged(held)
+            yield _batch(scatter(PARTIAL, parts, suf, ctx, c.astype(np.uint32)))
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, _PACKED)
 
 
-def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, least: int, divergence: float, discount: float) -> DataFrame:
+def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, least: int, divergence: float, discount: float, last: bool) -> DataFrame:
     """Packed runs of ``order`` symbols (SEEN) and their contexts (CONTEXT), from partial counts and
-    the packed runs that are shorter by one."""
+    the packed runs that are shorter by one; of the ``last`` level only what scores need."""
 
     def with_suffix(table: pa.Table) -> pa.Table:
         """Counts of whole runs, with the probability of their last symbol after the suffix."""
         suf, ctx, c = unpack(_blobs(table, PARTIAL), ("u8", "u8", "u4"))
         g, first, (c,) = _summed(_joined(ctx, suf, order), c.astype(np.int64))
         suf, ctx = suf[first], ctx[first]
-        known, _, p, _ = unpack(_blobs(table, SEEN) + _blobs(table, WORD), _RUNS)
+        known, p = unpack(_blobs(table, SEEN) + _blobs(table, WORD), ("u8", "f4"))
         by = np.argsort(known)
         at, hit = _found(known[by], suf)
         q = np.where(hit, p[by][at], 0) if len(known) else np.zeros(len(suf))
@@ -280,7 +290,7 @@ def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, le
 
     def fit(table: pa.Table) -> pa.Table:
         ctx, g, c, q = unpack(_blobs(table, PARTIAL), ("u8", "u8", "i8", "f4"))
-        order_ = np.argsort(ctx, kind="stable")
+        order_ = np.argsort(ctx)
         ctx, g, c, q = ctx[order_], g[order_], c[order_], q[order_].astype(float)
         first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
         if not len(first):
@@ -297,12 +307,14 @@ def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, le
         kept = np.repeat(keep, each)
         p = np.where(kept, p, q)
         v = np.where(kept, np.log10(1 + s / (np.repeat(rest, each) * q)), 0)
+        if last:
+            g, v, p, c = g[kept], v[kept], np.zeros(kept.sum()), c[kept]
         rows = [*scatter(SEEN, parts, g, v.astype(np.float32), p.astype(np.float32), c.astype(np.uint64))]
         ctx, rest, n = ctx[first][keep], rest[keep], n[keep]
         rows += scatter(CONTEXT, parts, ctx, np.log10(rest).astype(np.float32), np.zeros(len(ctx), np.float32), n.astype(np.uint64))
         return _table(rows)
 
-    wanted = shorter.where(F.col("kind").isin(SEEN, WORD))
+    wanted = shorter.where(F.col("kind").isin(SEEN, WORD)).withColumn("data", _columns("data", (0, 8), (12, 4)))
     found = partial.unionByName(wanted).groupBy("part").applyInArrow(with_suffix, _PACKED)
     return found.groupBy("part").applyInArrow(fit, _PACKED)
 
@@ -341,7 +353,7 @@ def _slots(g: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int = 2, divergence: float = 1.0, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int = 8, divergence: float = 1.0, discount: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     Words are runs of other characters than ASCII white space, A-Z lowered; each text ends with one
@@ -361,14 +373,17 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
     tables = [_step(packed_words(counts, total, parts), "level0")]
     util.drop_table(counts)
     for k in range(1, depth + 1):
-        known = known_filter(tables[-1].where(F.col("kind") == SEEN), least_count) if k > 1 else None
-        partial = count_runs(learnt, text_col, k + 1, parts, known)
-        tables.append(_step(fit_level(partial, tables[-1], k + 1, parts, least_count if k > 1 else 1, divergence, discount), f"level{k}"))
+        shared = sc.broadcast(known_filter(tables[-1].where(F.col("kind") == SEEN), least_count) if k > 1 else None)
+        shorter = tables[-1]
+        for j in range(COUNT_SLICES if k > 1 else 1):
+            partial = count_runs(learnt, text_col, k + 1, parts, shared, j, COUNT_SLICES if k > 1 else 1)
+            made = _step(fit_level(partial, shorter, k + 1, parts, least_count if k > 1 else 1, divergence, discount, k == depth), f"level{k}")
+            tables[-1:] = [*tables[-1:], made] if j == 0 else [tables[-1].unionByName(made)]
+        shared.destroy()
     tree = tables[0]
     for table in tables[1:]:
         tree = tree.unionByName(table)
-    g, v, c = frequent(tree, max(4, int(tokens * FREQUENT)))
-    shared = sc.broadcast((_slots(g, v, c), known_filter(tree.where(F.col("kind") != WORD), 1, valued=True)))
+    shared = sc.broadcast((*frequent(tree, max(4, int(tokens * FREQUENT))), known_filter(tree.where(F.col("kind") != WORD), 1, valued=True)))
     unseen = float(np.log10(1 / total))
     own = lambda c: np.log10((c + 1.0) / total)
     id_type = docs.schema[id_col].dataType
@@ -378,7 +393,8 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
     def ask(batches):
         """For each portion of texts its sums over frequent runs, and to each part of the tree the
         other runs that it may know: word by word, then longer ones, by text."""
-        (held, value, count), filter_ = shared.value
+        *often, filter_ = shared.value
+        held, value, count = _slots(*often)
         mask, portion = np.uint64(len(held) - 1), TaskContext.get().partitionId() << 32
         for batch in (b for whole in batches for b in _portions(whole, 1)):
             symbols, place, lengths = _read(batch.column(1))
@@ -406,9 +422,10 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
 
     def answer(table: pa.Table) -> pa.Table:
         """What a part of the tree adds to the sums of each portion's texts."""
-        g, v, _, c = unpack([x for kind in (SEEN, CONTEXT, WORD) for x in _blobs(table, kind)], _RUNS)
-        is_word = np.repeat([False, True], [len(g) - (n := sum(len(x) // 24 for x in _blobs(table, WORD))), n])
-        g, _, (v, c) = _summed(g, v.astype(float), np.where(is_word, c, 0).astype(np.int64))
+        g, v = unpack(_blobs(table, SEEN) + _blobs(table, CONTEXT), ("u8", "f4"))
+        w, c = unpack(_blobs(table, WORD), ("u8", "u8"))
+        g, v, c = np.concatenate([g, w]), np.concatenate([v, np.zeros(len(w), np.float32)]), np.concatenate([np.zeros(len(g), np.int64), c.astype(np.int64)])
+        g, _, (v, c) = _summed(g, v.astype(float), c)
         out = []
         for k, (kind, portion) in enumerate(zip(table["kind"].to_pylist(), table["portion"].to_pylist(), strict=True)):
             if kind == TEXTS:
@@ -439,10 +456,16 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
         columns = [ids, length.astype(np.int64), known.astype(np.int64), np.full(n, tokens, np.int64), base, base + gain]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=result_arrow)
 
-    asked = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(ask, schema)
-    known = tree.select("*", F.lit(None).cast("long").alias("portion"), F.lit(None).cast(schema["ids"].dataType).alias("ids"))
-    met = asked.unionByName(known).groupBy("part").applyInArrow(answer, schema)
-    made = _step(met.select("portion", "data", "ids").groupBy("portion").applyInArrow(add_up, result), "scores")
+    columns = F.when(F.col("kind") == WORD, _columns("data", (0, 8), (16, 8))).otherwise(_columns("data", (0, 12)))
+    known = tree.select("part", "kind", columns.alias("data"), F.lit(None).cast("long").alias("portion"), F.lit(None).cast(schema["ids"].dataType).alias("ids"))
+    made = None
+    for k in range(SLICES):
+        mine = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("slice")), F.lit(SLICES)) == k)
+        asked = mine.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(ask, schema)
+        met = asked.unionByName(known).groupBy("part").applyInArrow(answer, schema)
+        scored = _step(met.select("portion", "data", "ids").groupBy("portion").applyInArrow(add_up, result), "scores")
+        made = scored if made is None else made.unionByName(scored)
+    shared.destroy()
     for table in tables:
         util.drop_table(table)
     return made

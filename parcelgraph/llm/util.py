@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelgraph.sources.shared import delete, shared_dir
+from parcelgraph.sources.shared import delete, shared_dir, write
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there, and
     whatever happens to executors later, nothing above it is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", **options)
 
 
 def drop_table(df: DataFrame) -> None:

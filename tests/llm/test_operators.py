@@ -335,7 +335,7 @@ def test_suffix_tree(spark, texts):
     count = Counter(w for i, ws in tokens if i is None or i % 7 != 2 for w in ws)
     n, v = sum(count.values()), len(count)
     want = Counter((i, len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    out = suffix_tree.score_texts(docs, train).collect()
+    out = suffix_tree.score_texts(docs, train, least_count=2).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     learnt = [ws for i, ws in tokens if i is None or i % 7 != 2]
     scores = defaultdict(list)
@@ -392,7 +392,7 @@ def test_suffix_tree_learns_and_sums_to_one(spark):
     rng = np.random.default_rng(8)
     text = lambda: " ".join(x for _ in range(20) for x in rng.choice(["a b c d", "b a d c", "c c a b"], 1))
     made = [(k, text()) for k in range(200)]
-    out = suffix_tree.score_texts(spark.createDataFrame(made, "doc_id long, text string"), F.col("doc_id") % 5 > 0, depth=3).collect()
+    out = suffix_tree.score_texts(spark.createDataFrame(made, "doc_id long, text string"), F.col("doc_id") % 5 > 0, depth=3, least_count=2).collect()
     held = [r for r in out if r.doc_id % 5 == 0]
     assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
     texts = [[*t.split(), ""] for k, t in made if k % 5]
