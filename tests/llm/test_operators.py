@@ -119,6 +119,20 @@ def test_sharding_splits_a_group_of_copies(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2
 
 
+def test_sharding_splits_equal_rows_under_any_names(spark):
+    """Repeated rows, null ids and columns named like the operator's own."""
+    table = [(7, "copy of one text", k, 0, 0) for k in range(2000)] + [(None, f"text {k}", k, 0, 0) for k in range(400)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, k0 int, part int, _part int")
+    out = sharding.shard_by_bytes(docs, shards=8, slot_rows=50).collect()
+    assert Counter((r.doc_id, r.text, r.k0) for r in out) == Counter((i, t, k) for i, t, k, _, _ in table)
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r)
+    sizes = [sum(r.size for r in part) for part in by.values()]
+    assert len(by) == 8 and max(sizes) < 1.25 * min(sizes)
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) for part in by.values())
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\l \\\\ \\b<", "<|turn|>user\nhi<|end|>", "", None, "a\n<<SYS>>[", "[[I<<s>"]
     table = [(1, k, "user" if k % 2 == 0 else "assistant", t, 0) for k, t in enumerate(odd)] + [(2, 0, "assistant", "x", 0), (2, 0, "assistant", "x", 0), (None, None, None, None, 0)]
