@@ -60,6 +60,11 @@ def mapped(value: Column, table: dict[str, str], default: str | None = None) ->
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
+def borough_alias(value: Column) -> Column:
+    """The borough that a question's spelling means; null, which stands for no filter, if unknown."""
+    return mapped(F.lower(F.trim(value)), BOROUGH_NAMES)
+
+
 def status_by_keyword(text: Column, keywords: dict[str, str]) -> Column:
     """The status of the first keyword that the text contains, whatever its case."""
     out = None

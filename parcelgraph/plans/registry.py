@@ -157,9 +157,8 @@ m AS (SELECT DISTINCT actor_id AS root, actor_id AS member FROM control UNION SE
 o AS (SELECT actor_id, count(*) AS size, count(phc.bbl) AS hazards, sum(units) AS units FROM control JOIN building USING (bbl) LEFT JOIN phc USING (bbl) GROUP BY actor_id)
 SELECT root, count(*) AS members, sum(size)::BIGINT AS size, sum(hazards)::BIGINT AS hazards, sum(units)::BIGINT AS units, count(*) < 2 AS insufficient FROM m JOIN o ON o.actor_id = member GROUP BY root""")
 def network_exposure(s, d):
-    sup = src.table(s, d, "supplier")
-    aff = sup.select(F.col("s_suppkey").alias("actor_id"), "s_nationkey").join(sup.select(F.col("s_suppkey").alias("other"), "s_nationkey"), "s_nationkey").select("actor_id", "other")
-    return rules.network_exposure(src.control(s, d), _hazards(s, d), src.buildings(s, d), aff)
+    groups = src.table(s, d, "supplier").select(F.col("s_suppkey").alias("actor_id"), F.col("s_nationkey").alias("network"))
+    return rules.group_exposure(src.control(s, d), _hazards(s, d), src.buildings(s, d), groups)
 
 
 @query("management_quartiles", """, o AS (SELECT bbl, count(*) AS open_c FROM violation WHERE violation_class = 'C' AND status = 'Open' GROUP BY bbl),
@@ -254,8 +253,10 @@ def address_edges(s, d):
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
+    """Each node to the first one at its street and apartment: the same components as all pairs."""
     n = src.landlords(s, d)
-    return n.alias("a").join(n.alias("b"), "street").where("a.nodeid < b.nodeid and a.apt = b.apt").select(F.col("a.nodeid").alias("src"), F.col("b.nodeid").alias("dst"))
+    first = n.groupBy("street", "apt").agg(F.min("nodeid").alias("src"))
+    return n.join(first, ["street", "apt"]).where("nodeid > src").select("src", F.col("nodeid").alias("dst"))
 
 
 @query("wcc_components", f"""WITH RECURSIVE {src.SQL}, e AS (SELECT a.nodeid AS s, b.nodeid AS t FROM landlord a JOIN landlord b ON a.street = b.street AND a.apt = b.apt AND a.nodeid <> b.nodeid),
@@ -292,11 +293,12 @@ def jaccard_best_match(s, d):
     return relational.best_jaccard(rows.where(F.col("l_shipdate") < cut).select("id", "bbl"), rows.where(F.col("l_shipdate") >= cut).select("id", "bbl"), 0.05)
 
 
-@query("claim_scd2_diff", """, old AS (SELECT bbl, open_c FROM phc WHERE bbl::BIGINT % 3 <> 0), new AS (SELECT bbl, CASE WHEN bbl::BIGINT % 5 = 0 THEN open_c + 1 ELSE open_c END AS open_c FROM phc WHERE bbl::BIGINT % 4 <> 0)
+@query("claim_scd2_diff", """, old AS (SELECT bbl, count(*) AS open_c FROM violation WHERE violation_class = 'C' AND open_date < DATE '1999-01-01' GROUP BY bbl HAVING count(*) >= 2), new AS (SELECT bbl, count(*) AS open_c FROM violation WHERE violation_class = 'C' AND open_date >= DATE '1997-01-01' GROUP BY bbl HAVING count(*) >= 2)
 SELECT bbl, CASE WHEN o.open_c IS NULL THEN 'insert' WHEN n.open_c IS NULL THEN 'close' WHEN o.open_c = n.open_c THEN 'keep' ELSE 'supersede' END AS action FROM old o FULL JOIN new n USING (bbl)""")
 def claim_scd2_diff(s, d):
-    h, k = _hazards(s, d).select("bbl", "open_c"), F.col("bbl").cast("long")
-    return relational.version_diff(h.where(k % 3 != 0), h.where(k % 4 != 0).withColumn("open_c", F.when(k % 5 == 0, F.col("open_c") + 1).otherwise(F.col("open_c"))), "bbl", "open_c")
+    rows = src.violations(s, d).where("violation_class = 'C'")
+    counted = lambda df: df.groupBy("bbl").agg(F.count("*").alias("open_c")).where("open_c >= 2")
+    return relational.version_diff(counted(rows.where("open_date < date '1999-01-01'")), counted(rows.where("open_date >= date '1997-01-01'")), "bbl", "open_c")
 
 
 @query("supersede_disqualified", "SELECT bbl FROM building WHERE units > 25 AND bbl NOT IN (SELECT bbl FROM phc)")
@@ -304,12 +306,12 @@ def supersede_disqualified(s, d):
     return src.buildings(s, d).where("units > 25").select("bbl").join(_hazards(s, d).select("bbl"), "bbl", "left_anti")
 
 
-@query("upsert_set_once", """, o AS (SELECT c_custkey AS k, nullif(c_mktsegment, 'BUILDING') AS address, c_nationkey AS score FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS k, c_name AS address, c_nationkey + 1 AS score FROM customer WHERE c_custkey % 3 = 0)
+@query("upsert_set_once", """, o AS (SELECT o_custkey AS k, nullif(max(o_orderpriority), '5-LOW') AS address, count(*) AS score FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, min(o_orderpriority) AS address, count(*) AS score FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
 SELECT k, coalesce(o.address, n.address) AS address, coalesce(n.score, o.score) AS score FROM o FULL JOIN n USING (k)""")
 def upsert_set_once(s, d):
-    c = src.table(s, d, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.expr("nullif(c_mktsegment, 'BUILDING')").alias("address"), F.col("c_nationkey").alias("score"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("address"), (F.col("c_nationkey") + 1).alias("score"))
+    rows, cut = src.table(s, d, "orders").withColumnRenamed("o_custkey", "k"), F.lit("1998-01-01").cast("timestamp_ntz")
+    old = rows.where(F.col("o_orderdate") < cut).groupBy("k").agg(F.nullif(F.max("o_orderpriority"), F.lit("5-LOW")).alias("address"), F.count("*").alias("score"))
+    new = rows.where(F.col("o_orderdate") >= cut).groupBy("k").agg(F.min("o_orderpriority").alias("address"), F.count("*").alias("score"))
     return relational.set_once_upsert(old, new, "k", ["address"], ["score"])
 
 
@@ -348,6 +350,6 @@ def label_counts(s, d):
     return one("Building", src.buildings(s, d)).union(one("Event", src.violations(s, d))).union(one("Actor", src.control(s, d).select("actor_id").distinct()))
 
 
-@query("orphan_claims", "SELECT actor_id FROM control WHERE bbl NOT IN (SELECT bbl FROM violation) GROUP BY actor_id")
+@query("orphan_claims", "SELECT actor_id, count(*) AS n FROM control WHERE bbl NOT IN (SELECT bbl FROM phc) GROUP BY actor_id")
 def orphan_claims(s, d):
-    return src.control(s, d).join(src.violations(s, d).select("bbl"), "bbl", "left_anti").select("actor_id").distinct()
+    return src.control(s, d).join(_hazards(s, d).select("bbl"), "bbl", "left_anti").groupBy("actor_id").agg(F.count("*").alias("n"))

@@ -187,6 +187,16 @@ def network_exposure(control: DataFrame, hazards: DataFrame, buildings: DataFram
     return out.withColumn("insufficient", F.col("members") < 2)
 
 
+def group_exposure(control: DataFrame, hazards: DataFrame, buildings: DataFrame, groups: DataFrame) -> DataFrame:
+    """:func:`network_exposure` where the affiliates of an actor are all actors of its network.
+
+    groups: actor_id, network. A network is summed up once, instead of once for each of its actors.
+    """
+    own = control.distinct().join(buildings.select("bbl", "units"), "bbl").join(hazards.select("bbl", F.lit(1).alias("h")), "bbl", "left").groupBy("actor_id").agg(F.count("*").alias("size"), F.count("h").alias("hazards"), F.sum("units").alias("units"))
+    sums = own.join(groups, "actor_id").groupBy("network").agg(F.count("*").alias("members"), *(F.sum(c).alias(c) for c in ("size", "hazards", "units")))
+    return groups.join(sums, "network").select(F.col("actor_id").alias("root"), "members", "size", "hazards", "units").withColumn("insufficient", F.col("members") < 2)
+
+
 def confidence(edges: Column, weight: Column, bridge: Column, reason: Column) -> Column:
     """How sure a community is, from its edges, their mean weight and how it was split."""
     return (
@@ -213,3 +223,10 @@ def management_quartiles(control: DataFrame, violations: DataFrame, buildings: D
     by = held.groupBy("actor_id").agg(F.count("*").alias("size"), F.sum("units").alias("units"), F.coalesce(F.sum("open_c"), F.lit(0)).alias("open_c")).where(F.col("size") >= least)
     # portfolios, not events: few rows, as the aggregate above them shows
     return by.withColumn("quartile", F.ntile(4).over(Window.orderBy(F.col("open_c") / F.col("units"), "actor_id")))
+
+
+def resolve_actor(actors: DataFrame, part: str, most: int = 5) -> DataFrame:
+    """The actors (actor_id, name) whose name holds ``part``, whatever its case: a list of ``most``
+    for a user to choose from, the shortest names first."""
+    found = actors.where(F.contains(F.lower("name"), F.lit(part.lower())))
+    return found.orderBy(F.length("name"), "name", "actor_id").limit(most)

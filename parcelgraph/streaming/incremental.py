@@ -13,38 +13,44 @@ from parcelgraph.sources.shared import delete
 
 
 def keyed_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, once: list[str], always: list[str], order: str) -> StreamingQuery:
-    """Merge a stream into the table whose current version ``path`` names.
+    """Merge a stream into the table whose versions lie in ``path``.
 
-    Each batch writes a whole new version beside the old one and then moves the pointer, so a batch
-    that is run again after a failure leaves the same table (at-least-once is enough).
+    Each batch writes a whole new version beside the last one. A version counts once its writer has
+    committed it, which is one atomic step, so a crash leaves the version before; a batch that is run
+    again starts from the version before it and leaves the same table (at-least-once is enough). The
+    version before the last is kept. Of rows of one key and ``order`` the greatest by the other
+    columns counts.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, [key], [F.desc(order)]).select(key, *once, *always)
-        old = current(spark, path)
-        out = new if old is None else set_once_upsert(old, new, key, once, always)
-        target = f"{path}/v-{number}-{uuid.uuid4().hex}"
-        out.write.parquet(target)
-        before = _pointer(spark, path)
-        spark.createDataFrame([(target,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-        if before and before != target:
-            delete(spark, before)
+        new = latest(batch, [key], [F.desc(order), *(F.desc(c) for c in [*once, *always])]).select(key, *once, *always)
+        known = _versions(spark, path)
+        before = [v for v in known if v[0] < number]
+        out = set_once_upsert(spark.read.parquet(before[-1][1]), new, key, once, always) if before else new
+        out.write.parquet(f"{path}/v-{number:012d}-{uuid.uuid4().hex}")
+        for _, old in before[:-1]:
+            delete(spark, old)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _pointer(spark, path: str) -> str | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(f"{path}/current").first()["at"]
+def _versions(spark, path: str) -> list[tuple[int, str]]:
+    """(batch, folder) of the committed versions, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [str(f.getPath().toString()) for f in fs.listStatus(folder)]
+    done = [f for f in found if f.rpartition("/")[2].startswith("v-") and fs.exists(hadoop.Path(f"{f}/_SUCCESS"))]
+    return sorted((int(f.rpartition("/")[2].split("-")[1]), f) for f in done)
 
 
 def current(spark, path: str) -> DataFrame | None:
     """The table's current version, None before the first batch."""
-    at = _pointer(spark, path)
-    return spark.read.parquet(at) if at else None
+    known = _versions(spark, path)
+    return spark.read.parquet(known[-1][1]) if known else None
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
