@@ -25,10 +25,10 @@ from . import util
 
 #: Elements whose content is never text of the page.
 _SILENT = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|audio|video|button|xmp|noembed|noframes"
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_SILENT_TAGS = frozenset(_SILENT.split("|"))
+_SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _SILENT_TAGS}
+_STOP = re.compile("[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -40,6 +40,8 @@ _NAMES_AWAY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|footer|foot|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar\w*|social|comments?|comment\w*|repl(?:y|ies)|disqus|discussion|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|search|skip|complementary|contentinfo|navigation|dialog|alertdialog|form|tags?|byline-links)(?:$|[\s_-])"
 )
 _NAMES_HERE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])")
+#: Words that say nothing beside a word that leads away.
+_GENERIC = frozenset("box block section list lists links link post posts item items widget wrap wrapper container bar form top bottom area slot inner group row col unit".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _AWAY = frozenset("nav footer aside form menu dialog fieldset head search".split())
 
@@ -63,35 +65,106 @@ class Weights:
     sibling: float = 0.4
 
 
-@dataclass
 class _Element:
-    tag: str
-    number: int
-    depth: int
-    here: bool = False  # inside an article or main element
-    away: float = 0.0
-    named: bool = False
-    link: bool = False
+    """An open element: what it inherits, the block element that it stands in, and its place."""
+
+    __slots__ = ("tag", "index", "number", "depth", "up", "owner", "inline", "here", "away", "named", "link")
+
+    def __init__(self, tag: str, index: int, number: int, parent: _Element | None):
+        self.tag, self.index, self.number = tag, index, number
+        self.here = parent is not None and parent.here  # inside an article or main element
+        self.away = parent.away if parent else 0.0
+        self.named = parent is not None and parent.named
+        self.link = tag == "a" or parent is not None and parent.link
+        if parent is None or tag in _BLOCK:
+            self.owner, self.up = self, parent.owner if parent else None  # up: the block around it
+            self.depth = self.up.depth + 1 if self.up else 0
+            self.inline: dict[str, int] = {}  # open inline elements right inside it
+        else:
+            self.owner = parent.owner
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    parent: int
-    path: tuple[int, ...]
+    at: _Element
     score: float
     label: bool = field(default=False)
 
 
+def markup(page: str):
+    """(start, end, tag, closing, rest) of each piece of markup in order; comments, declarations
+    and elements whose content is never text have an empty tag.
+
+    No part of a page is looked at more often than a fixed number of times, however malformed.
+    """
+    at, size, plain_until = 0, len(page), 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start + 9)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        m = _TAG.match(page, start + 1)
+        if not m and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            continue
+        end = page.find(">", start + 1)
+        if end < 0:
+            return
+        if m and start >= plain_until:
+            # the first > outside of quotes, unless a quote stays open
+            k = m.end()
+            while stop := _STOP.search(page, k):
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                close = page.find(stop[0], stop.end())
+                if close < 0:
+                    plain_until = stop.start()
+                    break
+                k = close + 1
+            else:
+                plain_until = size
+        at = end + 1
+        if not m:
+            yield start, at, "", False, ""
+            continue
+        tag = m[2].lower()
+        if not m[1] and tag in _SILENT_TAGS:
+            close = _SILENT_END[tag].search(page, at)
+            at = close.end() if close else size
+            yield start, at, "", False, ""
+        else:
+            yield start, at, tag, m[1] == "/", page[m.end() : end]
+
+
+def _leads_away(name: str, value: str, tag: str, inside: bool) -> bool:
+    """Whether an attribute's words mark what isn't main text. Inside an article, paragraphs and
+    headings aren't judged by a name of several words of which only some do (an id like
+    related-work), and no other element by such an id."""
+    if not _NAMES_AWAY.search(value):
+        return False
+    if inside and (name == "id" or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
+        words = [w for w in re.split(r"[\s_-]+", value) if w]
+        return all(_NAMES_AWAY.search(w) or w in _GENERIC for w in words)
+    return True
+
+
 def blocks_of(page: str, weights: Weights) -> list[Block]:
     """The text blocks of a page in order, each with the classifier's score."""
     out: list[Block] = []
-    stack = [_Element("", 0, 0)]
+    stack = [_Element("", 0, 0, None)]
     pieces: list[str] = []
+    open_blocks: dict[str, int] = {}
     linked, number = 0, 0
     owner = stack[0]  # the innermost block element around the text gathered so far
-    path: tuple[int, ...] = (0,)
 
     def flush() -> None:
         nonlocal linked
@@ -111,15 +184,10 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
                     score += weights.heading
                 elif owner.tag in ("li", "td", "th", "option"):
                     score += weights.item
-                out.append(Block(text, owner.tag, path[-2] if len(path) > 1 else 0, path, score))
+                out.append(Block(text, owner.tag, owner, score))
             pieces.clear()
         linked = 0
 
-    def settle() -> None:
-        nonlocal owner, path
-        owner = next((e for e in reversed(stack) if e.tag in _BLOCK), stack[0])
-        path = tuple(e.number for e in stack if e.tag in _BLOCK or not e.number)
-
     def text_between(a: int, b: int) -> None:
         nonlocal linked
         if a < b:
@@ -128,47 +196,53 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
             if stack[-1].link:
                 linked += len(raw.strip())
 
+    def drop(k: int) -> bool:
+        """Close what is open from place ``k`` on; whether a block element was among it."""
+        block = False
+        while len(stack) > k:
+            e = stack.pop()
+            if e.owner is e:
+                open_blocks[e.tag] -= 1
+                block = True
+            else:
+                e.owner.inline[e.tag] -= 1
+        return block
+
     at = 0
-    for m in _MARKUP.finditer(page):
-        text_between(at, m.start())
-        at = m.end()
-        tag = m[3] or m[6]
+    for start, end, tag, closing, rest in markup(page):
+        text_between(at, start)
+        at = end
         if not tag:
             continue
-        tag, closing, rest = tag.lower(), (m[2] or m[5]) == "/", m[4] or m[7] or ""
         if tag == "br":
             pieces.append(" ")
         elif tag in _VOID:
             if tag == "hr":
                 flush()
         elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(e.tag in _BLOCK for e in stack[k:]):
-                        flush()
-                        del stack[k:]
-                        settle()
-                    else:
-                        del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
-                    break  # an inline end tag doesn't close blocks around it
-            else:
-                if tag in _BLOCK:
-                    flush()
+            if tag in _BLOCK:
+                flush()
+                if open_blocks.get(tag):
+                    e = stack[-1].owner
+                    while e.tag != tag:
+                        e = e.up
+                    drop(e.index)
+                    owner = stack[-1].owner
+            elif stack[-1].owner.inline.get(tag):
+                # an inline end tag doesn't close blocks around it
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                drop(k)
         else:
             if tag in _BLOCK:
                 flush()
                 # inline elements left open don't reach past the block that they stand in
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in _BLOCK:
-                        if tag in _CLOSES.get(stack[k].tag, ()):
-                            del stack[k:]
-                            continue
-                        break
+                while tag in _CLOSES.get(stack[-1].owner.tag, ()):
+                    drop(stack[-1].owner.index)
             up = stack[-1]
             number += 1
-            e = _Element(tag, number, up.depth + 1, up.here, up.away, up.named, up.link or tag == "a")
+            e = _Element(tag, len(stack), number, up)
             if tag in ("article", "main"):
                 e.here = True
             elif tag in _AWAY:
@@ -178,7 +252,16 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
             if rest and not rest.isspace():
                 for a in _ATTRIBUTE.finditer(rest):
                     name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                    if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value) or name in ("class", "id", "role", "aria-label") and tag not in ("body", "html", "article", "main") and _NAMES_AWAY.search(value):
+                    if (
+                        name == "hidden"
+                        or name == "aria-hidden"
+                        and value == "true"
+                        or name == "style"
+                        and _HIDDEN.search(value)
+                        or name in ("class", "id", "role", "aria-label")
+                        and tag not in ("body", "html", "article", "main")
+                        and _leads_away(name, value, tag, up.here)
+                    ):
                         e.away = weights.away
                     elif tag in ("article", "main") and name in ("class", "id") and re.search(r"comment|repl(y|ies)|related|teaser|promo", value):
                         e.away = weights.away
@@ -186,8 +269,11 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
                         e.named = True
             if not rest.endswith("/") or tag in _BLOCK or tag == "a":
                 stack.append(e)
-                if tag in _BLOCK:
-                    settle()
+                if e.owner is e:
+                    open_blocks[tag] = open_blocks.get(tag, 0) + 1
+                    owner = e
+                else:
+                    e.owner.inline[tag] = e.owner.inline.get(tag, 0) + 1
     text_between(at, len(page))
     flush()
     return out
@@ -258,12 +344,16 @@ def minimum_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list
                 u = to[path.pop() ^ 1]
 
 
-def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Edges between two elements, given the numbers of the elements from the root to each."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
+def tree_distance(a: _Element, b: _Element) -> int:
+    """Edges between two block elements, counted up to the first one around both."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        n += 1
+    return n
 
 
 def label_blocks(page: str, weights: Weights = Weights()) -> list[Block]:
@@ -273,12 +363,13 @@ def label_blocks(page: str, weights: Weights = Weights()) -> list[Block]:
     if all(s > 0 for s in scores) or all(s <= 0 for s in scores):
         sides = [s > 0 for s in scores]
     else:
-        ties = [(k, k + 1, weights.next_to / (1 + tree_distance(a.path, b.path))) for k, (a, b) in enumerate(zip(found, found[1:], strict=False))]
+        ties = [(k, k + 1, weights.next_to / (1 + tree_distance(a.at, b.at))) for k, (a, b) in enumerate(zip(found, found[1:], strict=False))]
         last: dict[int, int] = {}
         for k, b in enumerate(found):
-            if (before := last.get(b.parent)) is not None:
+            parent = b.at.up.number if b.at.up else 0
+            if (before := last.get(parent)) is not None:
                 ties.append((before, k, weights.sibling))
-            last[b.parent] = k
+            last[parent] = k
         sides = minimum_cut(scores, ties)
     for b, side in zip(found, sides, strict=True):
         b.label = side
