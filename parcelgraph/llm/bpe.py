@@ -23,8 +23,9 @@ _CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Marks that are a pre-token of their own after letters, whatever follows them.
 _MARKS = frozenset(".,;:!?")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Chunks or pre-tokens remembered (up to twice as many); results don't depend on it.
-REMEMBERED = 500_000
+#: Chunks or pre-tokens remembered (up to twice as many), and the longest that are; results don't
+#: depend on it.
+REMEMBERED, LONGEST = 300_000, 128
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -71,6 +72,8 @@ class _Memory(dict):
         self.start, self.make, self.older, self.most = start, make, {}, REMEMBERED + len(start)
 
     def __missing__(self, piece):
+        if len(piece) > LONGEST:
+            return self.make(piece)
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
@@ -150,8 +153,11 @@ class WordEncoder:
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", _SPACE)).findall
         merge, ids = _merger(spec)
         codes = [i.tobytes() for i in ids].__getitem__
+        library = Tokenizer.from_str(spec_json)
 
         def encode(word: str) -> bytes:
+            if not word.isascii() and "Cn" in map(unicodedata.category, word):  # the library's own tables decide
+                return np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             if word.isalpha():  # one pre-token
                 return b"".join(map(codes, merge(word.encode())))
             if word[-1] in _MARKS and word[:-1].isalpha():

@@ -90,8 +90,8 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 c AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
     7 + sum(16 + length(role) + length(text) + {_ADDED.format("text")} + {_ADDED.format("role")} + length(role) - length(replace(role, chr(10), ''))) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars

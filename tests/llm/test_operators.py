@@ -4,6 +4,8 @@ empty tables and clashing column names; results against brute force."""
 import hashlib
 import json
 import math
+import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,6 +158,30 @@ def test_chat_parts(spark):
     assert r.formatted.count("<s>") == 1
 
 
+def test_words_with_unassigned_characters(spark):
+    library = __import__("tokenizers").Tokenizer.from_file(WORD)
+    encode = bpe.WordEncoder(open(WORD).read())
+    rng = np.random.default_rng(3)
+    odd = [chr(int(c)) for c in rng.integers(0x300, 0x1FFFF, 4000) if not 0xD800 <= c < 0xE000]
+    texts = ["a\u0558b \u0558", "x" * 5000 + " y", *(f"one{c} {c}two {c}" for c in odd if unicodedata.category(c) == "Cn")]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_extraction_is_linear_and_keeps_named_text(spark):
+    began = time.process_time()
+    for page in ('<a "' * 60000, "<div>" * 60000 + "x", "<b>" * 30000 + "<div>a</div>" * 30000, '<a ">" ' * 50000 + '"', "<i><div>" + "<b>" * 30000 + "</i>" * 30000, "<!--" * 50000, "<script>" * 50000):
+        extraction.main_text(page)
+    assert time.process_time() - began < 20
+    long = "<p>" + "This is a sentence of the article, and it is long enough. " * 4 + "</p>"
+    page = f"""<body><nav><a>Home</a></nav><article><h1>Title</h1>{long}<h2 id="related-work">Related work</h2>{long}
+      <section id="side-effects"><p>Side effects are rare, and mild, in most people.</p></section><p class="text-legal">The law, as it stands, says so.</p>
+      <div class="share">Share this, now.</div></article><footer>Imprint</footer></body>"""
+    found = extraction.main_text(page).split("\n\n")
+    assert {"Title", "Related work", "Side effects are rare, and mild, in most people.", "The law, as it stands, says so."} <= set(found)
+    assert not {"Home", "Imprint", "Share this, now."} & set(found)
+
+
 def test_quality(spark, docs, texts, words):
     junk = [(1000 + k, "BUY!! NOW!! " * (5 + k)) for k in range(30)]
     clean = [(2000 + k, words(30 + 3 * k).capitalize() + ".") for k in range(30)]
