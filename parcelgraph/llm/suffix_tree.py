@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,16 @@ FILTER_BITS, FILTER_TASKS = 26, 6
 #: A run whose count is at least this share of the training tokens is frequent: of each length
 #: there are at most 2**18.
 FREQUENT = 2.0**-18
-#: Documents are scored in so many slices, so that few requests are on disk at once.
-SLICES = 2
-#: Contexts of several symbols are fitted in so many slices, for the same reason.
+#: The tree's parts are asked in so many slices, so that few requests are on disk at once.
+SLICES = 6
+#: Contexts are fitted in so many slices, for the same reason.
 COUNT_SLICES = 2
+#: Bytes of a word that are hashed by whole-array operations; longer words one by one.
+_WORD_BYTES = 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Kinds of packed rows.
 PARTIAL, SEEN, CONTEXT, WORD, TEXTS, REQUEST = range(6)
 _RUNS = ("u8", "f4", "f4", "u8")  # run, value, probability of its last symbol, count
@@ -138,16 +145,38 @@ def _portions(batch: pa.RecordBatch, column: int, most: int = PORTION):
         at = upto
 
 
-def _tokens(text: str) -> np.ndarray:
-    return np.append(shingles.word_hashes(text), END)
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:end], eight bytes at a time; 8 bytes follow the last word."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    length = end - start
+    out = shingles.mix((eight[start] & _MASKS[np.minimum(length, 8)]) + length.astype(np.uint64) * _STEP)
+    for at in range(8, _WORD_BYTES, 8):
+        more = np.flatnonzero(length > at)
+        if not len(more):
+            break
+        piece = eight[start[more] + at] & _MASKS[np.minimum(length[more] - at, 8)]
+        out[more] = shingles.mix(out[more] * _STEP + piece)
+    for k in np.flatnonzero(length > _WORD_BYTES):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    return out
 
 
 def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, number of each in its text, lengths) of a portion."""
-    read = [_tokens(t.as_py() or "") for t in texts]
-    lengths = np.array([len(t) for t in read])
-    starts = np.cumsum(lengths) - lengths
-    return np.concatenate(read), np.arange(lengths.sum()) - np.repeat(starts, lengths), lengths
+    """(symbols, number of each in its text, lengths) of a portion; a null text is an empty one."""
+    held = [x.as_buffer() if x.is_valid else b"" for x in texts]
+    data = _LOWER[np.frombuffer(b" ".join([b"", *held, b" " * 8]), np.uint8)]
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    # texts begin after one blank each
+    begins = 1 + np.cumsum([0] + [len(x) + 1 for x in held])
+    lengths = np.diff(np.searchsorted(start, begins)) + 1
+    stops = np.cumsum(lengths)
+    symbols = np.full(lengths.sum(), END)
+    words = np.ones(len(symbols), bool)
+    words[stops - 1] = False
+    symbols[words] = _word_hashes(data, start, end)
+    return symbols, np.arange(len(symbols)) - np.repeat(stops - lengths, lengths), lengths
 
 
 def runs(words: np.ndarray, order: int) -> list[np.ndarray]:
@@ -255,7 +284,7 @@ def count_runs(docs: DataFrame, text_col: str, order: int, parts: int, shared, s
             at = np.flatnonzero(place >= order - 1)
             if slices > 1:
                 at = at[part_of(end[at - 1], parts) % np.uint64(slices) == slice_no]
-            if shared.value is not None:
+            if shared is not None:
                 at = at[_bits(shared.value, end[at - 1])]
             ctx, suf = end[at - 1], end[at]
             g, first, (c,) = _summed(_joined(ctx, suf, order), np.ones(len(at), np.int64))
@@ -375,11 +404,12 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
     for k in range(1, depth + 1):
         shared = sc.broadcast(known_filter(tables[-1].where(F.col("kind") == SEEN), least_count) if k > 1 else None)
         shorter = tables[-1]
-        for j in range(COUNT_SLICES if k > 1 else 1):
-            partial = count_runs(learnt, text_col, k + 1, parts, shared, j, COUNT_SLICES if k > 1 else 1)
+        for j in range(COUNT_SLICES):
+            partial = count_runs(learnt, text_col, k + 1, parts, shared if k > 1 else None, j, COUNT_SLICES)
             made = _step(fit_level(partial, shorter, k + 1, parts, least_count if k > 1 else 1, divergence, discount, k == depth), f"level{k}")
             tables[-1:] = [*tables[-1:], made] if j == 0 else [tables[-1].unionByName(made)]
-        shared.destroy()
+        if k > 1:
+            shared.destroy()
     tree = tables[0]
     for table in tables[1:]:
         tree = tree.unionByName(table)
@@ -388,10 +418,11 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
     own = lambda c: np.log10((c + 1.0) / total)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([*_PACKED, T.StructField("portion", T.LongType()), T.StructField("ids", T.ArrayType(id_type))])
-    sums = ("u8", "u4", "f8", "f8")  # tokens, known, base, gain: of each text of a portion
+    names, sums = ("u8", "u8", "u4", "f8", "f8"), ("u4", "u4", "f8", "f8")
+    # of a portion's texts: hash, tokens, known, base, gain; of those a part adds to: row, known, base, gain
 
-    def ask(batches):
-        """For each portion of texts its sums over frequent runs, and to each part of the tree the
+    def ask(batches, slice_no):
+        """For each portion of texts its sums over frequent runs, and to each part of the slice the
         other runs that it may know: word by word, then longer ones, by text."""
         *often, filter_ = shared.value
         held, value, count = _slots(*often)
@@ -402,7 +433,10 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
             known, base, gain = np.zeros(n), np.zeros(n), np.zeros(n)
             wanted = []
             for k, h in enumerate(runs(symbols, depth + 1)):
-                at = np.flatnonzero((place >= k) & _bits(filter_, h)) if k else np.arange(len(h))
+                part = part_of(h, parts)
+                at = np.flatnonzero((place >= k) & (part % np.uint64(SLICES) == slice_no))
+                if k:
+                    at = at[_bits(filter_, h[at])]
                 slot = (h[at] & mask).astype(np.int64)
                 hit = (held[slot] == h[at]) & ((count[slot] > 0) | (k > 0))
                 found, slot, at = at[hit], slot[hit], at[~hit]
@@ -410,18 +444,19 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
                 if not k:
                     base += np.bincount(row[found], own(count[slot]), n)
                     known += np.bincount(row[found], minlength=n)
-                wanted.append((part_of(h[at], parts), h[at], row[at].astype(np.uint32), np.full(len(at), k == 0)))
+                wanted.append((part[at], h[at], row[at].astype(np.uint32), np.full(len(at), k == 0)))
             part, h, row, is_word = (np.concatenate(x) for x in zip(*wanted, strict=True))
-            rows = [(portion % parts, TEXTS, pack(lengths.astype(np.uint64), known.astype(np.uint32), base, gain), portion, batch.column(0).to_pylist())]
+            text = np.array([xxhash.xxh3_64_intdigest(x.as_buffer() if x.is_valid else b"") for x in batch.column(1)], np.uint64)
+            rows = [(portion % parts, TEXTS, pack(text, lengths.astype(np.uint64), known.astype(np.uint32), base, gain), portion, batch.column(0).to_pylist())]
             order = np.argsort(part, kind="stable")
             part, h, row, is_word = part[order], h[order], row[order], is_word[order]
             for s, e in _stretches(part):
-                rows.append((int(part[s]), REQUEST, np.array([n, is_word[s:e].sum()], np.uint32).tobytes() + pack(row[s:e], h[s:e]), portion, None))
+                rows.append((int(part[s]), REQUEST, np.uint32(is_word[s:e].sum()).tobytes() + pack(row[s:e], h[s:e]), portion, None))
             yield _batch(rows, schema)
             portion += 1
 
     def answer(table: pa.Table) -> pa.Table:
-        """What a part of the tree adds to the sums of each portion's texts."""
+        """What a part of the tree adds to the sums of those of each portion's texts that asked."""
         g, v = unpack(_blobs(table, SEEN) + _blobs(table, CONTEXT), ("u8", "f4"))
         w, c = unpack(_blobs(table, WORD), ("u8", "u8"))
         g, v, c = np.concatenate([g, w]), np.concatenate([v, np.zeros(len(w), np.float32)]), np.concatenate([np.zeros(len(g), np.int64), c.astype(np.int64)])
@@ -431,41 +466,47 @@ def score_texts(docs: DataFrame, train: Column, depth: int = 2, least_count: int
             if kind == TEXTS:
                 out.append((0, kind, table["data"][k].as_py(), portion, table["ids"][k].as_py()))
             elif kind == REQUEST:
-                data = table["data"][k].as_py()
-                n, n_words = np.frombuffer(data[:8], np.uint32).tolist()
-                row, h = unpack([data[8:]], ("u4", "u8"))
+                data = table["data"][k].as_buffer()
+                n_words = int(np.frombuffer(data[:4], np.uint32)[0])
+                row, h = unpack([data[4:]], ("u4", "u8"))
+                texts, row = np.unique(row, return_inverse=True)
+                n = len(texts)
                 at, hit = _found(g, h)
                 gain = np.bincount(row[hit], v[at[hit]], n)
                 at, hit, row = at[:n_words], hit[:n_words], row[:n_words]
                 count = np.where(hit, c[at], 0) if len(c) else np.zeros(len(at))
                 base = np.bincount(row, own(count), n)
                 known = np.bincount(row[count > 0], minlength=n)
-                out.append((0, kind, pack(np.zeros(n, np.uint64), known.astype(np.uint32), base, gain), portion, None))
+                out.append((0, kind, pack(texts, known.astype(np.uint32), base, gain), portion, None))
         return pa.Table.from_batches([_batch(out, schema)])
 
-    result = T.StructType([util.field(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    result_arrow = to_arrow_schema(result)
+    part_sums = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in ("text", "n_tokens", "n_known")), T.StructField("base", T.DoubleType()), T.StructField("gain", T.DoubleType())])
+    part_arrow = to_arrow_schema(part_sums)
 
     def add_up(table: pa.Table) -> pa.Table:
-        ids = next(x for x in table["ids"] if x.is_valid).values.cast(result_arrow.field(0).type)
-        n = len(ids)
-        length, known, base, gain = (np.zeros(n) for _ in sums)
-        for data in table["data"]:
-            for into, x in zip((length, known, base, gain), unpack([data.as_buffer()], sums), strict=True):
-                into += x
-        columns = [ids, length.astype(np.int64), known.astype(np.int64), np.full(n, tokens, np.int64), base, base + gain]
-        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=result_arrow)
+        head = table["kind"].to_pylist().index(TEXTS)
+        ids = table["ids"][head].values.cast(part_arrow.field(0).type)
+        text, length, known, base, gain = unpack([table["data"][head].as_buffer()], names)
+        known = known.astype(np.int64)
+        for data in _blobs(table, REQUEST):
+            row, *more = unpack([data], sums)
+            for into, x in zip((known, base, gain), more, strict=True):
+                into[row] += x.astype(into.dtype)
+        return pa.Table.from_arrays([ids, pa.array(text.view(np.int64)), pa.array(length.view(np.int64)), pa.array(known), pa.array(base), pa.array(gain)], schema=part_arrow)
 
     columns = F.when(F.col("kind") == WORD, _columns("data", (0, 8), (16, 8))).otherwise(_columns("data", (0, 12)))
     known = tree.select("part", "kind", columns.alias("data"), F.lit(None).cast("long").alias("portion"), F.lit(None).cast(schema["ids"].dataType).alias("ids"))
     made = None
     for k in range(SLICES):
-        mine = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("slice")), F.lit(SLICES)) == k)
-        asked = mine.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(ask, schema)
-        met = asked.unionByName(known).groupBy("part").applyInArrow(answer, schema)
-        scored = _step(met.select("portion", "data", "ids").groupBy("portion").applyInArrow(add_up, result), "scores")
+        asked = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lambda batches, k=k: ask(batches, k), schema)
+        met = asked.unionByName(known.where(F.col("part") % SLICES == k)).groupBy("part").applyInArrow(answer, schema)
+        scored = _step(met.select("portion", "kind", "data", "ids").groupBy("portion").applyInArrow(add_up, part_sums), "scores")
         made = scored if made is None else made.unionByName(scored)
     shared.destroy()
     for table in tables:
         util.drop_table(table)
-    return made
+    # rows that repeat id and text have equal sums, so slices meet by these whatever the tasks were
+    copies = F.count("*") / SLICES
+    whole = made.groupBy("id", "text", "n_tokens").agg(copies.cast("int").alias("copies"), *((F.sum(c) / copies).alias(c) for c in ("n_known", "base", "gain")))
+    each = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(F.col("id").alias(id_col), "n_tokens", F.round("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
