@@ -50,14 +50,11 @@ FILTER_BITS, FILTER_TASKS = 26, 6
 #: there are at most 2**18.
 FREQUENT = 2.0**-18
 #: The tree's parts are asked in so many slices, so that few requests are on disk at once.
-SLICES = 6
+SLICES = 4
 #: Contexts are fitted in so many slices, for the same reason.
 COUNT_SLICES = 2
 #: Bytes of a word that are hashed by whole-array operations; longer words one by one.
 _WORD_BYTES = 64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Kinds of packed rows.
 PARTIAL, SEEN, CONTEXT, WORD, TEXTS, REQUEST = range(6)
@@ -164,8 +161,8 @@ def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 def _read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, number of each in its text, lengths) of a portion; a null text is an empty one."""
     held = [x.as_buffer() if x.is_valid else b"" for x in texts]
-    data = _LOWER[np.frombuffer(b" ".join([b"", *held, b" " * 8]), np.uint8)]
-    space = _SPACE[data]
+    data = np.frombuffer(b" ".join([b"", *held, b" " * 8]).lower(), np.uint8)
+    space = (data == 32) | (data - np.uint8(9) < 5)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
     # texts begin after one blank each
