@@ -50,7 +50,7 @@ FILTER_BITS, FILTER_TASKS = 26, 6
 #: there are at most 2**18.
 FREQUENT = 2.0**-18
 #: The tree's parts are asked in so many slices, so that few requests are on disk at once.
-SLICES = 4
+SLICES = 5
 #: Contexts are fitted in so many slices, for the same reason.
 COUNT_SLICES = 2
 #: Bytes of a word that are hashed by whole-array operations; longer words one by one.
