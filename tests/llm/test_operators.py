@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -392,6 +393,18 @@ def test_suffix_tree(spark, texts):
     assert suffix_tree.score_texts(docs.where("false"), train).count() == 0
 
 
+def test_suffix_tree_reads_words_as_bytes_split():
+    held = ["A b  c", " ", None, "", "x" * 100 + " " + "Y" * 9 + "\n", "é ß a " + "x" * 100, "\x0b\x0ck\x1c\x08 \x0e", "Q" * 8 + " " + "Q" * 16 + " " + "q" * 64 + "\t" + "Q" * 65]
+    symbols, place, lengths = suffix_tree._read(pa.array(held))
+    split = [[*(t or "").encode().lower().split(), None] for t in held]
+    assert lengths.tolist() == [len(ws) for ws in split]
+    assert place.tolist() == [k for ws in split for k in range(len(ws))]
+    named = defaultdict(set)
+    for w, h in zip((w for ws in split for w in ws), symbols.tolist(), strict=True):
+        named[w].add(h)
+    assert all(len(hs) == 1 for hs in named.values()) and len({min(hs) for hs in named.values()}) == len(named)
+
+
 def tree_by_hand(texts, depth, least_count, divergence, discount):
     """The tree's next-symbol probability as a function of the past and a symbol."""
     count = Counter(w for ws in texts for w in ws)
