@@ -157,6 +157,43 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS words
+  FROM documents),
+flags AS (
+  SELECT w.part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+    coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id AS id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id) l ON l.id = w.doc_id),
+kinds AS (SELECT *, count(*) AS n FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.f NOT IN (q.f, r.f, s.f, t.f) AND q.f NOT IN (r.f, s.f, t.f) AND r.f NOT IN (s.f, t.f) AND s.f <> t.f),
+gone AS (
+  SELECT *, least(if(a, strpos(o, 'A'), 6), if(b, strpos(o, 'B'), 6), if(c, strpos(o, 'C'), 6), if(d, strpos(o, 'D'), 6), if(e, strpos(o, 'E'), 6)) AS pos,
+    a::INT + b::INT + c::INT + d::INT + e::INT AS fails
+  FROM kinds, orders),
+steps AS (
+  SELECT gone.*, step, o[step] AS f, CASE o[step] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS hit
+  FROM gone, unnest([1, 2, 3, 4, 5]) AS u(step)),
+found AS (
+  SELECT part, o AS filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (pos > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (pos = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (hit AND pos < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (hit AND fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (pos = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (pos = step AND toxic), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM found"""
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_chat_format": op2_chat_format,
@@ -168,7 +205,8 @@ QUERIES = {
     "op8_chosen_path": op8_chosen_path,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_collision_links": OP5_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op5_collision_links": OP5_SQL, "op9_decontamination": OP9_SQL, "op13_filter_audit": OP13_SQL}
