@@ -140,6 +140,32 @@ class ByteLevelCounter:
         return len(parts) // 2 + sum(sum(map(self.known.__getitem__, _CHUNKS.findall(p))) for p in parts[::2])
 
 
+class ByteLevelEncoder:
+    """Encodes texts under a byte-level tokenizer without normalisation; the strings of special
+    tokens are plain text. Ids are little-endian unsigned 16-bit integers."""
+
+    def __init__(self, spec_json: str):
+        spec = json.loads(spec_json)
+        pre = spec["pre_tokenizer"]
+        if spec["normalizer"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"]:
+            raise ValueError("a byte-level tokenizer without normaliser and prefix space is needed")
+        pieces = regex.compile(BYTE_LEVEL).findall
+        merge, ids = _merger(spec)
+        codes = [i.astype("<u2").tobytes() for i in ids].__getitem__
+
+        def encode(chunk: str) -> bytes:
+            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # one pre-token
+                return b"".join(map(codes, merge(chunk.encode())))
+            if chunk[-1] in _MARKS and (head := chunk[:-1])[1:].isalpha() and (head[0] == " " or head[0].isalpha()):
+                return self.known[head] + self.known[chunk[-1]]
+            return b"".join(b"".join(map(codes, merge(p.encode()))) for p in pieces(chunk))
+
+        self.known = _Memory({}, encode)
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _CHUNKS.findall(text)))
+
+
 class WordEncoder:
     """Encodes texts under a lower-casing tokenizer whose pieces end in a word-end mark."""
 
