@@ -47,6 +47,7 @@ class _Pair:
     of their ids."""
 
     spec: str
+    unsure: frozenset[str]
     pieces: bytes
     lengths: tuple[np.ndarray, np.ndarray]
 
@@ -57,7 +58,7 @@ class _Pair:
         first = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():
             first[k] = len(token)  # one printable character stands for each byte
-        return _Pair(spec, model, (first, np.array([len(b) for b in _piece_bytes(model)], np.int64)))
+        return _Pair(spec, bpe.unsure_characters(spec), model, (first, np.array([len(b) for b in _piece_bytes(model)], np.int64)))
 
 
 def _piece_bytes(model: bytes) -> list[bytes]:
@@ -86,7 +87,7 @@ def encode(docs: DataFrame, pair: _Pair, id_col: str, text_col: str) -> DataFram
 
     def run(batches):
         files = shared.value
-        first = bpe.ByteLevelEncoder(files.spec)
+        first = bpe.ByteLevelEncoder(files.spec, files.unsure)
         second = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
         texts = _piece_bytes(files.pieces)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -23,6 +24,9 @@ _CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Marks that are a pre-token of their own after letters, whatever follows them.
 _MARKS = frozenset(".,;:!?")
 _ODD = re.compile("[\x1c-\x1f]")
+_WORDS = re.compile(f"[^{_BLANK}]+")
+#: Stands for the end of a word among the bytes of a pre-token.
+_END = b"\xff"
 #: Chunks or pre-tokens remembered (up to twice as many), and the longest that are; results don't
 #: depend on it.
 REMEMBERED, LONGEST = 300_000, 128
@@ -90,18 +94,18 @@ def _merger(spec: dict):
 
     The vocabulary's merges, in their order, become the ranks of tiktoken's merge loop, which does
     single pieces several times faster than a general encoder. Where the vocabulary marks word
-    ends, a zero byte stands for the mark: joining it to the letter before it ranks first of all,
-    which gives the marked letters that the merges start from.
+    ends, the byte 255, which UTF-8 has nowhere, stands for the mark: joining it to the letter before
+    it ranks first of all, which gives the marked letters that the merges start from.
     """
     model, mark = spec["model"], spec["model"]["end_of_word_suffix"] or ""
     back = {c: b for b, c in byte_alphabet().items()}
 
     def raw(token: str) -> bytes:
         ends = bool(mark) and token.endswith(mark)
-        return bytes(back[c] for c in (token.removesuffix(mark) if ends else token)) + b"\0" * ends
+        return bytes(back[c] for c in (token.removesuffix(mark) if ends else token)) + _END * ends
 
     first = 512
-    ranks = {bytes([b, 0]): b for b in range(256)} if mark else {}
+    ranks = {bytes([b]) + _END: b for b in range(256)} if mark else {}
     for k, (left, right) in enumerate(model["merges"]):
         ranks.setdefault(raw(left) + raw(right), first + k)
     single = first + len(model["merges"])
@@ -111,13 +115,23 @@ def _merger(spec: dict):
         if (rank := ranks.get(raw(token))) is not None:
             ids[rank] = i
     merge = tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    return (lambda piece: merge(piece + b"\0")) if mark else merge, ids
+    return (lambda piece: merge(piece + _END)) if mark else merge, ids
+
+
+def _plain_library(spec_json: str) -> Tokenizer:
+    library = Tokenizer.from_str(spec_json)
+    library.encode_special_tokens = True
+    return library
 
 
 class ByteLevelCounter:
-    """Counts tokens of texts under a byte-level tokenizer without normalisation."""
+    """Counts tokens of texts under a byte-level tokenizer without normalisation.
 
-    def __init__(self, spec_json: str, whole: list[str]):
+    Chunks with characters that are unassigned or in ``unsure`` (see :func:`unsure_characters`) are
+    counted by the library itself.
+    """
+
+    def __init__(self, spec_json: str, whole: list[str], unsure: frozenset[str] | None = None):
         spec = json.loads(spec_json)
         pre = spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"]:
@@ -125,8 +139,11 @@ class ByteLevelCounter:
         self.special, _ = _special(spec)
         pieces, whole = regex.compile(BYTE_LEVEL).findall, dict.fromkeys(whole, 1)
         merge, _ = _merger(spec)
+        unsure, library = unsure_characters(spec_json) if unsure is None else unsure, _plain_library(spec_json)
 
         def count(chunk: str) -> int:
+            if _odd(chunk, unsure):
+                return len(library.encode(chunk, add_special_tokens=False).ids)
             if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # one pre-token
                 return whole.get(chunk) or len(merge(chunk.encode()))
             if chunk[-1] in _MARKS and (head := chunk[:-1])[1:].isalpha() and (head[0] == " " or head[0].isalpha()):
@@ -142,9 +159,10 @@ class ByteLevelCounter:
 
 class ByteLevelEncoder:
     """Encodes texts under a byte-level tokenizer without normalisation; the strings of special
-    tokens are plain text. Ids are little-endian unsigned 16-bit integers."""
+    tokens are plain text. Ids are little-endian unsigned 16-bit integers. ``unsure``: see
+    :class:`ByteLevelCounter`."""
 
-    def __init__(self, spec_json: str):
+    def __init__(self, spec_json: str, unsure: frozenset[str] | None = None):
         spec = json.loads(spec_json)
         pre = spec["pre_tokenizer"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"]:
@@ -152,8 +170,11 @@ class ByteLevelEncoder:
         pieces = regex.compile(BYTE_LEVEL).findall
         merge, ids = _merger(spec)
         codes = [i.astype("<u2").tobytes() for i in ids].__getitem__
+        unsure, library = unsure_characters(spec_json) if unsure is None else unsure, _plain_library(spec_json)
 
         def encode(chunk: str) -> bytes:
+            if _odd(chunk, unsure):
+                return np.array(library.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
             if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):  # one pre-token
                 return b"".join(map(codes, merge(chunk.encode())))
             if chunk[-1] in _MARKS and (head := chunk[:-1])[1:].isalpha() and (head[0] == " " or head[0].isalpha()):
@@ -166,10 +187,54 @@ class ByteLevelEncoder:
         return b"".join(map(self.known.__getitem__, _CHUNKS.findall(text)))
 
 
+def unsure_characters(spec_json: str) -> frozenset[str]:
+    """The assigned characters that Python and the library treat differently, as their tables are of
+    different versions of Unicode: normalised, put in order after other marks, or split otherwise.
+
+    Tried out one by one; a second or two.
+    """
+    spec, library = json.loads(spec_json), Tokenizer.from_str(spec_json)
+    steps = spec["pre_tokenizer"].get("pretokenizers")
+    pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", _SPACE) if steps else BYTE_LEVEL).findall
+    split = library.pre_tokenizer.pre_tokenize_str
+    normal, lower = str, str
+    if spec["normalizer"]:
+        normal, lower = library.normalizer.normalize_str, lambda text: "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+    found: set[str] = set()
+    for c in map(chr, [*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        if unicodedata.category(c) in ("Cn", "Co") or c in _REGULAR:
+            continue
+        tried = [c, c + "\u0334", "\u0315" + c] if unicodedata.combining(c) else [c]
+        low = lower(c)
+        if any(normal(t) != lower(t) for t in tried) or (not c.isspace() and len(split("a" + low + "1")) != len(pieces("a" + low + "1"))):
+            found.update((c, *low))
+    return frozenset(found)
+
+
+def _odd(text: str, unsure: frozenset[str]) -> bool:
+    """Whether only the library can tell how ``text`` is read."""
+    return not text.isascii() and (not unsure.isdisjoint(text) or "Cn" in map(unicodedata.category, text))
+
+
+class _Regular:
+    """Ideographs and syllables that all versions in question treat alike."""
+
+    def __contains__(self, c: str) -> bool:
+        return "\u4e00" <= c <= "\u9fd0" or "\uac00" <= c <= "\ud7a3" or "\u3400" <= c <= "\u4db5" or "\U00020000" <= c <= "\U0002a6d6"
+
+
+_REGULAR = _Regular()
+
+
 class WordEncoder:
-    """Encodes texts under a lower-casing tokenizer whose pieces end in a word-end mark."""
+    """Encodes texts under a lower-casing tokenizer whose pieces end in a word-end mark.
+
+    Texts with characters that are unassigned or in ``unsure`` (see :func:`unsure_characters`) are
+    encoded by the library itself.
+    """
 
-    def __init__(self, spec_json: str):
+    def __init__(self, spec_json: str, unsure: frozenset[str] | None = None):
+        unsure = unsure_characters(spec_json) if unsure is None else unsure
         spec = json.loads(spec_json)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -181,23 +246,25 @@ class WordEncoder:
         codes = [i.tobytes() for i in ids].__getitem__
         library = Tokenizer.from_str(spec_json)
 
-        def encode(word: str) -> bytes:
-            if not word.isascii() and "Cn" in map(unicodedata.category, word):  # the library's own tables decide
-                return np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        def encode(word: str) -> bytes | None:
+            if _odd(word, unsure):
+                return None
             if word.isalpha():  # one pre-token
                 return b"".join(map(codes, merge(word.encode())))
             if word[-1] in _MARKS and word[:-1].isalpha():
-                return self.known[word[:-1]] + self.known[word[-1]]
+                return self.known[word[:-1]] + self.known[word[-1]]  # no letter of it is unsure
             return b"".join(b"".join(map(codes, merge(p.encode()))) for p in self.pieces(word))
 
-        self.known = _Memory({}, encode)
+        self.known, self.library = _Memory({}, encode), library
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+        low = text if text.isascii() else unicodedata.normalize("NFC", text)
         # a sigma ends words differently in str.lower(); the library lowers each character alone
-        low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        return b"".join(map(self.known.__getitem__, low.split() if not _ODD.search(low) else self.pieces(low)))
+        low = low.lower() if "Σ" not in low else "".join(map(str.lower, low))
+        codes = list(map(self.known.__getitem__, low.split() if not _ODD.search(low) else _WORDS.findall(low)))
+        if None in codes:  # the library's own tables decide
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(codes)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -61,7 +61,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, en
     number as seed.
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = docs.sparkSession.sparkContext.broadcast((spec, bpe.unsure_characters(spec)))
     key = ("encode", tokenizer_file, len(spec))
     longs = ["start", "length", "ids_crc32", "doc_tokens", "draw"]
     schema = T.StructType([util.field(docs, id_col), *(T.StructField(c, T.LongType()) for c in longs)])
@@ -69,7 +69,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, en
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = bpe.kept(key, lambda: bpe.WordEncoder(shared.value))
+        encode = bpe.kept(key, lambda: bpe.WordEncoder(*shared.value))
         draw = random.Random(TaskContext.get().partitionId()).getrandbits
         for batch in batches:
             row, out = [], []

@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
     as that one token, as the tokenizers library has it by default.
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
-    shared = docs.sparkSession.sparkContext.broadcast((spec, bpe.whole_tokens(spec)))
+    shared = docs.sparkSession.sparkContext.broadcast((spec, bpe.whole_tokens(spec), bpe.unsure_characters(spec)))
     key = ("count", tokenizer_file, len(spec))
     schema = T.StructType([util.field(docs, id_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     arrow = to_arrow_schema(schema)
