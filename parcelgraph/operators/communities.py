@@ -1,128 +1,185 @@
-"""Oversized components are split by Louvain; small ones stay whole."""
+"""Oversized components are split by Louvain; small ones stay whole.
+
+Both phases of Louvain are joins and aggregations, over all oversized components at once: no
+component, community or hub has to fit a task.
+
+*Moving.* All nodes look at once for the neighbouring community with the greatest gain of
+modularity. Moves that are made together disturb each other, so in each round a coin for every
+community says whether it only receives or only gives nodes, and a node moves only if its gain also
+pays for all other moves from the community it leaves and into the one it joins; the best move of
+both is made in any case. What moves together then adds at least what was promised, so modularity
+never falls and there is no draw that a repeated task could make differently.
+
+*Contraction.* Communities become nodes, named by their smallest member, and the edges between them
+add up.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelgraph.operators.components import connected_components
+from parcelgraph.sources.shared import delete, shared_dir, write
+
+#: Gains below this are taken for rounding.
+_LEAST = 1e-9
 
 
-def louvain(edges: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Communities of one graph, named by their smallest node.
+def _moving_round(edges: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """One round: ``state`` with some nodes in other communities, and whether each moved or could.
 
-    Local moving in ascending node order, then aggregation, until modularity stops growing; there
-    is no randomness, and parallel edges add up.
+    edges: part, a, b, w in both directions, without loops; state: part, a, k (its weight), m2 (twice
+    the part's weight), c.
     """
-    own = {n: n for e in edges for n in e[:2]}
-    graph: dict[int, dict[int, float]] = {n: {} for n in own}
-    loops = dict.fromkeys(own, 0.0)
-    for a, b, w in edges:
-        if a == b:
-            loops[a] += w
-        else:
-            graph[a][b] = graph[a].get(b, 0.0) + w
-            graph[b][a] = graph[b].get(a, 0.0) + w
-    while True:
-        degree = {n: sum(graph[n].values()) + 2 * loops[n] for n in graph}
-        total = sum(degree.values())
-        if not total:
-            return own
-        home = {n: n for n in graph}
-        weight = dict(degree)
-        moved, any_move = True, False
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                near: dict[int, float] = {}
-                for m, w in graph[n].items():
-                    near[home[m]] = near.get(home[m], 0.0) + w
-                weight[home[n]] -= degree[n]
-                stay = near.get(home[n], 0.0) - weight[home[n]] * degree[n] / total
-                best, gain = home[n], stay
-                for c in sorted(near):
-                    g = near[c] - weight[c] * degree[n] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight[best] += degree[n]
-                if best != home[n]:
-                    home[n], moved, any_move = best, True, True
-        least: dict[int, int] = {}
-        for n in sorted(graph):
-            least.setdefault(home[n], n)
-        own = {k: least[home[v]] for k, v in own.items()}
-        if not any_move:
-            break
-        new_graph: dict[int, dict[int, float]] = {c: {} for c in least.values()}
-        new_loops = dict.fromkeys(new_graph, 0.0)
-        for n in graph:
-            a = least[home[n]]
-            new_loops[a] += loops[n]
-            for m, w in graph[n].items():
-                b = least[home[m]]
-                if a == b:
-                    new_loops[a] += w / 2
-                else:
-                    new_graph[a][b] = new_graph[a].get(b, 0.0) + w
-        graph, loops = new_graph, new_loops
-    names: dict[int, int] = {}
-    for n in sorted(own):
-        names.setdefault(own[n], n)
-    return {n: names[c] for n, c in own.items()}
-
-
-def _split(nodes: dict[int, int], edges: list[tuple[int, int, float]], most: int, depth: int):
-    """(node, community, depth, reason) of a component, split while its size is over ``most``."""
-    if sum(nodes.values()) <= most:
-        low = min(nodes)
-        return [(n, low, depth, "within_size") for n in nodes]
-    found = louvain(edges)
-    parts: dict[int, list[int]] = {}
-    for n in nodes:
-        parts.setdefault(found.get(n, n), []).append(n)
-    if len(parts) == 1:
-        low = min(nodes)
-        return [(n, low, depth, "no_meaningful_split") for n in nodes]
-    out = []
-    for members in parts.values():
-        inside = set(members)
-        out += _split({n: nodes[n] for n in members}, [e for e in edges if e[0] in inside and e[1] in inside], most, depth + 1)
-    return out
-
-
-def split_components(nodes: DataFrame, edges: DataFrame, most: int = 300) -> DataFrame:
-    """(nodeid, component, community, depth, reason); nodes: nodeid, size; edges: src, dst, weight.
-
-    Only components whose sizes sum to more than ``most`` go to a Python worker, each as a whole;
-    all others are answered by joins.
+    total = state.groupBy("c").agg(F.sum("k").alias("t"))
+    placed = state.join(total, "c")
+    takes = lambda c: F.xxhash64(c, F.lit(k // 2)) % 2 == F.lit(k % 2)
+    there = placed.select(F.col("a").alias("b"), F.col("c").alias("to"), F.col("t").alias("to_t"))
+    near = edges.join(there, "b").groupBy("a", "to").agg(F.sum("w").alias("w"), F.first("to_t").alias("to_t"))
+    own = near.join(placed.select("a", "k", "m2", "c", "t"), "a")
+    gain = F.col("w") - F.col("to_t") * F.col("k") / F.col("m2")
+    other = F.col("to") != F.col("c")
+    option = F.struct(gain.alias("gain"), (-F.col("to")).alias("low"), F.col("to").alias("to"))
+    best = own.groupBy("a", "k", "m2", "c", "t").agg(
+        F.max(F.when(~other, F.col("w"))).alias("stay"),
+        F.max(F.when(other, option)).alias("any"),
+        F.max(F.when(other & takes(F.col("to")) & ~takes(F.col("c")), option)).alias("best"),
+    )
+    stay = F.coalesce("stay", F.lit(0.0)) - (F.col("t") - F.col("k")) * F.col("k") / F.col("m2")
+    best = best.select("a", "k", "m2", "c", (F.col("any.gain") - stay > _LEAST).alias("could"), F.col("best.to").alias("to"), (F.col("best.gain") - stay).alias("net"))
+    moves = best.where(F.col("net") > _LEAST).select("a", "k", "m2", "c", "to", "net")
+    first = F.max(F.struct("net", (-F.col("a")).alias("low")))
+    gives = moves.groupBy("c").agg(F.sum("k").alias("c_k"), first.alias("c_first"))
+    gets = moves.groupBy("to").agg(F.sum("k").alias("to_k"), first.alias("to_first"))
+    moves = moves.join(gives, "c").join(gets, "to")
+    pays = F.col("net") > F.col("k") * (F.col("c_k") + F.col("to_k") - 2 * F.col("k")) / F.col("m2") + _LEAST
+    leads = (F.col("c_first.low") == -F.col("a")) & (F.col("to_first.low") == -F.col("a"))
+    moved = moves.where(pays | leads).select("a", F.col("to").alias("new"))
+    out = state.join(moved, "a", "left").join(best.where("could").select("a", "could"), "a", "left")
+    return out.select("part", "a", "k", "m2", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("moved"), F.coalesce("could", F.lit(False)).alias("could"))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, max_levels: int = 10, max_rounds: int = 30, tolerance: float = 0.02) -> DataFrame:
+    """(part, node, community) of each part's own graph; communities are named by their smallest node.
+
+    nodes: part, node, no node twice; edges: part, src, dst, weight (positive), undirected, each
+    once; repeated edges add up. A level ends when the share of nodes that a move would improve is
+    at most ``tolerance``, or after ``max_rounds``; a pass ends at the level on which nothing moved.
+    The passes after the first begin with single nodes again, from the communities found: what was
+    moved as a whole may then part.
     """
-    component = connected_components(edges)
-    placed = nodes.join(component.withColumnRenamed("node", "nodeid"), "nodeid", "left").withColumn("component", F.coalesce("component", "nodeid"))
-    large = placed.groupBy("component").agg(F.sum("size").alias("total")).where(F.col("total") > most).select("component")
-    small = placed.join(large, "component", "left_anti").select("nodeid", "component", F.col("component").alias("community"), F.lit(0).alias("depth"), F.lit("within_size").alias("reason"))
-    rows = placed.join(large, "component", "left_semi").select("component", F.col("nodeid").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("size").cast("double").alias("weight"))
-    ends = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).join(placed.select(F.col("nodeid").alias("src"), "component"), "src").join(large, "component", "left_semi")
-    both = rows.unionByName(ends.select("component", "src", F.col("dst").cast("long").alias("dst"), "weight"))
+    spark = nodes.sparkSession
+    base, steps = f"{shared_dir(spark)}/louvain-{uuid.uuid4().hex}", iter(range(1_000_000))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own, links = frame[frame["dst"].isna()], frame[frame["dst"].notna()]
-        sizes = {int(n): int(w) for n, w in zip(own["src"], own["weight"], strict=True)}
-        pairs = sorted((int(a), int(b), float(w)) for a, b, w in zip(links["src"], links["dst"], links["weight"], strict=True))
-        out = pd.DataFrame(_split(sizes, pairs, most, 0), columns=["nodeid", "community", "depth", "reason"])
-        out["component"] = int(frame["component"].iloc[0])
-        return out[["nodeid", "component", "community", "depth", "reason"]]
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{base}/{next(steps)}"
+        return write(df, path), path
 
-    return small.unionByName(both.groupBy("component").applyInPandas(run, "nodeid long, component long, community long, depth int, reason string"))
+    both = edges.select("part", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    both = both.where("a != b").unionByName(both.where("a != b").select("part", F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(both.where("a = b").withColumn("w", 2 * F.col("w")))
+    whole, whole_at = kept(both.groupBy("part", "a", "b").agg(F.sum("w").alias("w")))
+    home, home_at = kept(nodes.select("part", "node", F.col("node").alias("community")))
+    for pass_number in range(passes):
+        graph, graph_at, moved_in_pass = whole, whole_at, False
+        for level in range(max_levels):
+            degree = graph.groupBy("part", "a").agg(F.sum("w").alias("k"))
+            state = degree.join(degree.groupBy("part").agg(F.sum("k").alias("m2")), "part")
+            again = pass_number > 0 and level == 0
+            state = state.join(home.select(F.col("node").alias("a"), F.col("community").alias("c")), "a") if again else state.withColumn("c", F.col("a"))
+            state, at = kept(state)
+            links = graph.where("a != b").select("a", "b", "w")
+            any_move = False
+            for k in range(max_rounds):
+                after, after_at = kept(_moving_round(links, state.select("part", "a", "k", "m2", "c"), k))
+                delete(spark, at)
+                state, at = after, after_at
+                n, moved, could = state.agg(F.count("*"), F.count_if("moved"), F.count_if("could")).first()
+                any_move = any_move or moved > 0
+                if could <= tolerance * n and (could == 0 or k % 2):
+                    break
+            if not any_move:
+                delete(spark, at)
+                break
+            moved_in_pass = True
+            names = state.groupBy("c").agg(F.min("a").alias("name"))
+            renamed, renamed_at = kept(state.join(names, "c").select("a", "name"))
+            old = home.select("part", "node", (F.col("node") if again else F.col("community")).alias("community"))
+            moved_home, moved_home_at = kept(old.join(renamed.select(F.col("a").alias("community"), "name"), "community", "left").select("part", "node", F.coalesce("name", "community").alias("community")))
+            ends = graph.join(renamed, "a").select("part", F.col("name").alias("from"), "b", "w").join(renamed.select(F.col("a").alias("b"), F.col("name").alias("to")), "b")
+            smaller, smaller_at = kept(ends.groupBy("part", F.col("from").alias("a"), F.col("to").alias("b")).agg(F.sum("w").alias("w")))
+            for path in (at, renamed_at, home_at, *([graph_at] if graph_at != whole_at else [])):
+                delete(spark, path)
+            (graph, graph_at), (home, home_at) = (smaller, smaller_at), (moved_home, moved_home_at)
+        if graph_at != whole_at:
+            delete(spark, graph_at)
+        if not moved_in_pass:
+            break
+    delete(spark, whole_at)
+    return home
+
+
+def modularity_by_part(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(part, modularity) of each part's graph. edges: part, src, dst, weight; communities: part, node,
+    community. A part without edges has no row."""
+    total = edges.groupBy("part").agg(F.sum("weight").alias("m"))
+    c = communities.select("node", "community")
+    tagged = edges.join(c.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+    inside = F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)
+    sides = tagged.select("part", F.explode(F.array(F.struct(F.col("a").alias("c"), "weight", inside.alias("inside")), F.struct(F.col("b").alias("c"), "weight", F.lit(0.0).alias("inside")))).alias("e"))
+    sums = sides.groupBy("part", "e.c").agg(F.sum("e.weight").alias("degree"), F.sum("e.inside").alias("inside"))
+    return sums.join(total, "part").groupBy("part").agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
+
+
+def split_components(nodes: DataFrame, edges: DataFrame, most: int = 300, max_depth: int = 10) -> DataFrame:
+    """(nodeid, component, community, was_split, depth, modularity_gain, original_size, reason).
+
+    nodes: nodeid, size; edges: src, dst, weight. Communities are named by their smallest node. A
+    component whose sizes sum to more than ``most`` is split by Louvain, and so are its communities,
+    each on the edges inside it, until their sizes are within ``most`` (below_threshold) or Louvain
+    leaves one community (no_meaningful_split). depth counts the splits above a community;
+    modularity_gain is the modularity of the last of them, null without any, and original_size the
+    size of the whole component. Nodes without edges are components of their own.
+    """
+    component = connected_components(edges).withColumnRenamed("node", "nodeid")
+    placed = nodes.join(component, "nodeid", "left").select("nodeid", F.coalesce("component", "nodeid").alias("component"), "size")
+    sizes = placed.groupBy("component").agg(F.sum("size").alias("original_size"))
+    spark = nodes.sparkSession
+    base = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    start = placed.join(sizes, "component")
+    done = [start.where(F.col("original_size") <= most).select("nodeid", "component", F.col("component").alias("community"), F.lit(0).alias("depth"), F.lit(None).cast("double").alias("modularity_gain"), "original_size", F.lit("below_threshold").alias("reason"))]
+    rest = start.where(F.col("original_size") > most).select("nodeid", "component", "size", "original_size", F.col("component").alias("part"), F.lit(None).cast("double").alias("gain"))
+    for depth in range(max_depth + 1):
+        rest = write(rest, f"{base}/rest-{depth}")
+        if rest.isEmpty():
+            break
+        of = rest.select("nodeid", "part")
+        inner = edges.where("src != dst").join(of.select(F.col("nodeid").alias("src"), "part"), "src").join(of.select(F.col("nodeid").alias("dst"), F.col("part").alias("other")), "dst")
+        inner = write(inner.where("part = other").select("part", "src", "dst", F.col("weight").cast("double").alias("weight")), f"{base}/edges-{depth}")
+        if depth == max_depth:
+            found = of.select("part", F.col("nodeid").alias("node"), F.col("part").alias("community"))
+        else:
+            found = louvain(of.withColumnRenamed("nodeid", "node"), inner)
+        gain = modularity_by_part(inner, found)
+        split = rest.join(found.select(F.col("node").alias("nodeid"), "community"), "nodeid")
+        inside = split.groupBy("part", "community").agg(F.sum("size").alias("inside"))
+        parts = inside.groupBy("part").agg(F.count("*").alias("communities")).join(gain, "part", "left")
+        split = split.join(inside.select("community", "inside"), "community").join(parts, "part")
+        split = write(split, f"{base}/split-{depth}")
+        whole, small = F.col("communities") == 1, F.col("inside") <= most
+        final = lambda rows, d, gain, reason: rows.select("nodeid", "component", "community", F.lit(d).alias("depth"), gain.alias("modularity_gain"), "original_size", F.lit(reason).alias("reason"))
+        done.append(final(split.where(whole), depth, F.col("gain"), "no_meaningful_split"))
+        done.append(final(split.where(~whole & small), depth + 1, F.col("modularity"), "below_threshold"))
+        rest = split.where(~whole & ~small).select("nodeid", "component", "size", "original_size", F.col("community").alias("part"), F.col("modularity").alias("gain"))
+    made = reduce(DataFrame.unionByName, done)
+    return made.select("nodeid", "component", "community", (F.col("depth") > 0).alias("was_split"), "depth", "modularity_gain", "original_size", "reason")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """One row: the modularity of (nodeid, community) over undirected edges (src, dst, weight)."""
-    c = communities.select("nodeid", "community")
-    ends = edges.select(F.col("src").alias("nodeid"), "weight").unionAll(edges.select("dst", "weight"))
-    degree = ends.join(c, "nodeid").groupBy("community").agg(F.sum("weight").alias("degree"))
-    tagged = edges.join(c.withColumnRenamed("nodeid", "src").withColumnRenamed("community", "a"), "src").join(c.withColumnRenamed("nodeid", "dst").withColumnRenamed("community", "b"), "dst")
-    inside = tagged.where("a = b").groupBy(F.col("a").alias("community")).agg(F.sum("weight").alias("inside"))
-    m = edges.agg(F.sum("weight")).first()[0] or 1.0
-    rows = degree.join(inside, "community", "left")
-    return rows.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / m - F.pow(F.col("degree") / (2 * m), 2)).alias("modularity"))
+    c = communities.select(F.lit(0).alias("part"), F.col("nodeid").alias("node"), "community")
+    found = modularity_by_part(edges.select(F.lit(0).alias("part"), "src", "dst", F.col("weight").cast("double").alias("weight")), c)
+    return found.agg(F.coalesce(F.first("modularity"), F.lit(0.0)).alias("modularity"))

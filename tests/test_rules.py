@@ -2,7 +2,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from parcelgraph.operators import communities, relational
+from parcelgraph.operators import relational
 from parcelgraph.operators.components import connected_components
 from parcelgraph.plans import rules
 
@@ -106,14 +106,3 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (4, 5), (6, 6), (None, 1), (10, 9), (9, 8), (8, 7), (7, 1)], "src int, dst int")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 10: 1, 4: 4, 5: 4, 6: 6}
     assert connected_components(edges.where("false")).count() == 0
-
-
-def test_louvain(spark):
-    ring = lambda at: [(at + i, at + j, 1.0) for i in range(5) for j in range(i)]
-    assert communities.louvain([*ring(0), *ring(10), (4, 10, 0.1)]) == {n: 0 if n < 10 else 10 for n in [*range(5), *range(10, 15)]}
-    nodes = spark.createDataFrame([(n, 50) for n in [*range(5), *range(10, 15), 99]], "nodeid long, size int")
-    edges = spark.createDataFrame([*ring(0), *ring(10), (4, 10, 0.1)], "src long, dst long, weight double")
-    out = {r.nodeid: (r.community, r.depth, r.reason) for r in communities.split_components(nodes, edges, 300).collect()}
-    assert out[3] == (0, 1, "within_size") and out[12] == (10, 1, "within_size") and out[99] == (99, 0, "within_size")
-    q = communities.modularity(edges, spark.createDataFrame([(n, 0 if n < 10 else 10) for n in out if n != 99], "nodeid long, community long")).first().modularity
-    assert 0.4 < q < 0.5
