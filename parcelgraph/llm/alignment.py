@@ -58,20 +58,7 @@ class _Pair:
         first = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():
             first[k] = len(token)  # one printable character stands for each byte
-        return _Pair(spec, bpe.unsure_characters(spec), model, (first, np.array([len(b) for b in _piece_bytes(model)], np.int64)))
-
-
-def _piece_bytes(model: bytes) -> list[bytes]:
-    """The bytes of each piece: a byte piece's byte, or its text with spaces for U+2581."""
-    processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    out = []
-    for k in range(processor.get_piece_size()):
-        piece = processor.id_to_piece(k)
-        if processor.is_byte(k):
-            out.append(bytes([int(piece[3:5], 16)]))
-        else:
-            out.append(b"" if processor.is_control(k) else piece.replace("▁", " ").encode())
-    return out
+        return _Pair(spec, bpe.unsure_characters(spec), model, (first, np.array([len(b) for b in bpe.piece_bytes(sentencepiece.SentencePieceProcessor(model_proto=model))], np.int64)))
 
 
 def encode(docs: DataFrame, pair: _Pair, id_col: str, text_col: str) -> DataFrame:
@@ -87,18 +74,11 @@ def encode(docs: DataFrame, pair: _Pair, id_col: str, text_col: str) -> DataFram
 
     def run(batches):
         files = shared.value
-        first = bpe.ByteLevelEncoder(files.spec, files.unsure)
-        second = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
-        texts = _piece_bytes(files.pieces)
+        first, second = bpe.ByteLevelEncoder(files.spec, files.unsure), bpe.PieceEncoder(files.pieces)
 
         def both(text: str) -> tuple[bytes, bytes]:
-            if not text:
-                return b"", b""
-            raw = b" " + text.encode()
-            b = second.encode(text)
-            if b"".join(map(texts.__getitem__, b)) != raw:
-                return b"", b""
-            return first(" " + text), np.array(b, "<u2").tobytes()
+            b = second(text) if text else None
+            return (b"", b"") if b is None else (first(" " + text), b)
 
         for batch in batches:
             for from_row in range(0, batch.num_rows, 1000):

@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import regex
+import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -25,6 +26,8 @@ _CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _MARKS = frozenset(".,;:!?")
 _ODD = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(f"[^{_BLANK}]+")
+#: What piece models have for a space.
+_BLOCK = "\u2581"
 #: Stands for the end of a word among the bytes of a pre-token.
 _END = b"\xff"
 #: Chunks or pre-tokens remembered (up to twice as many), and the longest that are; results don't
@@ -226,6 +229,45 @@ class _Regular:
 _REGULAR = _Regular()
 
 
+def piece_bytes(processor: sentencepiece.SentencePieceProcessor) -> list[bytes]:
+    """The bytes of each piece: a byte piece's byte, or its text with spaces for U+2581."""
+    out = []
+    for k in range(processor.get_piece_size()):
+        piece = processor.id_to_piece(k)
+        if processor.is_byte(k):
+            out.append(bytes([int(piece[3:5], 16)]))
+        else:
+            out.append(b"" if processor.is_control(k) else piece.replace(_BLOCK, " ").encode())
+    return out
+
+
+class PieceEncoder:
+    """Encodes texts under a model of pieces that puts a space before them; ids are little-endian
+    unsigned 16-bit integers. None where the tokens' bytes are not those of space + text.
+
+    Where no piece has a space after another character (looked up once), spaces and what follows
+    them encode by themselves; such chunks are remembered.
+    """
+
+    def __init__(self, model: bytes):
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        texts, blank = piece_bytes(library), np.array([library.piece_to_id(_BLOCK)], "<u2").tobytes()
+        cuts = all(_BLOCK not in library.id_to_piece(k).lstrip(_BLOCK) for k in range(library.get_piece_size()))
+        self.chunks = re.compile(" +[^ ]*" if cuts else "(?s:.+)").findall
+
+        def encode(chunk: str) -> bytes | None:
+            if chunk == " ":
+                return blank
+            ids = library.encode(chunk[1:])
+            return np.array(ids, "<u2").tobytes() if b"".join(map(texts.__getitem__, ids)) == chunk.encode() else None
+
+        self.known = _Memory({}, encode)
+
+    def __call__(self, text: str) -> bytes | None:
+        found = list(map(self.known.__getitem__, self.chunks(" " + text)))
+        return None if None in found else b"".join(found)
+
+
 class WordEncoder:
     """Encodes texts under a lower-casing tokenizer whose pieces end in a word-end mark.
 

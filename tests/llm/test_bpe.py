@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from tokenizers import Tokenizer
 
 from parcelgraph.llm import bpe
@@ -36,3 +37,15 @@ def test_bytes():
     for s in strings(40_000, 12):
         assert count(s) == len(library.encode(s, add_special_tokens=False).ids), repr(s)
         assert np.frombuffer(encode(s), "<u2").tolist() == plain.encode(s, add_special_tokens=False).ids, repr(s)
+
+
+def test_pieces():
+    model = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    library, encode = sentencepiece.SentencePieceProcessor(model_proto=model), bpe.PieceEncoder(model)
+    texts = bpe.piece_bytes(library)
+    draw = random.Random(13)
+    words = [" ", "  ", "    ", "the", "\n", "\n\n", "a\tb", "<s>", "</s>", "<unk>", "<0x41>", "\u2581", ". The", "x" * 30, "hello world", "1 2", "\u00a0"]
+    for s in [*strings(20_000, 14), *("".join(draw.choices(words, k=draw.randrange(1, 9))) for _ in range(20_000))]:
+        ids = library.encode(s)
+        want = np.array(ids, "<u2").tobytes() if b"".join(texts[k] for k in ids) == b" " + s.encode() else None
+        assert encode(s) == want, repr(s)
