@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelgraph.operators.components import connected_components
+from parcelgraph.operators.pair_counts import key_pairs, linked_pairs
 
 # The contact roles that stand for ownership, and those whose addresses link.
 OWNERSHIP_ROLES = ("HeadOfficer", "IndividualOwner", "CorporateOwner", "JointOwner", "Officer")
@@ -94,3 +95,34 @@ def recluster(contacts: DataFrame, excluded: Column) -> tuple[DataFrame, DataFra
     addresses = star(by_address).select("src", "dst", F.lit(2.0).alias("weight"), F.lit("address").alias("kind")).distinct()
     links = names.unionByName(addresses.join(names, ["src", "dst"], "left_anti"))
     return links, connected_components(links).withColumnRenamed("node", "bbl")
+
+
+def recluster_all(contacts: DataFrame, excluded: Column, common: int = 64) -> DataFrame:
+    """Every actor's buildings clustered again without its hub, one row a component: actor, component
+    (its smallest bbl), buildings, name_edges, address_edges, weight (mean), bridge and name.
+
+    contacts: actor, bbl, role, name, address, zip. Buildings of one actor are linked as
+    :func:`recluster` says: a pair that shares names weighs 1 and a half for each, another that shares
+    an address 2. Edges and weights are those of all pairs, but no pair is made of names or addresses
+    that more than ``common`` buildings share. Single buildings are left out; the name is the most
+    frequent one of an owner, then the first by alphabet.
+    """
+    role = F.col("role")
+    owners = contacts.where(role.isin(*OWNERSHIP_ROLES) & (F.trim("name") != "")).select("actor", "bbl", F.upper(F.trim("name")).alias("name"))
+    names = owners.select("actor", "bbl", F.concat(F.lit("n"), "name").alias("key")).distinct()
+    places = contacts.where(role.isin(*ADDRESS_ROLES) & (F.trim("address") != "") & ~F.coalesce(excluded, F.lit(False))).select("actor", "bbl", F.concat(F.lit("a"), F.concat_ws("|", F.upper(F.trim("address")), "zip")).alias("key")).distinct()
+    both = names.unionByName(places)
+    node = F.struct("actor", "bbl")
+    first = both.groupBy("actor", "key").agg(F.min("bbl").alias("low"))
+    star = both.join(first, ["actor", "key"]).where("bbl != low").select(F.struct("actor", F.col("low").alias("bbl")).alias("src"), node.alias("dst"))
+    component = connected_components(star).select(F.col("node.actor").alias("actor"), F.col("node.bbl").alias("bbl"), F.col("component.bbl").alias("component"))
+    grp = F.struct("actor", "component").alias("grp")
+    member = lambda rows: rows.join(component, ["actor", "bbl"]).select(grp, F.col("bbl").alias("item"), "key")
+    by_name, by_any = linked_pairs(member(names), common), linked_pairs(member(both), common).withColumnRenamed("pairs", "edges")
+    sums = by_any.join(by_name.withColumnRenamed("pairs", "name_edges"), "grp", "left").join(key_pairs(member(names)), "grp", "left").fillna(0, ["name_edges", "shared"])
+    sums = sums.withColumn("address_edges", F.col("edges") - F.col("name_edges"))
+    weight = (F.col("name_edges") + 0.5 * F.col("shared") + 2 * F.col("address_edges")) / F.col("edges")
+    size = component.groupBy(grp).agg(F.count("*").alias("buildings"))
+    named = owners.join(component, ["actor", "bbl"]).groupBy(grp, "name").agg(F.count("*").alias("n")).groupBy("grp").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("name"))
+    out = sums.join(size, "grp").join(named, "grp", "left")
+    return out.select("grp.actor", "grp.component", "buildings", "name_edges", "address_edges", weight.alias("weight"), (F.col("edges") / F.col("buildings") < 1.5).alias("bridge"), F.coalesce("name", F.lit("Unknown")).alias("name"))

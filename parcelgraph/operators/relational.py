@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from parcelgraph.functions.text import trigram_similarity
@@ -25,6 +25,18 @@ def missing_keys(events: DataFrame, buildings: DataFrame, key: str = "bbl") -> D
     return events.select(key).join(buildings.select(key), key, "left_anti").distinct()
 
 
+def counted_known(events: DataFrame, buildings: DataFrame, counts: Observation, skip: Column, key: str = "bbl") -> DataFrame:
+    """Events of buildings that exist and for which ``skip`` is not true; what is written of them is
+    observed on the way: processed, missing (no building), skipped and written.
+
+    buildings has each key once. The observation is there when the write is done.
+    """
+    marked = events.join(buildings.select(key, F.lit(True).alias("_known")), key, "left")
+    known, skipped = F.col("_known").isNotNull(), F.coalesce(skip, F.lit(False))
+    seen = marked.observe(counts, F.count(F.lit(1)).alias("processed"), F.count_if(~known).alias("missing"), F.count_if(known & skipped).alias("skipped"), F.count_if(known & ~skipped).alias("written"))
+    return seen.where(known & ~skipped).drop("_known")
+
+
 def resolve_references(references: DataFrame, documents: DataFrame) -> DataFrame:
     """(document, target): by document id, else the smallest document with the file number.
 

@@ -1,7 +1,7 @@
 """Rule evaluations over the whole population: one row a subject, verdict columns beside the facts.
 
-A single subject is a filter on the result; the optimizer pushes it to the scans. Every branch is
-aggregated by its key before it is joined, so no join multiplies rows.
+A single subject is a filter on the result; it reaches the scans where the tables hold the key itself.
+Every branch is aggregated by its key before it is joined, so no join multiplies rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelgraph.functions.text import looks_corporate, name_tokens
+from parcelgraph.operators import ranks
 
 
 def _as_of(as_of: str) -> Column:
@@ -221,8 +222,7 @@ def management_quartiles(control: DataFrame, violations: DataFrame, buildings: D
     opened = open_class_c(violations).groupBy("bbl").agg(F.count("*").alias("open_c"))
     held = control.distinct().join(buildings.select("bbl", "units"), "bbl").join(opened, "bbl", "left")
     by = held.groupBy("actor_id").agg(F.count("*").alias("size"), F.sum("units").alias("units"), F.coalesce(F.sum("open_c"), F.lit(0)).alias("open_c")).where(F.col("size") >= least)
-    # portfolios, not events: few rows, as the aggregate above them shows
-    return by.withColumn("quartile", F.ntile(4).over(Window.orderBy(F.col("open_c") / F.col("units"), "actor_id")))
+    return ranks.ntile(by, [F.col("open_c") / F.col("units"), F.col("actor_id")], 4, "quartile")
 
 
 def resolve_actor(actors: DataFrame, part: str, most: int = 5) -> DataFrame:

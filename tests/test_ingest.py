@@ -128,4 +128,4 @@ def test_registry_is_complete():
     from parcelgraph.plans import registry
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"louvain_split", "uuid5_ids"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"louvain_split", "portfolio_claims", "uuid5_ids"}
