@@ -60,7 +60,7 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 _WORD = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings that are features beside whole words.
 _SHORT, _LONG = 3, 7
-#: Counts, or features of words, that a task holds before it starts anew.
+#: Counts that a task holds before it starts anew.
 _HELD = 500_000
 
 
@@ -106,25 +106,25 @@ def counterfactuals(words: Counter[str], groups: Sequence[Sequence[str]]) -> lis
 
 
 class _Numbered:
-    """Finds the numbers of a text's features among those known; remembers the keys of words."""
+    """Finds the numbers of a text's features among those known."""
 
     def __init__(self, features: Iterable[str]):
         self.levels: dict[str, list[tuple[int, int]]] = {}
         for number, f in enumerate(features):
             key, sign, rest = f.partition(" ")
             self.levels.setdefault(key, []).append((number, [n for n, _ in LEVELS].index(sign + rest)))
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.stems = {key[:-1]: key for key in self.levels if key[-1] == "*"}
+        self.roots = {stem[:_SHORT] for stem in self.stems}
+        self.lengths = sorted({len(stem) for stem in self.stems})
 
     def __call__(self, words: Counter[str]) -> list[int]:
-        counts: dict[str, int] = {}
+        counts = {w: words[w] for w in words.keys() & self.levels.keys()}
         for w, n in words.items():
-            keys = self.known.get(w)
-            if keys is None:
-                if len(self.known) >= _HELD:
-                    self.known.clear()
-                keys = self.known[w] = tuple(key for key in word_keys(w) if key in self.levels)
-            for key in keys:
-                counts[key] = counts.get(key, 0) + n
+            if w[:_SHORT] in self.roots:
+                for k in self.lengths:
+                    key = self.stems.get(w[:k]) if k <= len(w) else None
+                    if key is not None:
+                        counts[key] = counts.get(key, 0) + n
         total = words.total()
         return sorted(number for key, n in counts.items() for number, level in self.levels[key] if LEVELS[level][1](n, total))
 
@@ -246,7 +246,7 @@ def telling_features(counts: DataFrame, n0: int, n1: int, least_gain: float, mos
     return sorted(r.feature for r in told.collect())
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, *, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, fairness: float = 10.0, ridge: float = 3e-4, fit_rows: int = 50_000, least_gain: float = 12.0, most_features: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Linear | None:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, *, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, fairness: float = 10.0, ridge: float = 3e-4, fit_rows: int = 20_000, least_gain: float = 12.0, most_features: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Linear | None:
     """The classifier of the rows of ``docs`` that ``labels`` marks 0 or 1 and ``train`` allows.
 
     About ``fit_rows`` labels are learnt from at most: beyond that, those whose id's hash is below
