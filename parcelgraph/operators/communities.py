@@ -63,7 +63,7 @@ def _moving_round(edges: DataFrame, state: DataFrame, k: int) -> DataFrame:
     return out.select("part", "a", "k", "m2", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("moved"), F.coalesce("could", F.lit(False)).alias("could"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, max_levels: int = 10, max_rounds: int = 20, tolerance: float = 0.02) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 2, max_levels: int = 10, max_rounds: int = 20, tolerance: float = 0.0) -> DataFrame:
     """(part, node, community) of each part's own graph; communities are named by their smallest node.
 
     nodes: part, node, no node twice; edges: part, src, dst, weight (positive), undirected, each
@@ -162,7 +162,7 @@ def split_components(nodes: DataFrame, edges: DataFrame, most: int = 300, max_de
         if depth == max_depth:
             found = of.select("part", F.col("nodeid").alias("node"), F.col("part").alias("community"))
         else:
-            found = louvain(of.withColumnRenamed("nodeid", "node"), inner, passes=1, tolerance=0.05)
+            found = louvain(of.withColumnRenamed("nodeid", "node"), inner)
         gain = modularity_by_part(inner, found)
         split = rest.join(found.select(F.col("node").alias("nodeid"), "community"), "nodeid")
         inside = split.groupBy("part", "community").agg(F.sum("size").alias("inside"))

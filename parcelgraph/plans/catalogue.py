@@ -5,26 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rule ids, names and the status of what they claim.
-RULES = [
-    ("RUL-00001", "PHC-001"),
-    ("RUL-00002", "PBC-001"),
-    ("RUL-00003", "RMT-001"),
-    ("RUL-00004", "RMT-002"),
-    ("RUL-00005", "RMT-003"),
-    ("RUL-00006", "RMT-004"),
-    ("RUL-00007", "DT-001"),
-    ("RUL-00008", "NE-001"),
-    ("RUL-00009", "MA-001"),
-    ("RUL-00010", "RS-001"),
-    ("RUL-00011", "FE-001"),
-    ("RUL-00012", "EA-001"),
-    ("RUL-00013", "RCV-001"),
-    ("RUL-00014", "OC-001"),
-    ("RUL-00015", "VA-001"),
-    ("RUL-00016", "OND-001"),
-    ("RUL-00017", "MBC-001"),
-]
+from parcelgraph.plans import verdicts
+
+#: Ids and names of the rules.
+RULES = [(r.rule_id, r.name) for r in verdicts.RULES]
 
 # Intent ids, names and applicable rules; then this engine's query and its subject.
 INTENTS = [
@@ -33,7 +17,7 @@ INTENTS = [
     ("INT-00003", "PortfolioCondition", "RUL-00001", "portfolio_condition", "actor_id"),
     ("INT-00004", "Recidivism", "RUL-00013", "recidivism", "actor_id"),
     ("INT-00005", "WorstFirst", "", "worst_first", None),
-    ("INT-00006", "ConcealmentDetection", "RUL-00003|RUL-00004", "concealment", "actor_id"),
+    ("INT-00006", "ConcealmentDetection", "RUL-00003|RUL-00004", "concealment", "community"),
     ("INT-00007", "GeographicConcentration", "", "phc_by_borough", "borough"),
     ("INT-00008", "OwnershipChange", "RUL-00014", "ownership_change", "bbl"),
     ("INT-00009", "BuildingDueDiligence", "", "due_diligence", "bbl"),
@@ -43,12 +27,13 @@ INTENTS = [
     ("INT-00013", "NetworkExposure", "RUL-00008", "network_exposure", "root"),
     ("INT-00014", "VacateHistory", "RUL-00015", "vacate_history", "bbl"),
     ("INT-00015", "OwnershipNameDiscrepancy", "RUL-00016", "name_discrepancy", "id"),
-    ("INT-00016", "MortgageBasedConcealment", "RUL-00017", "mortgage_concealment", "bbl"),
+    ("INT-00016", "MortgageBasedConcealment", "RUL-00017", "mortgage_verdict", "bbl"),
 ]
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, False) for i, n in RULES], "rule_id string, name string, deprecated boolean")
+    """The rules with their thresholds, conditions and texts: see :mod:`verdicts`."""
+    return verdicts.rule_table(spark)
 
 
 def intents(spark: SparkSession) -> DataFrame:
@@ -62,7 +47,7 @@ def investigate(spark: SparkSession, sf_dir: str, intent: str, subject=None) ->
 
     The subject is a filter on the population's plan. ``General`` and unknown intents have no query.
     """
-    from parcelgraph.plans import registry
+    from parcelgraph.plans import graph_registry, portfolio_registry, registry, source_registry, verdict_registry  # noqa: F401  (they register queries)
 
     found = next((i for i in INTENTS if i[1] == intent), None)
     if found is None:

@@ -51,3 +51,13 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: keys on each side and on both."""
     a, b = left.select(key).distinct().withColumn("a", F.lit(1)), right.select(key).distinct().withColumn("b", F.lit(1))
     return a.join(b, key, "full_outer").agg(F.count("a").alias("left"), F.count("b").alias("right"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
+
+
+def without_run(networks: DataFrame, column: str = "run_id") -> DataFrame:
+    """Networks that don't say which run found them."""
+    return networks.where(F.col(column).isNull())
+
+
+def ids_like(rows: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose id has a form that is no longer used."""
+    return rows.where(F.col(column).rlike(pattern))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from parcelgraph.functions import keys, text
+from parcelgraph.functions import text
 from parcelgraph.operators import ontology, portfolio, provenance
 from parcelgraph.operators.components import connected_components
-from parcelgraph.plans import checks, rules
+from parcelgraph.plans import registry, rules
 from parcelgraph.plans.registry import _hazards, query
 from parcelgraph.sources import adapters as src
 from parcelgraph.sources import ingest
 from parcelgraph.sources.shaped import shaped, sql
+from parcelgraph.sources.shared import shared_dir, write
 
 _RULE = "RUL-PHC-001"
 _EVENT = "regexp_replace({0}, '^EVT-HPD-', '')"
@@ -56,18 +59,22 @@ def superseded_control(s, d):
     return ontology.close_missing(old, new, "relationship_id", "effective_to", src.AS_OF).select("actor_id", "bbl", "effective_to")
 
 
-_HALVES = """, a AS (SELECT DISTINCT s_nationkey AS id, o_custkey AS bbl FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_linenumber = 1),
-b AS (SELECT DISTINCT l_suppkey AS id, o_custkey AS bbl FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_linenumber = 1)"""
+def _leader(cut: str) -> str:
+    return f"(SELECT l_suppkey AS id, o_custkey AS bbl FROM (SELECT o_custkey, l_suppkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate {cut} TIMESTAMP '1998-01-01' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, l_suppkey) = 1)"
 
 
-@query("actor_lineage", _HALVES + """, m AS (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM a JOIN b USING (bbl)), n AS (SELECT *, count(*) OVER (PARTITION BY from_id) AS targets, count(*) OVER (PARTITION BY to_id) AS sources FROM m)
-SELECT from_id, to_id, CASE WHEN targets > 1 THEN 'SPLIT_INTO' ELSE 'MERGED_INTO' END AS kind FROM n WHERE (targets > 1 OR sources > 1) AND from_id <> to_id""")
+@query("actor_lineage", f"""WITH a AS {_leader('<')}, b AS {_leader('>=')}, m AS (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM a JOIN b USING (bbl)), n AS (SELECT *, count(*) OVER (PARTITION BY from_id) AS targets, count(*) OVER (PARTITION BY to_id) AS sources FROM m)
+SELECT from_id, to_id, CASE WHEN targets > 1 THEN 'SPLIT_INTO' ELSE 'MERGED_INTO' END AS kind, '1998-01-01' AS at FROM n WHERE (targets > 1 OR sources > 1) AND from_id <> to_id""")
 def actor_lineage(s, d):
-    lines = src.table(s, d, "lineitem").where("l_linenumber = 1").join(src.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("bbl")), "l_orderkey")
-    cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    nations = src.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("id"))
-    old = lines.where(F.col("l_shipdate") < cut).join(nations, "l_suppkey").select("id", "bbl").distinct()
-    return ontology.lineage(old, lines.where(F.col("l_shipdate") >= cut).select(F.col("l_suppkey").alias("id"), "bbl").distinct())
+    """Where the buildings of the actors before 1998 went: who held most of each then and later."""
+    lines = src.table(s, d, "lineitem").join(src.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("bbl")), "l_orderkey")
+    early = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    counted = lines.groupBy("bbl", F.col("l_suppkey").alias("id")).agg(F.count_if(early).alias("before"), F.count_if(~early).alias("after"))
+
+    def leader(n: str):
+        return counted.where(F.col(n) > 0).groupBy("bbl").agg(F.max_by("id", F.struct(n, -F.col("id"))).alias("id"))
+
+    return ontology.lineage(leader("before"), leader("after")).withColumn("at", F.lit("1998-01-01"))
 
 
 @query("identity_assertions", """, o AS (SELECT o_custkey AS actor_id, max(o_orderpriority) AS was FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1), n AS (SELECT o_custkey AS actor_id, max(o_orderpriority) AS now FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1), j AS (SELECT * FROM o FULL JOIN n USING (actor_id))
@@ -101,21 +108,22 @@ ae AS (SELECT a.p_partkey AS src, b.p_partkey AS dst, 2.25 AS weight FROM part a
 _BOTH = "SELECT src, dst, weight FROM {0} UNION ALL SELECT dst, src, weight FROM {0}"
 
 
-def _links(s, d):
-    p = src.table(s, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
-    found = []
-    for columns, weight in ((["p_name", "p_size"], 1.5), (["p_type", "p_brand", "p_size"], 2.25)):
-        other = p.select(F.col("p_partkey").alias("dst"), *columns)
-        found.append(p.select(F.col("p_partkey").alias("src"), *columns).join(other, columns).where("src < dst").select("src", "dst", F.lit(weight).alias("weight")))
-    return found
+def _classes(s, d):
+    """Nodes with the class (smallest member) and size of those they are linked with by name and by
+    address: a class stands for all its pairs."""
+    nodes = src.table(s, d, "part").select(F.col("p_partkey").alias("nodeid"), "p_name", "p_type", "p_brand", "p_size")
+    for kind, columns in (("name", ["p_name", "p_size"]), ("address", ["p_type", "p_brand", "p_size"])):
+        sizes = nodes.groupBy(*columns).agg(F.min("nodeid").alias(f"{kind}_class"), F.count("*").alias(f"{kind}_n"))
+        nodes = nodes.join(sizes, columns)
+    return nodes
 
 
-@query("landlords_with_connections", _LINKS + f""", n AS (SELECT src AS nodeid, string_agg(dst, ',' ORDER BY dst) AS names FROM ({_BOTH.format("ne")}) GROUP BY src), a AS (SELECT src AS nodeid, string_agg(dst, ',' ORDER BY dst) AS addresses FROM ({_BOTH.format("ae")}) GROUP BY src)
-SELECT p_partkey AS nodeid, coalesce(names, '') AS names, coalesce(addresses, '') AS addresses FROM part LEFT JOIN n ON n.nodeid = p_partkey LEFT JOIN a ON a.nodeid = p_partkey""")
+@query("landlords_with_connections", _LINKS + f""", n AS (SELECT src AS nodeid, min(dst) AS low, count(*) AS k FROM ({_BOTH.format("ne")}) GROUP BY src), a AS (SELECT src AS nodeid, min(dst) AS low, count(*) AS k FROM ({_BOTH.format("ae")}) GROUP BY src)
+SELECT p_partkey AS nodeid, least(p_partkey, coalesce(n.low, p_partkey)) AS name_class, coalesce(n.k, 0) AS n_names, least(p_partkey, coalesce(a.low, p_partkey)) AS address_class, coalesce(a.k, 0) AS n_addresses FROM part LEFT JOIN n ON n.nodeid = p_partkey LEFT JOIN a ON a.nodeid = p_partkey""")
 def landlords_with_connections(s, d):
-    rows = portfolio.with_connections(src.table(s, d, "part").select(F.col("p_partkey").alias("nodeid")), *_links(s, d))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x["nodeid"].cast("string")), ",")
-    return rows.select("nodeid", joined("name_match_info").alias("names"), joined("bizaddr_match_info").alias("addresses"))
+    """Each node with the classes it is linked in and how many others they have, instead of lists of
+    all of them."""
+    return _classes(s, d).select("nodeid", "name_class", (F.col("name_n") - 1).alias("n_names"), "address_class", (F.col("address_n") - 1).alias("n_addresses"))
 
 
 @query("portfolio_roll_up", f"""WITH RECURSIVE {src.SQL}{_LINKS}, e AS (SELECT src, dst FROM ({_BOTH.format("ne")}) UNION SELECT src, dst FROM ({_BOTH.format("ae")})),
@@ -126,16 +134,39 @@ nm AS (SELECT community, p_name AS name FROM m JOIN part ON p_partkey = nodeid G
 SELECT community, nodes, name_edges, address_edges, floor(weight * 1000)::BIGINT AS weight_mille, anchor, name, n_bbls, name_edges + address_edges AS edges, (name_edges + address_edges) / nodes < 1.5 AS bridge,
  CASE WHEN name_edges + address_edges > 10 AND weight > 2.5 AND (name_edges + address_edges) / nodes >= 1.5 THEN 'High' WHEN name_edges + address_edges < 3 OR weight < 1.5 THEN 'Low' ELSE 'Medium' END AS confidence FROM r JOIN nm USING (community) JOIN b USING (community) WHERE nodes > 1 OR name_edges + address_edges > 0""")
 def portfolio_roll_up(s, d):
-    names, addresses = _links(s, d)
-    parts = src.table(s, d, "part").select(F.col("p_partkey").alias("nodeid"), F.col("p_name").alias("name"))
-    found = connected_components(names.unionByName(addresses)).withColumnRenamed("node", "nodeid")
-    members = parts.join(found, "nodeid", "left").select("nodeid", F.coalesce("component", "nodeid").alias("community"), "name")
+    nodes = write(_classes(s, d), f"{shared_dir(s)}/classes-{uuid.uuid4().hex}")
+    star = nodes.select(F.col("name_class").alias("src"), F.col("nodeid").alias("dst")).unionByName(nodes.select(F.col("address_class").alias("src"), F.col("nodeid").alias("dst")))
+    found = connected_components(star).withColumnRenamed("node", "nodeid")
+    members = nodes.join(found, "nodeid").select("nodeid", F.col("component").alias("community"), F.col("p_name").alias("name"))
     held = src.table(s, d, "lineitem").select(F.col("l_partkey").alias("nodeid"), F.col("l_suppkey").alias("bbl")).distinct()
-    out = portfolio.roll_up(members, held, portfolio.node_averages(names, addresses))
+    mean = F.when(F.col("name_n") > 1, F.lit(1.5)).when(F.col("address_n") > 1, F.lit(2.25))
+    averages = nodes.select("nodeid", (F.col("name_n") - 1).alias("n_name"), (F.col("address_n") - 1).alias("n_address"), mean.alias("mean"))
+    out = portfolio.roll_up(members, held, averages)
     sure = rules.confidence(F.col("edges"), F.col("weight"), F.col("bridge"), F.lit(None).cast("string"))
     return out.withColumn("confidence", sure).withColumn("weight_mille", F.floor(F.col("weight") * 1000)).drop("weight")
 
 
+_ROLLED = registry.ORACLES["portfolio_roll_up"]
+
+
+@query("network_confidence", f"""WITH RECURSIVE rolled AS ({_ROLLED}) SELECT community, n_bbls, name_edges, address_edges, confidence, confidence <> 'Low' AND n_bbls >= 2 AND (address_edges >= 1 OR name_edges >= 2) AS claimed FROM rolled""")
+def network_confidence(s, d):
+    """How sure each network is, and whether it is claimed to control its buildings."""
+    rows = portfolio_roll_up(s, d)
+    claimed = rules.meets_claim_threshold(F.col("n_bbls"), F.col("address_edges"), F.col("name_edges"), F.col("confidence"))
+    return rows.select("community", "n_bbls", "name_edges", "address_edges", "confidence", claimed.alias("claimed"))
+
+
+@query("concealment", f"""WITH RECURSIVE rolled AS ({_ROLLED}) SELECT community, 'linked by ' || address_edges || ' address-based and ' || name_edges || ' name-based connections' AS summary, CASE WHEN name_edges = 0 THEN address_edges >= 2 ELSE address_edges > 10 * name_edges END AS flagged FROM rolled""")
+def concealment(s, d):
+    """Networks that addresses tie far more than names, read back from the text of their evidence."""
+    rows = portfolio_roll_up(s, d)
+    summary = F.format_string("linked by %d address-based and %d name-based connections", "address_edges", "name_edges")
+    rows = rows.select("community", summary.alias("summary"))
+    addresses, names = text.edge_counts(F.col("summary"))
+    return rows.withColumn("flagged", rules.concealment_flag(addresses, names))
+
+
 @query("apparent_control", """SELECT DISTINCT s_nationkey AS community, lpad(o_custkey::VARCHAR, 10, '0') AS bbl FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE lpad(o_custkey::VARCHAR, 10, '0') IN (SELECT bbl FROM building WHERE borough <> 'ASIA')""")
 def apparent_control(s, d):
     members = src.table(s, d, "supplier").select(F.col("s_suppkey").alias("nodeid"), F.col("s_nationkey").alias("community"))
@@ -205,34 +236,3 @@ def index_probes(s, d):
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("probe"), "n")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-@query("consistency_checks", f"""{sql("hpd_violations", "hpd_litigations", "master", "parties", "hpd_complaints")}
-SELECT 'malformed_keys' AS name, count(*) AS n FROM hpd_litigations WHERE length(bbl) <> 10 UNION ALL
-SELECT 'repeated_ids', count(*) FROM (SELECT violationid FROM hpd_violations GROUP BY violationid HAVING count(*) > 1) UNION ALL
-SELECT 'statuses_unknown', count(DISTINCT violationstatus) FROM hpd_violations WHERE violationstatus NOT IN ('Open', 'Close') UNION ALL
-SELECT 'documents_without_parties', count(*) FROM (SELECT DISTINCT documentid FROM master) WHERE documentid NOT IN (SELECT documentid FROM parties WHERE trim(name) <> '') UNION ALL
-SELECT 'documents_with_one_party', count(*) FROM (SELECT documentid FROM master LEFT JOIN (SELECT documentid, name FROM parties WHERE trim(name) <> '') USING (documentid) GROUP BY documentid HAVING count(DISTINCT name) < 2) UNION ALL
-SELECT 'interpreted_without_rule', count(*) FROM hpd_litigations WHERE findingofharassment IS NULL UNION ALL
-SELECT 'active_claims_of_old_rules', count(*) FROM hpd_complaints WHERE borough = 'BROOKLYN' UNION ALL
-SELECT 'keys_on_both_sides', count(*) FROM (SELECT trim(bbl) FROM hpd_litigations INTERSECT SELECT trim(bbl) FROM hpd_complaints)""")
-def consistency_checks(s, d):
-    table = lambda name: shaped(s, d, name)
-    documents, parties = table("master").select("documentid").distinct(), table("parties").where(F.trim("name") != "")
-    suits = table("hpd_litigations").select("bbl", F.when(F.col("findingofharassment").isNull(), "Inferred").otherwise("Stipulated").alias("status"), F.lit(None).cast("string").alias("rule_id"))
-    claims = table("hpd_complaints").select(F.col("borough").alias("rule_id"), F.lit(None).cast("string").alias("superseded_by"))
-    old = s.createDataFrame([("BROOKLYN", True), ("odd", False)], "rule_id string, deprecated boolean")
-    keyed = lambda name: table(name).select(F.trim("bbl").alias("bbl"))
-    found = {
-        "malformed_keys": checks.malformed_keys(suits),
-        "repeated_ids": checks.repeated_keys(table("hpd_violations"), "violationid"),
-        "statuses_unknown": checks.outside_vocabulary(table("hpd_violations"), "violationstatus", ["Open", "Close"]),
-        "documents_without_parties": checks.without_partner(documents, parties, "documentid", "documentid"),
-        "documents_with_one_party": checks.too_few(documents, parties.withColumnRenamed("name", "partner"), "documentid", 2),
-        "interpreted_without_rule": checks.missing_rule(suits),
-        "active_claims_of_old_rules": checks.of_deprecated_rules(claims, old),
-    }
-    out = checks.coverage(keyed("hpd_litigations"), keyed("hpd_complaints"), "bbl").select(F.lit("keys_on_both_sides").alias("name"), F.col("both").alias("n"))
-    for name, rows in found.items():
-        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
-    return out

@@ -100,13 +100,21 @@ def mortgage_concealment(s, d):
 _TOKENS = "list_sort(list_distinct([t for t in regexp_split_to_array(regexp_replace(upper(replace({0}, 'ß', 'SS')), '[^A-Z\\s]', ' ', 'g'), '\\s+') if length(t) > 1]))"
 
 
-@query("name_discrepancy", f""", p AS (SELECT i.item_id AS id, i.text AS dof_name, d.text AS controller FROM benchmark i JOIN documents d ON d.doc_id = i.item_id),
+@query("name_discrepancy", f""", o AS (SELECT o_custkey, p_name FROM line JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_extendedprice DESC, p_name DESC) = 1),
+p AS (SELECT lpad(c_custkey::VARCHAR, 10, '0') AS id, CASE c_mktsegment WHEN 'BUILDING' THEN o.p_name || ' Realty LLC' WHEN 'MACHINERY' THEN ' ' ELSE o.p_name END AS dof_name, c.p_name AS controller FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN control ON bbl = lpad(c_custkey::VARCHAR, 10, '0') LEFT JOIN part c ON c.p_partkey = actor_id),
 t AS (SELECT *, {_TOKENS.format("dof_name")} AS a, {_TOKENS.format("controller")} AS b, CASE WHEN trim(coalesce(dof_name, '')) = '' THEN 'no owner name' WHEN trim(coalesce(controller, '')) = '' THEN 'no controller'
   WHEN regexp_matches(dof_name, '(LLC|L\\.L\\.C\\.|INC|CORP|CO\\.|COMPANY|LP|L\\.P\\.|LTD|TRUST|ASSOC|REALTY|PROPERTIES|MGMT|MANAGEMENT|HOLDINGS)', 'i') THEN 'corporate' END AS insufficient FROM p)
-SELECT id, len(list_intersect(a, b)) AS overlap, insufficient, CASE WHEN insufficient IS NULL THEN len(list_intersect(a, b)) = 0 END AS discrepancy FROM t""")
+SELECT id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN len(list_intersect(a, b)) END AS overlap, insufficient, CASE WHEN insufficient IS NULL THEN len(list_intersect(a, b)) = 0 END AS discrepancy FROM t""")
 def name_discrepancy(s, d):
-    items, docs = src.table(s, d, "benchmark"), src.table(s, d, "documents").select("doc_id", F.col("text").alias("controller"))
-    return rules.name_discrepancy(items.join(docs, items["item_id"] == docs["doc_id"]).select(F.col("item_id").alias("id"), F.col("text").alias("dof_name"), "controller"))
+    """Every building's tax owner against the name of its controller."""
+    lines, orders = src.latest_lines(s, d), src.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    part = src.table(s, d, "part").select("p_partkey", "p_name")
+    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(part, lines["l_partkey"] == part["p_partkey"])
+    owner = bought.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("p_name", F.struct("l_extendedprice", "p_name")).alias("owner"))
+    held = src.control(s, d).join(part, F.col("actor_id") == F.col("p_partkey")).select(F.col("bbl").alias("id"), F.col("p_name").alias("controller"))
+    named = F.when(F.col("c_mktsegment") == "BUILDING", F.concat("owner", F.lit(" Realty LLC"))).when(F.col("c_mktsegment") == "MACHINERY", " ").otherwise(F.col("owner"))
+    rows = src.table(s, d, "customer").join(owner, "c_custkey", "left").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("id"), named.alias("dof_name"))
+    return rules.name_discrepancy(rows.join(held, "id", "left"))
 
 
 _YEARLY = """, u AS (SELECT lpad(o_custkey::VARCHAR, 10, '0') AS bbl, count(*) FILTER (year(o_orderdate) = 1998) AS f, count(*) FILTER (year(o_orderdate) = 2000) AS l FROM orders GROUP BY 1),
@@ -168,15 +176,6 @@ def management_quartiles(s, d):
     return rules.management_quartiles(src.control(s, d), src.violations(s, d), src.buildings(s, d))
 
 
-@query("concealment", """, e AS (SELECT s_suppkey AS actor_id, 'linked by ' || (s_suppkey % 13) || ' address-based and ' || (s_suppkey % 3) || ' name-based connections' AS summary FROM supplier)
-SELECT actor_id, actor_id % 13 AS address_edges, actor_id % 3 AS name_edges, CASE WHEN actor_id % 3 = 0 THEN actor_id % 13 >= 2 ELSE actor_id % 13 > 10 * (actor_id % 3) END AS flagged FROM e""")
-def concealment(s, d):
-    k = F.col("s_suppkey")
-    summary = F.concat(F.lit("linked by "), (k % 13).cast("string"), F.lit(" address-based and "), (k % 3).cast("string"), F.lit(" name-based connections"))
-    a, n = text.edge_counts(F.col("summary"))
-    return src.table(s, d, "supplier").select(k.alias("actor_id"), summary.alias("summary")).select("actor_id", a.alias("address_edges"), n.alias("name_edges")).withColumn("flagged", rules.concealment_flag(F.col("address_edges"), F.col("name_edges")))
-
-
 @query("building_first_semi", "SELECT event_id, bbl FROM violation WHERE bbl IN (SELECT bbl FROM building WHERE borough = 'ASIA')")
 def building_first_semi(s, d):
     return relational.known_only(src.violations(s, d).select("event_id", "bbl"), src.buildings(s, d).where("borough = 'ASIA'"))
@@ -267,16 +266,6 @@ def wcc_components(s, d):
     return src.landlords(s, d).select("nodeid").join(found.withColumnRenamed("node", "nodeid"), "nodeid", "left").select("nodeid", F.coalesce("component", "nodeid").alias("component"))
 
 
-@query("network_confidence", """, c AS (SELECT actor_id, count(*) AS n_bbls FROM control GROUP BY actor_id), e AS (SELECT *, n_bbls % 14 AS edges, (n_bbls % 5)::DOUBLE AS weight, n_bbls % 3 AS name_edges, n_bbls % 4 = 0 AS bridge FROM c),
-f AS (SELECT *, CASE WHEN n_bbls % 7 = 0 THEN 'Low' WHEN edges > 10 AND weight > 2.5 AND NOT bridge THEN 'High' WHEN edges < 3 OR weight < 1.5 THEN 'Low' ELSE 'Medium' END AS confidence FROM e)
-SELECT actor_id, n_bbls, confidence, confidence <> 'Low' AND n_bbls >= 2 AND (edges >= 1 OR name_edges >= 2) AS claimed FROM f""")
-def network_confidence(s, d):
-    n = F.col("n_bbls")
-    rows = src.control(s, d).groupBy("actor_id").agg(F.count("*").alias("n_bbls"))
-    rows = rows.withColumn("confidence", rules.confidence(n % 14, (n % 5).cast("double"), n % 4 == 0, F.when(n % 7 == 0, "no_meaningful_split")))
-    return rows.withColumn("claimed", rules.meets_claim_threshold(n, n % 14, n % 3, F.col("confidence")))
-
-
 @query("jaccard_best_match", """, a AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS bbl FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS bbl FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
 s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM a JOIN b USING (bbl) GROUP BY ALL), na AS (SELECT id, count(*) AS n FROM a GROUP BY id), nb AS (SELECT id, count(*) AS n FROM b GROUP BY id)
 SELECT s.id, other, shared FROM s JOIN na ON na.id = s.id JOIN nb ON nb.id = other WHERE shared / (na.n + nb.n - shared) >= 0.05 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY shared / (na.n + nb.n - shared) DESC, other) = 1""")
@@ -294,11 +283,6 @@ def claim_scd2_diff(s, d):
     return relational.version_diff(counted(rows.where("open_date < date '1999-01-01'")), counted(rows.where("open_date >= date '1997-01-01'")), "bbl", "open_c")
 
 
-@query("supersede_disqualified", "SELECT bbl FROM building WHERE units > 25 AND bbl NOT IN (SELECT bbl FROM phc)")
-def supersede_disqualified(s, d):
-    return src.buildings(s, d).where("units > 25").select("bbl").join(_hazards(s, d).select("bbl"), "bbl", "left_anti")
-
-
 @query("upsert_set_once", """, o AS (SELECT o_custkey AS k, nullif(max(o_orderpriority), '5-LOW') AS address, count(*) AS score FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, min(o_orderpriority) AS address, count(*) AS score FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
 SELECT k, coalesce(o.address, n.address) AS address, coalesce(n.score, o.score) AS score FROM o FULL JOIN n USING (k)""")
 def upsert_set_once(s, d):
@@ -308,12 +292,6 @@ def upsert_set_once(s, d):
     return relational.set_once_upsert(old, new, "k", ["address"], ["score"])
 
 
-@query("json_explode", "SELECT event_type, (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
-def json_explode(s, d):
-    parsed = F.from_json("props", "k long")["k"]
-    return src.table(s, d, "events").groupBy("event_type", parsed.alias("k")).agg(F.count("*").alias("n"))
-
-
 @query("agents_dedup", """, t AS (SELECT upper(trim(p_name)) AS key, p_name AS name, count(*) AS n FROM part GROUP BY ALL)
 SELECT key, name FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(name) DESC, name) = 1""")
 def agents_dedup(s, d):

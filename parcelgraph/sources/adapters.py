@@ -27,9 +27,13 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line of each (order, number): the last shipped, ties by the other columns."""
+    return _last_lines(table(spark, sf_dir, "lineitem"))
+
+
+def _last_lines(lines: DataFrame) -> DataFrame:
     rest = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity", "l_returnflag", "l_linestatus"]
     last = F.max(F.struct(*rest)).alias("last")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(last).select("l_orderkey", "l_linenumber", "last.*")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(last).select("l_orderkey", "l_linenumber", "last.*")
 
 
 def _class() -> F.Column:
@@ -38,7 +42,10 @@ def _class() -> F.Column:
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, bbl, open_date, status_date, violation_class, status."""
-    lines, orders = latest_lines(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return _violations(latest_lines(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+
+
+def _violations(lines: DataFrame, orders: DataFrame) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         F.concat_ws("-", F.lit("EVT-HPD"), "l_orderkey", "l_linenumber").alias("event_id"),
         F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("bbl"),
@@ -49,6 +56,26 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_number(bbl: str) -> int | None:
+    """The number that a key is computed from; None for texts that are no key."""
+    return int(bbl) if len(bbl) == 10 and bbl.isdigit() else None
+
+
+def violations_of(spark: SparkSession, sf_dir: str, bbl: str, listed: int = 10_000) -> DataFrame:
+    """:func:`violations` of one building, asked by the columns that its key is computed from.
+
+    The building's orders are found by their customer and its lines by those orders, as conditions on
+    columns that the files hold, so files sorted by them skip what can't match. A building of more
+    than ``listed`` orders is joined instead.
+    """
+    number = key_number(bbl)
+    orders = table(spark, sf_dir, "orders").where(F.lit(False) if number is None else F.col("o_custkey") == number).select("o_orderkey", "o_custkey", "o_orderdate")
+    keys = [r[0] for r in orders.select("o_orderkey").distinct().limit(listed + 1).collect()]
+    lines = table(spark, sf_dir, "lineitem")
+    mine = lines.where(F.col("l_orderkey").isin(keys)) if len(keys) <= listed else lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return _violations(_last_lines(mine), orders)
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bbl, penalty, paid, balance, in whole cents so that sums are exact."""
     lines, orders = latest_lines(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

@@ -145,13 +145,25 @@ def deeds(master: DataFrame, legals: DataFrame, parties: DataFrame, profile: str
     return events, events.select("bbl", "event_id")
 
 
-def mortgage_instruments(master: DataFrame, legals: DataFrame, profile: str) -> tuple[DataFrame, DataFrame]:
-    """(events, has_event) of mortgages, assignments and satisfactions."""
+def named_sides(parties: DataFrame) -> DataFrame:
+    """(documentid, first_names, second_names): the names of a document's parties of type 1 and 2."""
+    side = lambda k: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(_C("partytype") == k, _C("name")))), " | "), F.lit(""))
+    return parties.groupBy("documentid").agg(side(1).alias("first_names"), side(2).alias("second_names"))
+
+
+def mortgage_instruments(master: DataFrame, legals: DataFrame, profile: str, parties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, has_event) of mortgages, assignments and satisfactions; with ``parties`` the names of
+    mortgagors and mortgagees, or of assignors and assignees, too."""
     found = latest_master(master.where(_C("doctype").isin(*text.INSTRUMENT_EVENT)))
     event_id = keys.event_id("ACRIS", _C("documentid"))
     status = F.lit(None if profile == DISCOVERY else "Recorded").cast("string")
     events = _event(found, "Mortgage", "ACRIS", event_id, F.lit(None).cast("string"), F.coalesce("docdate", "recordedfiled"), status, _C("doctype"), _C("documentid"), crfn=_C("crfn"), reel_year=F.nullif(_C("reelyear"), F.lit(0)))
     events = events.withColumn("event_type", text.mapped(_C("violation_class"), text.INSTRUMENT_EVENT))
+    if parties is not None:
+        events = events.join(named_sides(parties).withColumnRenamed("documentid", "source_record_id"), "source_record_id", "left")
+        assigned = _C("event_type") == "MortgageAssignment"
+        names = {"mortgagor_names": (~assigned, "first_names"), "mortgagee_names": (~assigned, "second_names"), "assignor_names": (assigned, "first_names"), "assignee_names": (assigned, "second_names")}
+        events = events.withColumns({k: F.when(when, _C(c)) for k, (when, c) in names.items()}).drop("first_names", "second_names")
     return events, found.select("documentid").join(legals.select("documentid", F.trim("bbl").alias("bbl")).distinct(), "documentid").select("bbl", event_id.alias("event_id"))
 
 
@@ -173,6 +185,19 @@ def registered_for(landlords: DataFrame, nodes: DataFrame, registrations: DataFr
     return rows.groupBy("nodeid", "bbl").agg(F.max_by("registrationid", F.struct("end_date", "registrationid")).alias("registrationid"), F.max("end_date").alias("end_date"))
 
 
+def managed_by(agents_found: DataFrame, buildings: DataFrame, source_id: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(relationships, observations) of managing agents (:func:`agents`).
+
+    relationships: one ManagedBy for each known building and agent, with the share of the agent's
+    buildings that are known; observations: the agent's name as the source has it, with its address.
+    """
+    held = agents_found.select("agent_id", F.explode("bbls").alias("bbl")).join(buildings.select("bbl").distinct(), "bbl", "left_semi")
+    key = F.concat(F.lit("REL-MB-"), F.sha1(F.concat_ws("|", "agent_id", "bbl").cast("binary")))
+    relationships = held.select(key.alias("relationship_id"), F.lit("ManagedBy").alias("type"), "agent_id", "bbl", F.lit("Observed").alias("status"), F.lit(at).cast("date").alias("effective_from"))
+    observed = agents_found.select(F.concat(F.lit("IOB-"), F.sha1(F.concat_ws("|", F.lit(source_id), "agent_id").cast("binary"))).alias("observation_id"), "agent_id", F.col("name").alias("raw_name"), F.left("address", F.lit(300)).alias("context"), F.lit(source_id).alias("source_id"), F.size("bbls").cast("long").alias("n_bbls"))
+    return relationships, observed
+
+
 def agents(buildings_json: DataFrame) -> DataFrame:
     """(agent_id, name, address, bbls) from ``allcontacts``: contacts with the title Agent.
 

@@ -39,7 +39,9 @@ SOURCES = {
     "master": f"""SELECT CAST(o_custkey AS VARCHAR(20)) AS documentid, CAST(o_orderkey AS VARCHAR(20)) AS crfn, CASE WHEN o_orderstatus = 'F' THEN 'Mdeed' WHEN o_orderstatus = 'O' THEN 'MTGE' WHEN o_orderkey % 2 = 0 THEN 'ASST' ELSE 'SAT' END AS doctype, CASE WHEN o_orderkey % 3 > 0 THEN {_DAY} END AS docdate, {_DAY} AS recordedfiled,
  o_orderkey * 100 AS docamount, 100.0 AS pcttransferred, CAST(o_orderkey % 3 AS INT) AS reelyear, CASE WHEN o_orderkey % 50 > 0 THEN {_DAY} END AS modifieddate FROM {{orders}}""",
     "legals": """SELECT CAST(c_custkey AS VARCHAR(20)) AS documentid, CAST(1000000000 + c_custkey AS VARCHAR(20)) AS bbl FROM {customer} UNION ALL SELECT CAST(c_custkey AS VARCHAR(20)), concat(CAST(1000000001 + c_custkey AS VARCHAR(20)), ' ') FROM {customer}""",
-    "parties": """SELECT CAST(o_custkey AS VARCHAR(20)) AS documentid, CAST(1 + o_orderkey % 3 AS INT) AS partytype, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE concat('Party ', CAST(o_orderkey % 7 AS VARCHAR(9))) END AS name, CASE WHEN o_custkey % 2 = 0 THEN '1 A St' END AS address1, '' AS address2, 'NY' AS city, 'NY' AS state, o_orderstatus AS zip FROM {orders}""",
+    "parties": """SELECT CAST(o_custkey AS VARCHAR(20)) AS documentid, CAST(1 + o_orderkey % 3 AS INT) AS partytype, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE concat(CASE WHEN o_orderkey % 7 < 3 THEN 'Party ' ELSE 'Owner ' END, CAST(o_orderkey % 7 AS VARCHAR(9))) END AS name, CASE WHEN o_custkey % 2 = 0 THEN '1 A St' END AS address1, '' AS address2, 'NY' AS city, 'NY' AS state, o_orderstatus AS zip FROM {orders}""",
+    # chr(123) and chr(125) are braces
+    "wow_bldgs": """SELECT CAST(1000000000 + p_partkey AS VARCHAR(20)) AS bbl, concat('[', chr(123), '"title": "Agent", "value": "', CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE concat(' ', p_name) END, '", "address": ', chr(123), '"housenumber": "', CAST(p_size % 9 AS VARCHAR(9)), '", "streetname": "', p_type, ' st"', chr(125), chr(125), ', ', chr(123), '"title": "HeadOfficer", "value": "', p_brand, '", "address": null', chr(125), ']') AS allcontacts FROM {part}""",
     "wow_landlords": """SELECT CAST(1000000000 + p_partkey AS VARCHAR(20)) AS bbl, p_partkey AS registrationid, p_brand AS name, p_type AS bizaddr, concat(CAST(p_size AS VARCHAR(9)), ' ', p_type) AS bizhousestreet, '' AS bizapt, CAST(p_size % 7 AS VARCHAR(9)) AS bizzip FROM {part}""",
 }
 

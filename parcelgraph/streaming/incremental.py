@@ -2,55 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelgraph.operators.relational import latest, set_once_upsert
-from parcelgraph.sources.shared import delete
+from parcelgraph.operators.relational import latest
+from parcelgraph.operators.store import Store
+
+_TABLE, _LAST = "rows", "last_batch"
 
 
-def keyed_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, once: list[str], always: list[str], order: str) -> StreamingQuery:
-    """Merge a stream into the table whose versions lie in ``path``.
+def keyed_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, once: list[str], always: list[str], order: str, buckets: int = 16) -> StreamingQuery:
+    """Merge a stream into the stored table in ``path``.
 
-    Each batch writes a whole new version beside the last one. A version counts once its writer has
-    committed it, which is one atomic step, so a crash leaves the version before; a batch that is run
-    again starts from the version before it and leaves the same table (at-least-once is enough). The
-    version before the last is kept. Of rows of one key and ``order`` the greatest by the other
-    columns counts.
+    A batch rewrites the buckets that it has keys in, beside the old ones, and becomes visible by one
+    commit that names the batch too: a crash leaves the version before, and a batch that is run again
+    after its commit does nothing. The version before the last is kept. Of rows of one key and
+    ``order`` the greatest by the other columns counts.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        store = Store(batch.sparkSession, path)
+        tx = store.begin()
+        if number <= tx.state["notes"].get(_LAST, -1):
+            return
         new = latest(batch, [key], [F.desc(order), *(F.desc(c) for c in [*once, *always])]).select(key, *once, *always)
-        known = _versions(spark, path)
-        before = [v for v in known if v[0] < number]
-        out = set_once_upsert(spark.read.parquet(before[-1][1]), new, key, once, always) if before else new
-        out.write.parquet(f"{path}/v-{number:012d}-{uuid.uuid4().hex}")
-        for _, old in before[:-1]:
-            delete(spark, old)
+        tx.merge(_TABLE, new, [key], once=once, always=always, buckets=buckets)
+        tx.note(_LAST, number)
+        tx.commit()
+        store.vacuum(keep=2)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark, path: str) -> list[tuple[int, str]]:
-    """(batch, folder) of the committed versions, in order."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = [str(f.getPath().toString()) for f in fs.listStatus(folder)]
-    done = [f for f in found if f.rpartition("/")[2].startswith("v-") and fs.exists(hadoop.Path(f"{f}/_SUCCESS"))]
-    return sorted((int(f.rpartition("/")[2].split("-")[1]), f) for f in done)
-
-
 def current(spark, path: str) -> DataFrame | None:
     """The table's current version, None before the first batch."""
-    known = _versions(spark, path)
-    return spark.read.parquet(known[-1][1]) if known else None
+    return Store(spark, path).read(_TABLE)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, window: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -53,8 +53,17 @@ def test_stubs_and_look_ups(spark):
 
 
 def test_an_upsert_that_broke_off_leaves_the_version_before(spark, tmp_path):
-    path = f"file://{tmp_path}/table"
-    spark.createDataFrame([(1, "a")], "k long, address string").write.parquet(f"{path}/v-{0:012d}-x")
-    spark.createDataFrame([(2, "b")], "k long, address string").write.parquet(f"{path}/v-{1:012d}-y")
-    (tmp_path / "table" / f"v-{1:012d}-y" / "_SUCCESS").unlink()
-    assert rows(incremental.current(spark, path), "k", "address") == [(1, "a")]
+    path, src = f"file://{tmp_path}/table", str(tmp_path / "in")
+    schema = "k long, address string, score long, at long"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda checkpoint: incremental.keyed_upsert(spark.readStream.schema(schema).parquet(src), path, str(tmp_path / checkpoint), "k", ["address"], ["score"], "at").awaitTermination()
+    put([(1, "a", 1, 1), (1, "b", 2, 2)])
+    run("c")
+    assert rows(incremental.current(spark, path), "k", "address", "score") == [(1, "b", 2)]
+    put([(1, "c", 3, 3), (2, "d", 1, 1)])
+    run("c")
+    assert rows(incremental.current(spark, path), "k", "address", "score") == [(1, "b", 3), (2, "d", 1)]
+    # what a writer left before its commit is not seen, and a batch that is run again changes nothing
+    (tmp_path / "table" / "versions" / "draft-x").write_text("{")
+    run("fresh")
+    assert rows(incremental.current(spark, path), "k", "address", "score") == [(1, "b", 3), (2, "d", 1)]

@@ -114,7 +114,7 @@ def test_incremental_upsert(spark, tmp_path):
 
 
 def test_catalogue(spark):
-    from parcelgraph.plans import catalogue, registry
+    from parcelgraph.plans import catalogue, graph_registry, registry, verdict_registry  # noqa: F401  (they register queries)
 
     known = {i for i, _ in catalogue.RULES}
     assert all(set(r[2].split("|")) - {""} <= known and r[3] in registry.QUERIES for r in catalogue.INTENTS)
