@@ -1,10 +1,14 @@
 """Main-text extraction from HTML by a minimum cut.
 
-A page is cut into text blocks in page order. A linear classifier over tags, names of the enclosing
-elements, length, punctuation and link density gives each block a cost of being called content and
-of being called boilerplate; these are the capacities of its edges to the two terminals. Blocks
-next to each other, and siblings under one parent, are tied by edges whose capacity falls with
-their distance in the tree. The minimum cut, found by augmenting paths, is the cheapest labelling.
+A page is cut into text blocks in page order. The nodes of its graph are these blocks and the block
+elements around them. A linear classifier gives a block a cost of being called content or
+boilerplate from its own text alone: length, punctuation, link density, tag. What an element is or is
+called (an article, a nav, a class of comments) is evidence about that element only. These costs are
+the capacities of the edges to the two terminals. A block is tied to its element and an element to the
+one around it, loosely where it begins a region of its own; blocks next to each other and siblings
+are tied by edges whose capacity falls with their distance in the tree. The minimum cut, found by
+augmenting paths, is the cheapest labelling: a region of good paragraphs outweighs a doubtful name,
+and a paragraph does not escape from a footer.
 
 Pages are independent: one pass, no shuffle.
 """
@@ -24,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import util
 
 #: Elements whose content is never text of the page.
-_SILENT = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|audio|video|button|xmp|noembed|noframes"
+_SILENT = "script|style|noscript|template|textarea|title|iframe|svg|select|canvas|audio|video|button|xmp|noembed|noframes"
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _SILENT_TAGS = frozenset(_SILENT.split("|"))
 _SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _SILENT_TAGS}
@@ -37,44 +41,50 @@ _BLOCK = frozenset(
 _CLOSES = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"}}
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|itemprop|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAMES_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|footer|foot|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar\w*|social|comments?|comment\w*|repl(?:y|ies)|disqus|discussion|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|search|skip|complementary|contentinfo|navigation|dialog|alertdialog|form|tags?|byline-links)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|footer|foot|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|shar\w*|social|comments?|comment\w*|kommentar\w*|comentario\w*|feedback|repl(?:y|ies)|disqus|discussion|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|search|skip|complementary|contentinfo|navigation|dialog|alertdialog|form|tags?|byline-links)(?:$|[\s_-])"
 )
 _NAMES_HERE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])")
 #: Words that say nothing beside a word that leads away.
-_GENERIC = frozenset("box block section list lists links link post posts item items widget wrap wrapper container bar form top bottom area slot inner group row col unit".split())
+_GENERIC = frozenset("box block section list lists links link post posts item items widget wrap wrapper container bar form top bottom area slot inner group row col unit reader readers user users visitor".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _AWAY = frozenset("nav footer aside form menu dialog fieldset head search".split())
 
 
 @dataclass(frozen=True)
 class Weights:
-    """The classifier's weights (for content where positive) and the capacities of the ties."""
+    """Costs of blocks and elements (for content where positive) and the capacities of the ties."""
 
     bias: float = -1.0
-    article: float = 4.0
-    named_content: float = 1.0
-    away: float = -9.0
-    header: float = -6.0
     paragraph: float = 1.0
     heading: float = 0.5
     item: float = -0.5
     length: float = 2.0
     marks: float = 1.5
     links: float = -5.0
+    # what an element is or is called
+    article: float = 40.0
+    named_content: float = 1.0
+    doubtful: float = -4.0
+    header: float = -12.0
+    away: float = -1000.0
+    # ties: a block to its element, an element to the one around it, a region to what is around it
+    inside: float = 5.0
+    around: float = 1000.0
+    region: float = 2.0
     next_to: float = 0.8
     sibling: float = 0.4
 
 
 class _Element:
-    """An open element: what it inherits, the block element that it stands in, and its place."""
+    """An open element: the block element that it stands in, its place, and what speaks for or
+    against it being content."""
 
-    __slots__ = ("tag", "index", "number", "depth", "up", "owner", "inline", "here", "away", "named", "link")
+    __slots__ = ("tag", "index", "number", "depth", "up", "owner", "inline", "here", "cost", "region", "link")
 
     def __init__(self, tag: str, index: int, number: int, parent: _Element | None):
         self.tag, self.index, self.number = tag, index, number
         self.here = parent is not None and parent.here  # inside an article or main element
-        self.away = parent.away if parent else 0.0
-        self.named = parent is not None and parent.named
+        self.cost, self.region = 0.0, False
         self.link = tag == "a" or parent is not None and parent.link
         if parent is None or tag in _BLOCK:
             self.owner, self.up = self, parent.owner if parent else None  # up: the block around it
@@ -145,16 +155,19 @@ def markup(page: str):
             yield start, at, tag, m[1] == "/", page[m.end() : end]
 
 
-def _leads_away(name: str, value: str, tag: str, inside: bool) -> bool:
-    """Whether an attribute's words mark what isn't main text. Inside an article, paragraphs and
-    headings aren't judged by a name of several words of which only some do (an id like
-    related-work), and no other element by such an id."""
-    if not _NAMES_AWAY.search(value):
-        return False
-    if inside and (name == "id" or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")):
-        words = [w for w in re.split(r"[\s_-]+", value) if w]
-        return all(_NAMES_AWAY.search(w) or w in _GENERIC for w in words)
-    return True
+def _leads_away(name: str, value: str, tag: str, inside: bool) -> str:
+    """"yes" where an attribute's words mark what isn't main text, "perhaps" where only some of them
+    do, else "". Inside an article, paragraphs and headings aren't judged by an id or by some of the
+    words, and no other element by some of an id's."""
+    line = inside and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
+    if not _NAMES_AWAY.search(value) or line and name == "id":
+        return ""
+    words = [w for w in re.split(r"[\s_-]+", value) if w]
+    if all(_NAMES_AWAY.search(w) or w in _GENERIC for w in words):
+        return "yes"
+    if inside:
+        return "" if name == "id" or line else "perhaps"
+    return "yes"
 
 
 def blocks_of(page: str, weights: Weights) -> list[Block]:
@@ -172,12 +185,8 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
             text = " ".join(_html.unescape("".join(pieces)).split())
             if text:
                 n = len(text)
-                score = weights.bias + owner.away + weights.length * min(n / 120, 1.0) + weights.marks * min(sum(map(text.count, ".,;:!?")) / 4, 1.0)
+                score = weights.bias + weights.length * min(n / 120, 1.0) + weights.marks * min(sum(map(text.count, ".,;:!?")) / 4, 1.0)
                 score += weights.links * min(linked / n, 1.0)
-                if owner.here:
-                    score += weights.article
-                if owner.named:
-                    score += weights.named_content
                 if owner.tag in ("p", "pre", "blockquote"):
                     score += weights.paragraph
                 elif owner.tag[:1] == "h" and owner.tag[1:].isdigit():
@@ -244,29 +253,24 @@ def blocks_of(page: str, weights: Weights) -> list[Block]:
             number += 1
             e = _Element(tag, len(stack), number, up)
             if tag in ("article", "main"):
-                e.here = True
+                e.here, e.region, e.cost = True, True, weights.article
             elif tag in _AWAY:
-                e.away = weights.away
+                e.region, e.cost = True, weights.away
             elif tag == "header" and not up.here:
-                e.away = min(e.away, weights.header)
+                e.region, e.cost = True, weights.header
             if rest and not rest.isspace():
                 for a in _ATTRIBUTE.finditer(rest):
                     name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                    if (
-                        name == "hidden"
-                        or name == "aria-hidden"
-                        and value == "true"
-                        or name == "style"
-                        and _HIDDEN.search(value)
-                        or name in ("class", "id", "role", "aria-label")
-                        and tag not in ("body", "html", "article", "main")
-                        and _leads_away(name, value, tag, up.here)
-                    ):
-                        e.away = weights.away
+                    named = name in ("class", "id", "role", "aria-label") and tag not in ("body", "html", "article", "main")
+                    leads = _leads_away(name, value, tag, up.here) if named else ""
+                    if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value) or leads == "yes":
+                        e.region, e.cost = True, weights.away
+                    elif leads:
+                        e.region, e.cost = True, min(e.cost, weights.doubtful)
                     elif tag in ("article", "main") and name in ("class", "id") and re.search(r"comment|repl(y|ies)|related|teaser|promo", value):
-                        e.away = weights.away
-                    elif name in ("class", "id", "role", "itemprop") and _NAMES_HERE.search(value):
-                        e.named = True
+                        e.cost = weights.away
+                    elif name in ("class", "id", "role", "itemprop") and e.cost == 0 and _NAMES_HERE.search(value):
+                        e.cost = weights.named_content
             if not rest.endswith("/") or tag in _BLOCK or tag == "a":
                 stack.append(e)
                 if e.owner is e:
@@ -360,18 +364,30 @@ def label_blocks(page: str, weights: Weights = Weights()) -> list[Block]:
     """The blocks of a page with their labels (True: content)."""
     found = blocks_of(page, weights)
     scores = [b.score for b in found]
-    if all(s > 0 for s in scores) or all(s <= 0 for s in scores):
-        sides = [s > 0 for s in scores]
-    else:
-        ties = [(k, k + 1, weights.next_to / (1 + tree_distance(a.at, b.at))) for k, (a, b) in enumerate(zip(found, found[1:], strict=False))]
-        last: dict[int, int] = {}
-        for k, b in enumerate(found):
-            parent = b.at.up.number if b.at.up else 0
-            if (before := last.get(parent)) is not None:
-                ties.append((before, k, weights.sibling))
-            last[parent] = k
+    ties = [(k, k + 1, weights.next_to / (1 + tree_distance(a.at, b.at))) for k, (a, b) in enumerate(zip(found, found[1:], strict=False))]
+    last: dict[int, int] = {}
+    nodes: dict[int, int] = {}
+    for k, b in enumerate(found):
+        parent = b.at.up.number if b.at.up else 0
+        if (before := last.get(parent)) is not None:
+            ties.append((before, k, weights.sibling))
+        last[parent] = k
+        # the elements around a block, up to one that is in the graph already
+        below, tie, e = k, weights.inside, b.at
+        while e is not None:
+            known = e.number in nodes
+            if not known:
+                nodes[e.number] = len(scores)
+                scores.append(e.cost)
+            ties.append((below, nodes[e.number], tie))
+            if known:
+                break
+            below, tie, e = nodes[e.number], weights.region if e.region else weights.around, e.up
+    if scores and not (all(s >= 0 for s in scores) or all(s <= 0 for s in scores)):
         sides = minimum_cut(scores, ties)
-    for b, side in zip(found, sides, strict=True):
+    else:
+        sides = [s > 0 for s in scores]
+    for b, side in zip(found, sides, strict=False):
         b.label = side
     return found
 
