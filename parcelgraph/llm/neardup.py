@@ -35,8 +35,8 @@ from . import shingles, util
 
 #: Signature places.
 PLACES = 128
-#: Members up to which a cluster is compared as a whole; a larger one node by node of the trees.
-WHOLE_CLUSTER = 16_384
+#: Members of a group of several blocks that all others are compared with first.
+HUBS = 4
 #: Ids up to which the documents of clusters are looked up by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 200_000
 #: Pairs that a task gathers before it thins them out.
@@ -202,6 +202,14 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+def _first_hub(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (member i, hub j) the one of each member whose hub has the smallest ``k``."""
+    order = np.lexsort((k[j], i))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    return i[first], j[first]
+
+
 def _named(ids: pa.Array, i: np.ndarray, j: np.ndarray, arrow: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([ids.take(pa.array(x)).cast(f.type) for x, f in zip((i, j), arrow, strict=True)], schema=arrow)
 
@@ -210,11 +218,48 @@ def _pair_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
 
 
-def _blocks(rows: DataFrame, group: str, id_hash, buckets: int) -> DataFrame:
+def _hubs(rows: DataFrame, group: str) -> DataFrame:
+    """(group, id, k): up to HUBS members of each group of several blocks (parts), by chance."""
+    k = F.pmod(F.xxhash64("id"), F.lit(HUBS)).cast("int")
+    first = F.min(F.struct(F.xxhash64("id", F.lit(9)).alias("h"), "id")).alias("first")
+    return rows.where("parts > 1").groupBy(group, k.alias("k")).agg(first).select(group, "first.id", "k")
+
+
+def _beside_hubs(rows: DataFrame, hubs: DataFrame, group: str, buckets: int) -> DataFrame:
+    """Members of groups of several blocks, dealt into their blocks, with k null, and the hubs once for
+    each block of their group, with their k: every member is copied once, every hub once a block."""
+    large = rows.where("parts > 1")
+    block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    members = large.withColumns({"block": block, "k": F.lit(None).cast("int")})
+    copies = large.join(hubs, [group, "id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*members.columns)
+    return members.unionByName(copies).withColumn("bucket", F.pmod(F.xxhash64(group, "block"), F.lit(buckets)))
+
+
+def _blocks(rows: DataFrame, group: str, linked: DataFrame | None, buckets: int) -> DataFrame:
     """``rows`` (with parts, the blocks of their group) once for each pair (p, q) of blocks that their
-    own ``block`` is in, and the bucket of pairs that go to one task."""
-    mine = rows.withColumn("block", F.pmod(id_hash, F.col("parts")).cast("int"))
-    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    own ``block`` is in, and the bucket of pairs that go to one task.
+
+    ``linked`` has the hub (k) that a member is linked with. Those of one hub are connected by it, so
+    they lie in blocks of their own and these are not compared with one another, but with all others:
+    the copies of one text make a number of rows that grows with them, and not with its square.
+    """
+    if linked is None:
+        mine = rows.withColumns({"block": F.lit(0), "other": F.lit(0)})
+    else:
+        mine = rows.join(linked, [group, "id"], "left")
+        per = F.ceil(F.col("m") / F.col("parts"))
+        count = mine.groupBy(group).agg(F.first("parts").alias("parts"), F.count("*").alias("m"), *(F.count_if(F.col("k") == j).alias(f"c{j}") for j in range(HUBS)))
+        own = [F.when((F.col("parts") > 1) & (F.col(f"c{j}") * 2 >= per), F.col(f"c{j}")).otherwise(0) for j in range(HUBS)]
+        count = count.withColumn("sizes", F.array(*own)).withColumn("sizes", F.concat("sizes", F.array(F.col("m") - F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))))
+        count = count.withColumn("nb", F.transform("sizes", lambda x: F.ceil(x / per).cast("int")))
+        upto = lambda j: F.aggregate(F.slice("nb", 1, j), F.lit(0), lambda a, x: a + x) if j else F.lit(0)
+        count = count.select(group, "nb", F.array(*(upto(j) for j in range(HUBS + 1))).alias("off"), upto(HUBS + 1).alias("total"))
+        mine = mine.join(count, group)
+        slot = F.when(F.col("k").isNotNull() & (F.get("nb", F.col("k")) > 0), F.col("k")).otherwise(HUBS)
+        mine = mine.withColumn("slot", slot).withColumns({"from": F.get("off", F.col("slot")), "n_own": F.get("nb", F.col("slot"))})
+        others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: (F.col("slot") == HUBS) | (x < F.col("from")) | (x >= F.col("from") + F.col("n_own")))
+        mine = mine.withColumn("block", (F.col("from") + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int")).withColumn("other", F.explode(others)).drop("k", "nb", "off", "total", "slot", "from", "n_own")
+    pairs = mine.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     return pairs.withColumn("bucket", F.pmod(F.xxhash64(group, "p", "q"), F.lit(buckets)))
 
 
@@ -230,8 +275,9 @@ def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buc
     """Pairs (a, b) that span what is connected by pairs of members (node, id, size, n, sig) of one
     node that agree in ``least`` places, and in ``first_least`` of the first quarter.
 
-    Nodes of more than ``block_rows`` members are compared block by block; nodes are dealt into
-    ``buckets`` groups, so that small ones are compared many at once.
+    Nodes of more than ``block_rows`` members are compared with a few of them first, and then block by
+    block where these don't connect them already; nodes are dealt into ``buckets`` groups, so that
+    small ones are compared many at once.
     """
     schema = _pair_schema(members.schema["id"].dataType)
     arrow = to_arrow_schema(schema)
@@ -309,25 +355,42 @@ def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buc
         i, j, _ = forest(found)
         return _named(names, i, j, arrow)
 
-    sized = members.withColumn("parts", F.ceil(F.col("size") / block_rows).cast("int"))
-    pairs = _blocks(sized, "node", F.xxhash64("id"), buckets)
-    return pairs.select("bucket", "node", "p", "q", "id", "n", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
+    star_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", members.schema["id"].dataType), T.StructField("k", T.IntegerType()), T.StructField("hub", members.schema["id"].dataType)])
+    star_arrow = to_arrow_schema(star_schema)
 
+    def star(table: pa.Table) -> pa.Table:
+        """Each member with the first hub that it likely links with."""
+        table = table.sort_by([("node", "ascending"), ("block", "ascending"), ("k", "ascending")])
+        node, block, n = (table[c].to_numpy() for c in ("node", "block", "n"))
+        k = table["k"].fill_null(-1).to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)
+        starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(block) != 0)])
+        found = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+            rows = np.arange(start, end)
+            mine, hubs = rows[k[rows] < 0], rows[k[rows] >= 0]
+            if len(mine) and len(hubs):
+                i, j, _ = large_node(mine, hubs, False, n, sig)
+                found.append(_first_hub(i, j, k))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        ids = table["id"].combine_chunks()
+        return pa.Table.from_arrays([pa.array(node[i]), ids.take(pa.array(i)).cast(star_arrow.field(1).type), pa.array(k[j].astype(np.int32)), ids.take(pa.array(j)).cast(star_arrow.field(3).type)], schema=star_arrow)
 
-def clusters(forest: DataFrame, leaf: DataFrame, sets: DataFrame) -> DataFrame:
-    """(grp, id, n): groups of ids such that the ends of each candidate pair share one.
+    sized = members.withColumn("parts", F.ceil(F.col("size") / block_rows).cast("int"))
+    linked = None
+    if not members.where(F.col("size") > block_rows).isEmpty():
+        dealt = _beside_hubs(sized, _hubs(sized, "node"), "node", buckets)
+        linked = util.materialize(dealt.select("bucket", "node", "block", "k", "id", "n", "sig").groupBy("bucket").applyInArrow(star, star_schema).dropDuplicates(["node", "id"]), "starred")
+    pairs = _blocks(sized, "node", None if linked is None else linked.drop("hub"), buckets)
+    found = pairs.select("bucket", "node", "p", "q", "id", "n", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
+    return found if linked is None else found.unionByName(linked.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
-    A group is a component of the forest, and where that has more than ``WHOLE_CLUSTER`` members,
-    so that its blocks would be repeated too often, each leaf that its members meet in.
-    """
-    component = util.materialize(connected_components(forest, "a", "b").select(F.col("node").alias("id"), F.xxhash64("component").alias("grp")), "clusters")
-    sizes = component.groupBy("grp").count().where(F.col("count") > WHOLE_CLUSTER).select("grp")
-    groups = component
-    if not sizes.isEmpty():
-        sizes = util.materialize(sizes, "large_clusters")
-        inside = component.join(sizes, "grp", "left_semi").select("id")
-        groups = component.join(sizes, "grp", "left_anti").unionByName(leaf.join(inside, "id", "left_semi").select("id", F.col("node").alias("grp")))
-    return groups.join(sets.select("id", "n").distinct(), "id").select("grp", "id", "n")
+
+def clusters(forest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, id, n): groups of ids such that the ends of each candidate pair share one: the components
+    of the forest."""
+    component = connected_components(forest, "a", "b").select(F.col("node").alias("id"), F.xxhash64("component").alias("grp"))
+    return component.join(sets.select("id", "n").distinct(), "id").select("grp", "id", "n")
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -377,10 +440,10 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
     sizes = util.materialize(groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") * 8 / GROUP_BYTES)).cast("int")
     wanted = util.materialize(groups.join(sizes.select("grp", parts.alias("parts")), "grp").select("id", "grp", "parts"), "wanted")
-    rows, repeated, copied = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("m"), F.col("m") * parts, F.col("total") * 8 * parts))).first()
+    rows, large, total = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("m"), F.when(parts > 1, F.col("m")).otherwise(0), F.col("total") * 8))).first()
     if not rows:
         return None
-    buckets = max(64, copied // GROUP_BYTES, repeated // 1024)
+    few = max(64, total // GROUP_BYTES, rows // 1024)
     schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("id", id_type), T.StructField("s", T.BinaryType())])
     arrow, out_schema = to_arrow_schema(schema), _pair_schema(id_type)
     out_arrow, percent = to_arrow_schema(out_schema), round(100 * similarity)
@@ -413,9 +476,39 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
         i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return _named(names, i, j, out_arrow)
 
+    star_schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("id", id_type), T.StructField("k", T.IntegerType()), T.StructField("hub", id_type)])
+    star_arrow = to_arrow_schema(star_schema)
+
+    def star(table: pa.Table) -> pa.Table:
+        """Each member with the first hub whose full set is similar enough."""
+        table = table.sort_by([("grp", "ascending"), ("block", "ascending"), ("k", "ascending")])
+        grp, block = table["grp"].to_numpy(), table["block"].to_numpy()
+        k = table["k"].fill_null(-1).to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["s"]]
+        n = np.array([len(x) for x in held], np.int64)
+        starts = np.flatnonzero(np.r_[True, (np.diff(grp) != 0) | (np.diff(block) != 0)])
+        found = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(grp)], strict=True):
+            at = np.arange(start, end)
+            mine, hubs = at[k[at] < 0], at[k[at] >= 0]
+            if len(mine) and len(hubs):
+                both = shared_counts([held[x] for x in mine], [held[x] for x in hubs])
+                i, j = np.nonzero(100 * both >= percent * (n[mine][:, None] + n[hubs][None] - both))
+                found.append(_first_hub(mine[i], hubs[j], k))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        ids = table["id"].combine_chunks()
+        return pa.Table.from_arrays([pa.array(grp[i]), ids.take(pa.array(i)).cast(star_arrow.field(1).type), pa.array(k[j].astype(np.int32)), ids.take(pa.array(j)).cast(star_arrow.field(3).type)], schema=star_arrow)
+
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted, "id")
-    blocks = _blocks(texts.select("grp", "parts", "id", "text").mapInArrow(sets, schema), "grp", F.xxhash64("id", "s"), buckets)
-    return blocks.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
+    with_sets = texts.select("grp", "parts", "id", "text").mapInArrow(sets, schema)
+    linked = None
+    if large:
+        dealt = _beside_hubs(with_sets, _hubs(wanted, "grp"), "grp", few)
+        linked = util.materialize(dealt.select("bucket", "grp", "block", "k", "id", "s").groupBy("bucket").applyInArrow(star, star_schema).dropDuplicates(["grp", "id"]), "starred-sets")
+    # an id that repeats is one member of its group, but each of its texts is compared
+    blocks = _blocks(with_sets, "grp", None if linked is None else linked.drop("hub"), few)
+    found = blocks.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
+    return found if linked is None else found.unionByName(linked.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, recall: float = 0.9999, leaf_rows: int = 128, depth: int = 4, block_rows: int = 512, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,7 +531,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     buckets = max(8, leaf.count() // 8192)
     forest = candidate_forest(leaf.join(sets, "id"), similarity, block_rows, buckets, least_places, least_quarter)
     forest = util.materialize(forest.distinct(), "candidates")
-    groups = util.materialize(clusters(forest, leaf, sets), "groups")
+    groups = util.materialize(clusters(forest, sets), "groups")
     for done in (leaf, sets):
         util.drop_table(done)
     found = links(groups, docs, similarity, width, block_rows, id_col, text_col)
