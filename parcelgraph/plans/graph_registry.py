@@ -20,15 +20,17 @@ _RULE = "RUL-PHC-001"
 _EVENT = "regexp_replace({0}, '^EVT-HPD-', '')"
 
 
-def _claimed(s, d):
-    return ontology.claims(_hazards(s, d), _RULE, "bbl", "run", F.format_string("%d open", "open_c"))
+def _claimed(s, d, events=None):
+    hazards = _hazards(s, d) if events is None else rules.persistent_hazard(events, src.AS_OF)
+    return ontology.claims(hazards, _RULE, "bbl", "run", F.format_string("%d open", "open_c"))
 
 
 @query("claim_lineage", f""", e AS (SELECT v.* FROM violation v JOIN phc USING (bbl) WHERE violation_class = 'C' AND status = 'Open' QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY open_date, event_id) <= 50)
 SELECT bbl AS subject_id, '{_RULE}' AS rule_id, event_id, 'OBS-SRC-HPD-' || {_EVENT.format("event_id")} AS observation_id, 'HPD' AS source_name, '2001-12-31' AS retrieval_date FROM e""")
 def claim_lineage(s, d):
-    events = rules.open_class_c(src.violations(s, d)).withColumns({"source_record_id": F.regexp_replace("event_id", "^EVT-HPD-", ""), "source_id": F.lit("SRC-HPD")})
-    claimed = _claimed(s, d)
+    found = src.violations(s, d, src.written_lines(s, d))
+    events = rules.open_class_c(found).withColumns({"source_record_id": F.regexp_replace("event_id", "^EVT-HPD-", ""), "source_id": F.lit("SRC-HPD")})
+    claimed = _claimed(s, d, found)
     found = provenance.claim_lineage(claimed, ontology.evidence(claimed, events), events, provenance.observations(events, "SRC-HPD"), provenance.sources(s, ["HPD", "DOB"], src.AS_OF))
     return found
 
@@ -41,8 +43,9 @@ def observations(s, d):
 @query("evidence_events", """, e AS (SELECT *, row_number() OVER (PARTITION BY bbl ORDER BY open_date, event_id) AS k FROM violation JOIN phc USING (bbl) WHERE violation_class = 'C' AND status = 'Open')
 SELECT bbl AS subject_id, open_c || ' open' AS claim_text, string_agg(event_id, ',' ORDER BY open_date, event_id) FILTER (k <= 50) AS event_ids, count(*) AS n_events FROM e GROUP BY bbl, open_c""")
 def evidence_events(s, d):
-    claimed = _claimed(s, d)
-    return ontology.evidence(claimed, rules.open_class_c(src.violations(s, d))).join(claimed, "claim_id").select("subject_id", "claim_text", F.array_join("event_ids", ",").alias("event_ids"), "n_events")
+    found = src.violations(s, d, src.written_lines(s, d))
+    claimed = _claimed(s, d, found)
+    return ontology.evidence(claimed, rules.open_class_c(found)).join(claimed, "claim_id").select("subject_id", "claim_text", F.array_join("event_ids", ",").alias("event_ids"), "n_events")
 
 
 @query("involved_buildings", """SELECT actor_id AS subject_id, bbl FROM control WHERE bbl IN (SELECT bbl FROM building)""")
@@ -187,11 +190,16 @@ def recluster_without_hub(s, d):
     return portfolio.recluster(contacts, F.contains("address", F.lit("77")))[1]
 
 
-@query("within_two_hops", """, e AS (SELECT DISTINCT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), z AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS hops FROM supplier UNION ALL SELECT s_suppkey, b, 1 FROM supplier JOIN u ON a = s_suppkey UNION ALL SELECT s_suppkey, v.b, 2 FROM supplier JOIN u ON u.a = s_suppkey JOIN u v ON v.a = u.b)
-SELECT start, node, min(hops) AS hops FROM z GROUP BY start, node""")
+@query("within_two_hops", """, e AS (SELECT v.bbl, event_id FROM violation v JOIN phc USING (bbl) WHERE violation_class = 'C' AND status = 'Open' QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY open_date, event_id) <= 50)
+SELECT 'CLAIM-' || bbl AS start, 'CLAIM-' || bbl AS node, 0 AS hops FROM phc UNION ALL SELECT 'CLAIM-' || bbl, 'EVIDENCE-' || bbl, 1 FROM phc UNION ALL SELECT 'CLAIM-' || bbl, event_id, 2 FROM e""")
 def within_two_hops(s, d):
-    sup = src.table(s, d, "supplier")
-    return provenance.within_two_hops(sup.where("s_suppkey > 1").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 2").alias("dst")), sup.select(F.col("s_suppkey").alias("node")))
+    """What a claim reaches: the evidence that supports it and the events that this aggregates."""
+    found = src.violations(s, d, src.written_lines(s, d))
+    claimed = _claimed(s, d, found)
+    cited = ontology.evidence(claimed, rules.open_class_c(found)).join(claimed.select("claim_id", "subject_id"), "claim_id")
+    claim, proof = F.concat(F.lit("CLAIM-"), "subject_id"), F.concat(F.lit("EVIDENCE-"), "subject_id")
+    edges = cited.select(claim.alias("src"), proof.alias("dst")).unionByName(cited.select(proof.alias("src"), F.explode("event_ids").alias("dst")))
+    return provenance.within_two_hops(edges, claimed.select(claim.alias("node")))
 
 
 @query("stub_upsert", f"""{sql("pluto", "hpd_complaints")}, k AS (SELECT trim(bbl) AS bbl, address, NULL::VARCHAR AS borough FROM pluto WHERE trim(bbl) <> ''), s AS (SELECT bbl, 'seen' AS address, min(borough) AS borough FROM hpd_complaints WHERE bbl <> '' GROUP BY bbl)

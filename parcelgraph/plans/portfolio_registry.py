@@ -56,6 +56,21 @@ def busy_excluded(s, d):
     return linkage.without_busy(nodes, _busy(nodes)).select("nodeid", "street", "zip")
 
 
+@query("normalised_addresses", """SELECT p_partkey AS nodeid, upper(trim(regexp_replace(p_size || 'th ' || lower(p_type) || ' 2ND', '(\\d+)(st|nd|rd|th)\\b', '\\1', 'gi'))) AS address, regexp_replace(p_brand, '\\D', '', 'g') AS apartment FROM part""")
+def normalised_addresses(s, d):
+    written = F.concat(F.col("p_size").cast("string"), F.lit("th "), F.lower("p_type"), F.lit(" 2ND"))
+    return src.table(s, d, "part").select(F.col("p_partkey").alias("nodeid"), text.lookup_address(written).alias("address"), text.digits(F.col("p_brand")).alias("apartment"))
+
+
+@query("strongest_links", """WITH e AS (SELECT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b, l_quantity AS w FROM lineitem) SELECT least(a, b) AS src, greatest(a, b) AS dst, max(w) AS weight FROM e GROUP BY ALL""")
+def strongest_links(s, d):
+    """One undirected link of an owner and a building, of those in either direction the strongest."""
+    lines = src.table(s, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), F.col("l_quantity").alias("weight"), "l_returnflag")
+    there, back = lines.where("l_returnflag = 'R'"), lines.where("l_returnflag != 'R'")
+    edges = there.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(back.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    return relational.strongest_edges(edges)
+
+
 # --- portfolios ---
 
 #: Contacts of buildings as the star schema has them: who stands on an order's lines, and in which role.

@@ -11,6 +11,7 @@ from parcelgraph.operators.components import connected_components
 from parcelgraph.plans import rules
 from parcelgraph.sources import adapters as src
 from parcelgraph.sources.adapters import AS_OF
+from parcelgraph.sources.shaped import shaped, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,7 +77,9 @@ SELECT b.bbl, borough, coalesce(open_a, 0) AS open_a, coalesce(open_b, 0) AS ope
   coalesce(owed, 0)::BIGINT AS owed, phc.bbl IS NOT NULL AS has_hazard, coalesce(actor_id::VARCHAR, '') AS controllers
 FROM building b LEFT JOIN v ON v.bbl = b.bbl LEFT JOIN f ON f.bbl = b.bbl LEFT JOIN j ON j.bbl = b.bbl LEFT JOIN phc ON phc.bbl = b.bbl LEFT JOIN control c ON c.bbl = b.bbl""")
 def due_diligence(s, d):
-    return rules.due_diligence(src.buildings(s, d), src.violations(s, d), src.filings(s, d, "O", "LIT"), src.judgments(s, d), _hazards(s, d), src.control(s, d))
+    lines = src.written_lines(s, d)
+    found = src.violations(s, d, lines)
+    return rules.due_diligence(src.buildings(s, d), found, src.filings(s, d, "O", "LIT"), src.judgments(s, d, lines), rules.persistent_hazard(found, AS_OF), src.control(s, d))
 
 
 @query("ownership_change", """, deed1 AS (SELECT bbl, event_date AS deed_date, event_id AS deed_id FROM deed WHERE amount > 0 QUALIFY row_number() OVER (PARTITION BY bbl ORDER BY event_date DESC, event_id DESC) = 1),
@@ -206,9 +209,10 @@ def refs_resolved(s, d):
     return out.select(F.col("document").cast("long").alias("document"), F.col("target").cast("long").alias("target"))
 
 
-@query("party_string_agg", "SELECT p_brand AS brand, string_agg(p_name, ' | ' ORDER BY p_name) AS names FROM part GROUP BY p_brand")
+@query("party_string_agg", f"""{sql("parties")} SELECT documentid, string_agg(name, ' | ' ORDER BY name) AS names FROM parties WHERE trim(name) <> '' GROUP BY documentid""")
 def party_string_agg(s, d):
-    return relational.party_strings(src.table(s, d, "part").withColumnRenamed("p_brand", "brand"), "brand", "p_name")
+    """The names on each document: as many as it has parties."""
+    return relational.party_strings(shaped(s, d, "parties").where(F.trim("name") != ""), "documentid", "name")
 
 
 @query("bbl_normalize", """, t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN ' ' || (3000000000 + c_custkey) || ' ' WHEN c_custkey % 4 = 2 THEN '0' END AS k, (c_custkey % 5 + 1)::VARCHAR AS b, (c_custkey // 7)::VARCHAR AS bl, CASE WHEN c_custkey % 9 > 0 THEN (c_custkey % 100)::VARCHAR END AS l FROM customer),

@@ -180,16 +180,8 @@ def recidivism(control: DataFrame, hazards: DataFrame, violations: DataFrame, bu
     return out.withColumn("recidivist", (F.col("boroughs") > 1) | (F.col("old_buildings") > 0))
 
 
-def network_exposure(control: DataFrame, hazards: DataFrame, buildings: DataFrame, affiliations: DataFrame) -> DataFrame:
-    """Per actor the condition of its network: itself and its affiliates (actor_id, other)."""
-    members = control.select(F.col("actor_id").alias("root"), F.col("actor_id").alias("member")).union(affiliations.where("actor_id != other").select("actor_id", "other")).distinct()
-    own = control.distinct().join(buildings.select("bbl", "units"), "bbl").join(hazards.select("bbl", F.lit(1).alias("h")), "bbl", "left").groupBy("actor_id").agg(F.count("*").alias("size"), F.count("h").alias("hazards"), F.sum("units").alias("units"))
-    out = members.join(own, members["member"] == own["actor_id"]).groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("size"), F.sum("hazards").alias("hazards"), F.sum("units").alias("units"))
-    return out.withColumn("insufficient", F.col("members") < 2)
-
-
 def group_exposure(control: DataFrame, hazards: DataFrame, buildings: DataFrame, groups: DataFrame) -> DataFrame:
-    """:func:`network_exposure` where the affiliates of an actor are all actors of its network.
+    """Per actor the condition of its network: itself and its affiliates, all actors of the network.
 
     groups: actor_id, network. A network is summed up once, instead of once for each of its actors.
     """

@@ -6,9 +6,13 @@ Each function returns a lazy DataFrame; filters and column choices made on it re
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelgraph.sources.shared import shared_dir, write
+
 #: All ages are measured to this date; nothing asks the clock.
 AS_OF = "2001-12-31"
 
@@ -40,13 +44,27 @@ def _class() -> F.Column:
     return F.create_map(*[F.lit(x) for x in ("A", "A", "N", "B", "R", "C")])[F.col("l_returnflag")]
 
 
-def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest lines with their order's customer and date."""
+    return _with_orders(latest_lines(spark, sf_dir), table(spark, sf_dir, "orders"))
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`ordered_lines` as a table in the shared folder, for queries that use them several times."""
+    return write(ordered_lines(spark, sf_dir), f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}")
+
+
+def _with_orders(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    return lines.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), lines["l_orderkey"] == orders["o_orderkey"])
+
+
+def violations(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """event_id, bbl, open_date, status_date, violation_class, status."""
-    return _violations(latest_lines(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return _violations(ordered_lines(spark, sf_dir) if lines is None else lines)
 
 
-def _violations(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+def _violations(lines: DataFrame) -> DataFrame:
+    return lines.select(
         F.concat_ws("-", F.lit("EVT-HPD"), "l_orderkey", "l_linenumber").alias("event_id"),
         F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("bbl"),
         F.to_date("o_orderdate").alias("open_date"),
@@ -73,15 +91,14 @@ def violations_of(spark: SparkSession, sf_dir: str, bbl: str, listed: int = 10_0
     keys = [r[0] for r in orders.select("o_orderkey").distinct().limit(listed + 1).collect()]
     lines = table(spark, sf_dir, "lineitem")
     mine = lines.where(F.col("l_orderkey").isin(keys)) if len(keys) <= listed else lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return _violations(_last_lines(mine), orders)
+    return _violations(_with_orders(_last_lines(mine), orders))
 
 
-def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judgments(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """bbl, penalty, paid, balance, in whole cents so that sums are exact."""
-    lines, orders = latest_lines(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     penalty = F.round(F.col("l_extendedprice") * 100).cast("long")
     percent = F.round(F.col("l_discount") * 100).cast("long")
-    made = lines.where("l_returnflag = 'N'").join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    made = (ordered_lines(spark, sf_dir) if lines is None else lines).where("l_returnflag = 'N'")
     made = made.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("bbl"), penalty.alias("penalty"), F.floor(penalty * (100 - percent) / 100).alias("paid"))
     return made.withColumn("balance", F.col("penalty") - F.col("paid"))
 

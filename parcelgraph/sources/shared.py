@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,21 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder, wherever it is stored."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package, and the modules beside it, to the session's Python workers wherever they run.
+
+    Once for each application; queries of ``__spark_entry__`` do it themselves, and who calls an
+    operator without them does it before.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_parcelgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = os.path.join(tempfile.mkdtemp(prefix="parcelgraph-code-"), "parcelgraph.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in [*sorted((root / "parcelgraph").rglob("*.py")), *root.glob("corpus_pipeline.py")]:
+            archive.write(path, path.relative_to(root))
+    sc.addPyFile(target)
+    sc._parcelgraph_shipped = True
