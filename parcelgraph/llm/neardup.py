@@ -225,41 +225,46 @@ def _hubs(rows: DataFrame, group: str) -> DataFrame:
     return rows.where("parts > 1").groupBy(group, k.alias("k")).agg(first).select(group, "first.id", "k")
 
 
-def _beside_hubs(rows: DataFrame, hubs: DataFrame, group: str, buckets: int) -> DataFrame:
-    """Members of groups of several blocks, dealt into their blocks, with k null, and the hubs once for
-    each block of their group, with their k: every member is copied once, every hub once a block."""
-    large = rows.where("parts > 1")
+def _beside_hubs(rows: DataFrame, group: str) -> DataFrame:
+    """(group, id, k, blocks): the members of groups of several blocks, each with its block and k null,
+    and the hubs with all blocks of their group and their k. What is compared is joined to these, so
+    that it is copied for hubs alone."""
+    large = rows.where("parts > 1").select(group, "id", "parts").distinct()
     block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    members = large.withColumns({"block": block, "k": F.lit(None).cast("int")})
-    copies = large.join(hubs, [group, "id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*members.columns)
-    return members.unionByName(copies).withColumn("bucket", F.pmod(F.xxhash64(group, "block"), F.lit(buckets)))
+    members = large.select(group, "id", F.lit(None).cast("int").alias("k"), F.array(block).alias("blocks"))
+    hubs = large.join(_hubs(large, group), [group, "id"]).select(group, "id", "k", F.sequence(F.lit(0), F.col("parts") - 1).alias("blocks"))
+    return members.unionByName(hubs)
 
 
-def _blocks(rows: DataFrame, group: str, linked: DataFrame | None, buckets: int) -> DataFrame:
-    """``rows`` (with parts, the blocks of their group) once for each pair (p, q) of blocks that their
-    own ``block`` is in, and the bucket of pairs that go to one task.
+def _placed(rows: DataFrame, group: str, linked: DataFrame | None) -> DataFrame:
+    """(group, id, block, others): the block of each row (group, id, parts) of its group's blocks, and
+    the blocks that it is to be compared with; rows without any are left out.
 
     ``linked`` has the hub (k) that a member is linked with. Those of one hub are connected by it, so
     they lie in blocks of their own and these are not compared with one another, but with all others:
     the copies of one text make a number of rows that grows with them, and not with its square.
     """
     if linked is None:
-        mine = rows.withColumns({"block": F.lit(0), "other": F.lit(0)})
-    else:
-        mine = rows.join(linked, [group, "id"], "left")
-        per = F.ceil(F.col("m") / F.col("parts"))
-        count = mine.groupBy(group).agg(F.first("parts").alias("parts"), F.count("*").alias("m"), *(F.count_if(F.col("k") == j).alias(f"c{j}") for j in range(HUBS)))
-        own = [F.when((F.col("parts") > 1) & (F.col(f"c{j}") * 2 >= per), F.col(f"c{j}")).otherwise(0) for j in range(HUBS)]
-        count = count.withColumn("sizes", F.array(*own)).withColumn("sizes", F.concat("sizes", F.array(F.col("m") - F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))))
-        count = count.withColumn("nb", F.transform("sizes", lambda x: F.ceil(x / per).cast("int")))
-        upto = lambda j: F.aggregate(F.slice("nb", 1, j), F.lit(0), lambda a, x: a + x) if j else F.lit(0)
-        count = count.select(group, "nb", F.array(*(upto(j) for j in range(HUBS + 1))).alias("off"), upto(HUBS + 1).alias("total"))
-        mine = mine.join(count, group)
-        slot = F.when(F.col("k").isNotNull() & (F.get("nb", F.col("k")) > 0), F.col("k")).otherwise(HUBS)
-        mine = mine.withColumn("slot", slot).withColumns({"from": F.get("off", F.col("slot")), "n_own": F.get("nb", F.col("slot"))})
-        others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: (F.col("slot") == HUBS) | (x < F.col("from")) | (x >= F.col("from") + F.col("n_own")))
-        mine = mine.withColumn("block", (F.col("from") + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int")).withColumn("other", F.explode(others)).drop("k", "nb", "off", "total", "slot", "from", "n_own")
-    pairs = mine.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+        return rows.select(group, "id", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others"))
+    mine = rows.join(linked.select(group, "id", "k"), [group, "id"], "left")
+    per = F.ceil(F.col("m") / F.col("parts"))
+    count = mine.groupBy(group).agg(F.first("parts").alias("parts"), F.count("*").alias("m"), *(F.count_if(F.col("k") == j).alias(f"c{j}") for j in range(HUBS)))
+    own = [F.when((F.col("parts") > 1) & (F.col(f"c{j}") * 2 >= per), F.col(f"c{j}")).otherwise(0) for j in range(HUBS)]
+    count = count.withColumn("sizes", F.array(*own)).withColumn("sizes", F.concat("sizes", F.array(F.col("m") - F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))))
+    count = count.withColumn("nb", F.transform("sizes", lambda x: F.ceil(x / per).cast("int")))
+    upto = lambda j: F.aggregate(F.slice("nb", 1, j), F.lit(0), lambda a, x: a + x) if j else F.lit(0)
+    count = count.select(group, "nb", F.array(*(upto(j) for j in range(HUBS + 1))).alias("off"), upto(HUBS + 1).alias("total"))
+    mine = mine.join(count, group)
+    slot = F.when(F.col("k").isNotNull() & (F.get("nb", F.col("k")) > 0), F.col("k")).otherwise(HUBS)
+    mine = mine.withColumn("slot", slot).withColumns({"from": F.get("off", F.col("slot")), "n_own": F.get("nb", F.col("slot"))})
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: (F.col("slot") == HUBS) | (x < F.col("from")) | (x >= F.col("from") + F.col("n_own")))
+    return mine.select(group, "id", (F.col("from") + F.pmod(F.xxhash64("id"), F.col("n_own"))).cast("int").alias("block"), others.alias("others")).where(F.size("others") > 0)
+
+
+def _pairs(rows: DataFrame, group: str, buckets: int) -> DataFrame:
+    """``rows`` (block, others, ...) once for each pair (p, q) of blocks that they are in, and the
+    bucket of pairs that go to one task."""
+    pairs = rows.withColumn("other", F.explode("others")).drop("others").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     return pairs.withColumn("bucket", F.pmod(F.xxhash64(group, "p", "q"), F.lit(buckets)))
 
 
@@ -271,15 +276,15 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buckets: int, least: int, first_least: int) -> DataFrame:
-    """Pairs (a, b) that span what is connected by pairs of members (node, id, size, n, sig) of one
-    node that agree in ``least`` places, and in ``first_least`` of the first quarter.
+def candidate_forest(leaf: DataFrame, sets: DataFrame, similarity: float, block_rows: int, buckets: int, least: int, first_least: int) -> DataFrame:
+    """Pairs (a, b) that span what is connected by pairs of members (node, id, size) of one node whose
+    sets (id, n, sig) agree in ``least`` places, and in ``first_least`` of the first quarter.
 
     Nodes of more than ``block_rows`` members are compared with a few of them first, and then block by
     block where these don't connect them already; nodes are dealt into ``buckets`` groups, so that
     small ones are compared many at once.
     """
-    schema = _pair_schema(members.schema["id"].dataType)
+    schema = _pair_schema(leaf.schema["id"].dataType)
     arrow = to_arrow_schema(schema)
     quarter, percent = PLACES // 4, round(100 * similarity)
 
@@ -355,7 +360,7 @@ def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buc
         i, j, _ = forest(found)
         return _named(names, i, j, arrow)
 
-    star_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", members.schema["id"].dataType), T.StructField("k", T.IntegerType()), T.StructField("hub", members.schema["id"].dataType)])
+    star_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("id", leaf.schema["id"].dataType), T.StructField("k", T.IntegerType()), T.StructField("hub", leaf.schema["id"].dataType)])
     star_arrow = to_arrow_schema(star_schema)
 
     def star(table: pa.Table) -> pa.Table:
@@ -376,12 +381,14 @@ def candidate_forest(members: DataFrame, similarity: float, block_rows: int, buc
         ids = table["id"].combine_chunks()
         return pa.Table.from_arrays([pa.array(node[i]), ids.take(pa.array(i)).cast(star_arrow.field(1).type), pa.array(k[j].astype(np.int32)), ids.take(pa.array(j)).cast(star_arrow.field(3).type)], schema=star_arrow)
 
-    sized = members.withColumn("parts", F.ceil(F.col("size") / block_rows).cast("int"))
+    sized = leaf.select("node", "id", F.ceil(F.col("size") / block_rows).cast("int").alias("parts"))
     linked = None
-    if not members.where(F.col("size") > block_rows).isEmpty():
-        dealt = _beside_hubs(sized, _hubs(sized, "node"), "node", buckets)
-        linked = util.materialize(dealt.select("bucket", "node", "block", "k", "id", "n", "sig").groupBy("bucket").applyInArrow(star, star_schema).dropDuplicates(["node", "id"]), "starred")
-    pairs = _blocks(sized, "node", None if linked is None else linked.drop("hub"), buckets)
+    if not leaf.where(F.col("size") > block_rows).isEmpty():
+        dealt = _beside_hubs(sized, "node").join(sets, "id").withColumn("block", F.explode("blocks"))
+        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("node", "block"), F.lit(buckets)))
+        linked = dealt.select("bucket", "node", "block", "k", "id", "n", "sig").groupBy("bucket").applyInArrow(star, star_schema)
+        linked = util.materialize(linked.dropDuplicates(["node", "id"]), "starred")
+    pairs = _pairs(_placed(sized, "node", linked).join(sets, "id"), "node", buckets)
     found = pairs.select("bucket", "node", "p", "q", "id", "n", "block", "sig").groupBy("bucket").applyInArrow(run, schema)
     return found if linked is None else found.unionByName(linked.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
@@ -439,19 +446,27 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
     id_type = groups.schema["id"].dataType
     sizes = util.materialize(groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "group_sizes")
     parts = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("total") * 8 / GROUP_BYTES)).cast("int")
-    wanted = util.materialize(groups.join(sizes.select("grp", parts.alias("parts")), "grp").select("id", "grp", "parts"), "wanted")
+    wanted = util.materialize(groups.join(sizes.select("grp", parts.alias("parts")), "grp").select("id", "grp", "parts").distinct(), "wanted")
     rows, large, total = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("m"), F.when(parts > 1, F.col("m")).otherwise(0), F.col("total") * 8))).first()
     if not rows:
         return None
     few = max(64, total // GROUP_BYTES, rows // 1024)
-    schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("id", id_type), T.StructField("s", T.BinaryType())])
-    arrow, out_schema = to_arrow_schema(schema), _pair_schema(id_type)
+    out_schema = _pair_schema(id_type)
     out_arrow, percent = to_arrow_schema(out_schema), round(100 * similarity)
 
-    def sets(batches):
-        for batch in batches:
-            s = [shingles.shingle_set(t.as_py() or "", width).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(f.type) for f in list(arrow)[:3]), pa.array(s, pa.binary())], schema=arrow)
+    def with_sets(places: DataFrame) -> DataFrame:
+        """``places`` (id, grp, ...) with s, the shingles of the texts of each id."""
+        columns = [c for c in places.columns]
+        schema = T.StructType([*(T.StructField(c, places.schema[c].dataType) for c in columns), T.StructField("s", T.BinaryType())])
+        arrow = to_arrow_schema(schema)
+
+        def sets(batches):
+            for batch in batches:
+                s = [shingles.shingle_set(t.as_py() or "", width).tobytes() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(f.type) for f in list(arrow)[:-1]), pa.array(s, pa.binary())], schema=arrow)
+
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        return texts.join(F.broadcast(places) if rows <= BROADCAST_IDS else places, "id").select(*columns, "text").mapInArrow(sets, schema)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grp", "ascending"), ("p", "ascending"), ("q", "ascending")])
@@ -499,15 +514,15 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
         ids = table["id"].combine_chunks()
         return pa.Table.from_arrays([pa.array(grp[i]), ids.take(pa.array(i)).cast(star_arrow.field(1).type), pa.array(k[j].astype(np.int32)), ids.take(pa.array(j)).cast(star_arrow.field(3).type)], schema=star_arrow)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted, "id")
-    with_sets = texts.select("grp", "parts", "id", "text").mapInArrow(sets, schema)
     linked = None
     if large:
-        dealt = _beside_hubs(with_sets, _hubs(wanted, "grp"), "grp", few)
-        linked = util.materialize(dealt.select("bucket", "grp", "block", "k", "id", "s").groupBy("bucket").applyInArrow(star, star_schema).dropDuplicates(["grp", "id"]), "starred-sets")
-    # an id that repeats is one member of its group, but each of its texts is compared
-    blocks = _blocks(with_sets, "grp", None if linked is None else linked.drop("hub"), few)
-    found = blocks.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
+        dealt = with_sets(_beside_hubs(wanted, "grp")).withColumn("block", F.explode("blocks")).withColumn("bucket", F.pmod(F.xxhash64("grp", "block"), F.lit(few)))
+        linked = dealt.select("bucket", "grp", "block", "k", "id", "s").groupBy("bucket").applyInArrow(star, star_schema)
+        # an id that repeats is one member of its group, but each of its texts is compared
+        linked = util.materialize(linked.dropDuplicates(["grp", "id"]), "starred-sets")
+    places = util.materialize(_placed(wanted, "grp", linked), "places")
+    pairs = _pairs(with_sets(places), "grp", few)
+    found = pairs.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
     return found if linked is None else found.unionByName(linked.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
 
@@ -529,7 +544,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     sets = util.materialize(own.join(least.withColumnRenamed("rep", "id"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "sig"), "representatives")
     leaf = leaves(sets, similarity, trees, leaf_rows, depth)
     buckets = max(8, leaf.count() // 8192)
-    forest = candidate_forest(leaf.join(sets, "id"), similarity, block_rows, buckets, least_places, least_quarter)
+    forest = candidate_forest(leaf, sets, similarity, block_rows, buckets, least_places, least_quarter)
     forest = util.materialize(forest.distinct(), "candidates")
     groups = util.materialize(clusters(forest, sets), "groups")
     for done in (leaf, sets):

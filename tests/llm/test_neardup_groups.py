@@ -56,11 +56,11 @@ def test_copies_of_one_text_make_rows_in_proportion(spark):
     n, parts = 20_000, 40
     rows = spark.range(n).select(F.lit(1).cast("long").alias("grp"), F.lit(parts).alias("parts"), "id")
     linked = rows.where("id % 100 != 0").select("grp", "id", F.lit(0).alias("k"))
-    assert neardup._blocks(rows, "grp", linked, 64).count() < 6 * n
-    everyone = rows.select("grp", "id", (F.col("id") % 2).cast("int").alias("k"))
-    pairs = neardup._blocks(rows, "grp", everyone, 64)
+    made = lambda found: neardup._pairs(neardup._placed(rows, "grp", found), "grp", 64)
+    assert made(linked).count() < 6 * n
+    pairs = made(rows.select("grp", "id", (F.col("id") % 2).cast("int").alias("k")))
     # two hubs that no link joins: the one's blocks meet the other's, none its own
     assert pairs.where("p = q").count() == 0 and pairs.count() == n * parts / 2
-    hubs = neardup._hubs(rows, "grp")
-    assert hubs.count() == neardup.HUBS
-    assert neardup._beside_hubs(rows, hubs, "grp", 64).count() == n + neardup.HUBS * parts
+    assert made(rows.select("grp", "id", F.lit(2).alias("k"))).count() == 0
+    dealt = neardup._beside_hubs(rows, "grp")
+    assert dealt.select(F.sum(F.size("blocks"))).first()[0] == n + neardup.HUBS * parts
