@@ -473,7 +473,7 @@ def test_suffix_tree_grows_with_the_input(spark):
 def test_queries_have_their_columns(spark):
     from parcelgraph.llm import queries
 
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     out = queries.QUERIES["op2_chat_format"](spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     said = "</s>[INST] ok [/INST]"
     assert out.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest() and out.loss_chars == len(said)
