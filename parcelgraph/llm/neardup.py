@@ -454,8 +454,8 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
     out_schema = _pair_schema(id_type)
     out_arrow, percent = to_arrow_schema(out_schema), round(100 * similarity)
 
-    def with_sets(places: DataFrame) -> DataFrame:
-        """``places`` (id, grp, ...) with s, the shingles of the texts of each id."""
+    def with_sets(places: DataFrame, n: int) -> DataFrame:
+        """``places`` (id, grp, ...), about ``n`` of them, with s, the shingles of each id's texts."""
         columns = [c for c in places.columns]
         schema = T.StructType([*(T.StructField(c, places.schema[c].dataType) for c in columns), T.StructField("s", T.BinaryType())])
         arrow = to_arrow_schema(schema)
@@ -466,7 +466,7 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(f.type) for f in list(arrow)[:-1]), pa.array(s, pa.binary())], schema=arrow)
 
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        return texts.join(F.broadcast(places) if rows <= BROADCAST_IDS else places, "id").select(*columns, "text").mapInArrow(sets, schema)
+        return texts.join(F.broadcast(places) if n <= BROADCAST_IDS else places, "id").select(*columns, "text").mapInArrow(sets, schema)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grp", "ascending"), ("p", "ascending"), ("q", "ascending")])
@@ -516,12 +516,12 @@ def links(groups: DataFrame, docs: DataFrame, similarity: float, width: int, blo
 
     linked = None
     if large:
-        dealt = with_sets(_beside_hubs(wanted, "grp")).withColumn("block", F.explode("blocks")).withColumn("bucket", F.pmod(F.xxhash64("grp", "block"), F.lit(few)))
+        dealt = with_sets(_beside_hubs(wanted, "grp"), large).withColumn("block", F.explode("blocks")).withColumn("bucket", F.pmod(F.xxhash64("grp", "block"), F.lit(few)))
         linked = dealt.select("bucket", "grp", "block", "k", "id", "s").groupBy("bucket").applyInArrow(star, star_schema)
         # an id that repeats is one member of its group, but each of its texts is compared
         linked = util.materialize(linked.dropDuplicates(["grp", "id"]), "starred-sets")
     places = util.materialize(_placed(wanted, "grp", linked), "places")
-    pairs = _pairs(with_sets(places), "grp", few)
+    pairs = _pairs(with_sets(places, places.count()), "grp", few)
     found = pairs.select("bucket", "grp", "p", "q", "block", "id", "s").groupBy("bucket").applyInArrow(compare, out_schema)
     return found if linked is None else found.unionByName(linked.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
