@@ -345,20 +345,27 @@ def fit_level(partial: DataFrame, shorter: DataFrame, order: int, parts: int, le
     return found.groupBy("part").applyInArrow(fit, _PACKED)
 
 
-def frequent(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Run, value and count (0: no word) of the packed runs that occur ``least`` times."""
+def frequent_rows(table: DataFrame, least: int) -> DataFrame:
+    """The packed runs that occur ``least`` times, one row a task that has any: a table has a row for
+    each two parts, whose number grows with the square of its parts."""
 
     def run(batches):
+        held = []
         for batch in batches:
-            rows = []
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 g, v, p, c = unpack([blob.as_buffer()], _RUNS)
                 many = c >= least
-                rows.append((0, kind, pack(g[many], v[many], p[many], c[many] if kind == WORD else c[many] * np.uint64(0))))
-            yield _batch(rows)
+                if many.any():
+                    held.append((g[many], v[many], p[many], c[many] if kind == WORD else c[many] * np.uint64(0)))
+        if held:
+            yield _batch([(0, SEEN, pack(*map(np.concatenate, zip(*held, strict=True))))])
 
-    rows = table.select("kind", "data").mapInArrow(run, _PACKED).select("data").toLocalIterator()
-    g, v, _, c = unpack([r.data for r in rows], _RUNS)
+    return table.select("kind", "data").mapInArrow(run, _PACKED).select("data")
+
+
+def frequent(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Run, value and count (0: no word) of the packed runs that occur ``least`` times."""
+    g, v, _, c = unpack([r.data for r in frequent_rows(table, least).toLocalIterator()], _RUNS)
     g, first, (v, c) = _summed(g, v.astype(float), c)
     return g, v, c
 
