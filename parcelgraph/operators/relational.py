@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from parcelgraph.functions.text import trigram_similarity
+from parcelgraph.sources.shared import shared_dir, write
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -92,12 +94,21 @@ def strongest_edges(edges: DataFrame) -> DataFrame:
 def best_jaccard(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """For each left set the right set of greatest Jaccard similarity, ``least`` at least.
 
-    left, right: id, bbl (one row an element). Only sets that share an element meet.
+    left, right: id, bbl (one row an element). Only sets that share an element meet: each left set is
+    sent the lists of the right sets that have its elements, and counts them where it is; of the counts
+    only those leave that could be enough for the left set's size.
     """
-    a, b = left.distinct(), right.distinct()
-    sizes_a, sizes_b = a.groupBy("id").agg(F.count("*").alias("na")), b.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("nb"))
-    shared = a.join(b.select(F.col("id").alias("other"), "bbl"), "bbl").groupBy("id", "other").agg(F.count("*").alias("shared"))
-    scored = shared.join(sizes_a, "id").join(sizes_b, "other").withColumn("score", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
+    spark = left.sparkSession
+    sides = left.select("id", "bbl", F.lit(True).alias("is_left")).unionByName(right.select("id", "bbl", F.lit(False).alias("is_left")))
+    held = lambda side: F.collect_set(F.when(side, F.col("id")))
+    lists = sides.groupBy("bbl").agg(held(F.col("is_left")).alias("ids"), held(~F.col("is_left")).alias("others"))
+    lists = write(lists, f"{shared_dir(spark)}/elements-{uuid.uuid4().hex}")
+    sizes_a = lists.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("na"))
+    sizes_b = lists.select(F.explode("others").alias("other")).groupBy("other").agg(F.count("*").alias("nb"))
+    sent = lists.where("bbl is not null and size(others) > 0").select(F.explode("ids").alias("id"), "others").repartition("id")
+    shared = sent.select("id", F.explode("others").alias("other")).groupBy("id", "other").agg(F.count("*").alias("shared"))
+    shared = shared.join(sizes_a, "id").where(F.col("shared") / F.col("na") >= least)
+    scored = shared.join(sizes_b, "other").withColumn("score", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
     return scored.where(F.col("score") >= least).groupBy("id").agg(F.min_by(F.struct("other", "shared"), F.struct(-F.col("score"), "other")).alias("m")).select("id", F.col("m.other").alias("other"), F.col("m.shared").alias("shared"))
 
 
