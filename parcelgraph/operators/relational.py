@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from parcelgraph.functions.text import trigram_similarity
 from parcelgraph.sources.shared import shared_dir, write
 
+#: Nodes of a class that are paired with as many others in one row.
+CHUNK = 1024
+
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order``."""
@@ -62,20 +65,39 @@ def busy_addresses(contacts: DataFrame, least: int = 50) -> DataFrame:
     return contacts.groupBy("house", "street", "zip").agg(F.sum("contacts").alias("contacts")).where(F.col("contacts") >= least)
 
 
+def node_classes(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., ids): nodes that agree in all of ``by``, in rows of up to :data:`CHUNK` of them."""
+    ids = nodes.groupBy(*by).agg(F.collect_list("nodeid").alias("ids"))
+    cuts = F.sequence(F.lit(1), F.size("ids"), F.lit(CHUNK))
+    return ids.select(*by, F.explode(F.transform(cuts, lambda at: F.slice("ids", at, F.lit(CHUNK)))).alias("ids"))
+
+
+def _pairs_of_classes(found: DataFrame) -> DataFrame:
+    """(src, dst, weight), src < dst, of linked classes (ids, ids2, weight) in both directions.
+
+    The rows that stand for many pairs are few, so they are dealt to a number of tasks that Spark
+    doesn't reduce by their size.
+    """
+    tasks = 4 * found.sparkSession.sparkContext.defaultParallelism
+    dealt = found.repartition(tasks, "ids", "ids2")
+    return dealt.select("weight", "ids2", F.explode("ids").alias("src")).select("src", F.explode("ids2").alias("dst"), "weight").where("src < dst")
+
+
 def name_edges(nodes: DataFrame, busy: DataFrame, high: float = 0.9, with_apartment: float = 0.8) -> DataFrame:
     """(src, dst, weight), src < dst, of nodes with one name and zip and similar streets.
 
     nodes: nodeid, name_norm, house, street_name, street, apt, zip. Busy addresses are removed
     before the join, so no address of an agent makes a hub; the rest is an equi-join on (name, zip)
-    with the similarity as residual.
+    of classes of equal nodes, with the similarity as residual: it is computed once for two classes,
+    whose members then make the pairs.
     """
     keep = nodes.where("name_norm != ''").join(busy.select("house", F.col("street").alias("street_name"), "zip"), ["house", "street_name", "zip"], "left_anti")
-    keep = keep.select("nodeid", "name_norm", "street", "apt", "zip")
-    other = keep.select(F.col("nodeid").alias("dst"), "name_norm", "zip", F.col("street").alias("street2"), F.col("apt").alias("apt2"))
-    near = keep.join(other, ["name_norm", "zip"]).where("nodeid < dst").withColumn("similarity", trigram_similarity(F.col("street"), F.col("street2")))
+    keep = node_classes(keep, ["name_norm", "street", "apt", "zip"])
+    other = keep.select(F.col("ids").alias("ids2"), "name_norm", "zip", F.col("street").alias("street2"), F.col("apt").alias("apt2"))
+    near = keep.join(other, ["name_norm", "zip"]).withColumn("similarity", trigram_similarity(F.col("street"), F.col("street2")))
     apartment = F.coalesce(F.col("apt") == F.col("apt2"), F.lit(False))
     near = near.where((F.col("similarity") > high) | ((F.col("similarity") > with_apartment) & apartment))
-    return near.select(F.col("nodeid").alias("src"), "dst", (1 + F.col("similarity") + F.when(apartment, 0.5).otherwise(0.0)).alias("weight"))
+    return _pairs_of_classes(near.select("ids", "ids2", (1 + F.col("similarity") + F.when(apartment, 0.5).otherwise(0.0)).alias("weight")))
 
 
 def address_edges(nodes: DataFrame, busy: DataFrame) -> DataFrame:
