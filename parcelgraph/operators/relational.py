@@ -102,10 +102,11 @@ def name_edges(nodes: DataFrame, busy: DataFrame, high: float = 0.9, with_apartm
 
 def address_edges(nodes: DataFrame, busy: DataFrame) -> DataFrame:
     """(src, dst, weight), src < dst, of nodes at one street and zip whose apartments agree."""
-    keep = nodes.join(busy.select("house", F.col("street").alias("street_name"), "zip"), ["house", "street_name", "zip"], "left_anti").select("nodeid", "name", "street", "apt", "zip")
-    other = keep.select(F.col("nodeid").alias("dst"), F.col("name").alias("name2"), "street", F.col("apt").alias("apt2"), "zip")
-    near = keep.join(other, ["street", "zip"]).where("nodeid < dst").where("apt = apt2 or apt = '' or apt2 = ''")
-    return near.select(F.col("nodeid").alias("src"), "dst", (2 + F.coalesce(trigram_similarity(F.col("name"), F.col("name2")), F.lit(0.0))).alias("weight"))
+    keep = nodes.join(busy.select("house", F.col("street").alias("street_name"), "zip"), ["house", "street_name", "zip"], "left_anti")
+    keep = node_classes(keep, ["name", "street", "apt", "zip"])
+    other = keep.select(F.col("ids").alias("ids2"), F.col("name").alias("name2"), "street", F.col("apt").alias("apt2"), "zip")
+    near = keep.join(other, ["street", "zip"]).where("apt = apt2 or apt = '' or apt2 = ''")
+    return _pairs_of_classes(near.select("ids", "ids2", (2 + F.coalesce(trigram_similarity(F.col("name"), F.col("name2")), F.lit(0.0))).alias("weight")))
 
 
 def strongest_edges(edges: DataFrame) -> DataFrame:
