@@ -6,7 +6,8 @@ child for each chosen place, named by the place and the document's value there.
 ``1 / similarity`` places are chosen, so a pair at the threshold stays together along one path at
 every level in expectation, and dissimilar documents part quickly. Nodes of a few documents are
 compared exhaustively; larger ones branch further, up to a depth at which what is left together are
-groups of copies, which are compared in blocks. Independent trees are repeated until the chance of
+groups of copies, which are compared in blocks. A node whose members are copies of one another
+does not part by branching, so it is compared at once. Independent trees are repeated until the chance of
 missing a pair, that of the signatures' estimates included, is below ``1 - recall``.
 
 Equal sets are one node from the start. Comparing a node's signatures yields candidates, of which
@@ -37,6 +38,9 @@ from . import shingles, util
 PLACES = 128
 #: Members of a group of several blocks that all others are compared with first.
 HUBS = 4
+#: Members of a node agree in this share of the similarity, at least, where it is compared without
+#: branching: three more levels would leave (2 / 3) ** 3 of its pairs, at least.
+DENSE = 2 / 3
 #: Ids up to which the documents of clusters are looked up by a broadcast; beyond it by a shuffle.
 BROADCAST_IDS = 200_000
 #: Pairs that a task gathers before it thins them out.
@@ -146,11 +150,41 @@ def _branch(rows: DataFrame, similarity: float, trees: int | None) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _dense(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The nodes, of rows (node, id), whose members agree with the node's hubs in the share ``least`` of the
+    first places, on average. Of a node's pairs a level of branching leaves the share of places in which
+    they agree, over the similarity: those of such a node stay together, with a row for each child."""
+    places = PLACES // 4
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("same", T.LongType()), T.StructField("of", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, hubs = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, places) for x in (batch.column("s"), batch.column("hubs").flatten()))
+            owner = np.repeat(np.arange(len(own)), batch.column("hubs").value_lengths().to_numpy())
+            nodes, at = np.unique(batch.column("node").to_numpy()[owner], return_inverse=True)
+            same = np.bincount(at, (own[owner] == hubs).sum(1), len(nodes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(same), pa.array(places * np.bincount(at, minlength=len(nodes)))], schema=arrow)
+
+    first = sets.select("id", F.substring("sig", 1, 4 * places).alias("s"))
+    hubs = _hubs(large.select("node", "id", F.lit(2).alias("parts")), "node").join(first, "id").groupBy("node").agg(F.collect_list("s").alias("hubs"))
+    # written, so that the join can be split at a node that holds many documents
+    hubs = util.materialize(hubs, "node_hubs")
+    counts = large.select("node", "id").join(first, "id").join(hubs, "node").select("node", "s", "hubs").mapInArrow(run, schema)
+    sums = counts.groupBy("node").agg(F.sum("same").alias("same"), F.sum("of").alias("of"))
+    found = util.materialize(sums.where(F.col("same") >= least * F.col("of")).select("node"), "dense")
+    util.drop_table(hubs)
+    return found
+
+
 def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth: int) -> DataFrame:
     """(node, id, size) for all leaves with two documents at least, as a written table.
 
     sets: id, sig. Children are counted after each level; those of up to ``leaf_rows`` documents are
-    leaves, and so are all at ``depth``. Counts are written before they are joined, so that both
+    leaves, those of copies of one another (see _dense), and all at ``depth``. A node that is a leaf earlier
+    loses no pair. Counts are written before they are joined, so that both
     sides of the join are exchanges and Spark can split a node that holds many documents.
     """
     done, level, written = None, _branch(sets.select("id", "sig"), similarity, trees), []
@@ -163,9 +197,15 @@ def leaves(sets: DataFrame, similarity: float, trees: int, leaf_rows: int, depth
         leaf = leaf.select("node", "id", "size")
         done = leaf if done is None else done.unionByName(leaf)
         if k < depth:
-            large = held.where(F.col("size") > leaf_rows).drop("size")
+            # few rows, read several times
+            large = util.materialize(held.where(F.col("size") > leaf_rows).select("node", "id", "tree", "size"), f"large{k}")
+            written.append(large)
             if large.isEmpty():
                 break
+            dense = _dense(large, sets, DENSE * similarity)
+            written.append(dense)
+            done = done.unionByName(large.join(dense, "node", "left_semi").select("node", "id", "size"))
+            large = large.join(dense, "node", "left_anti").drop("size")
             level = _branch(large.join(sets.select("id", "sig"), "id"), similarity, None)
     made = util.materialize(done, "leaves")
     for table in written:
@@ -246,7 +286,7 @@ def _placed(rows: DataFrame, group: str, linked: DataFrame | None) -> DataFrame:
     """
     if linked is None:
         return rows.select(group, "id", F.lit(0).alias("block"), F.array(F.lit(0)).alias("others"))
-    mine = rows.join(linked.select(group, "id", "k"), [group, "id"], "left")
+    mine = util.materialize(rows.join(linked.select(group, "id", "k"), [group, "id"], "left"), "members")
     per = F.ceil(F.col("m") / F.col("parts"))
     count = mine.groupBy(group).agg(F.first("parts").alias("parts"), F.count("*").alias("m"), *(F.count_if(F.col("k") == j).alias(f"c{j}") for j in range(HUBS)))
     own = [F.when((F.col("parts") > 1) & (F.col(f"c{j}") * 2 >= per), F.col(f"c{j}")).otherwise(0) for j in range(HUBS)]

@@ -64,3 +64,17 @@ def test_copies_of_one_text_make_rows_in_proportion(spark):
     assert made(rows.select("grp", "id", F.lit(2).alias("k"))).count() == 0
     dealt = neardup._beside_hubs(rows, "grp")
     assert dealt.select(F.sum(F.size("blocks"))).first()[0] == n + neardup.HUBS * parts
+
+
+def test_members_of_large_groups_do_not_branch(spark):
+    """Pipeline's item of round 3: near copies branched at all levels, about 110 rows a member; as a leaf
+    of the first level each has one row for each tree and place."""
+    draw = random.Random(8)
+    pool = [f"w{k}" for k in range(3000)]
+    text = draw.choices(pool, k=200)
+    copy = lambda: " ".join(draw.choice(pool) if draw.random() < 0.02 else w for w in text)
+    rows = [(k, copy()) for k in range(400)] + [(1000 + k, " ".join(draw.choices(pool, k=60))) for k in range(40)]
+    sets = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 5, 5, "doc_id", "text").select("id", "n", "sig").cache()
+    found = neardup.leaves(sets, 0.75, 16, 24, 4)
+    first = neardup._branch(sets, 0.75, 16).where("id < 1000").count()
+    assert found.where("id < 1000").count() <= 1.05 * first
