@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,7 +50,7 @@ GROUP_BYTES = 8 << 20
 
 
 def signatures(docs: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (size of the set), fp (16 bytes that name the set) and sig (minwise values)."""
+    """id, n (size of the set), fp (16 bytes that name the set) and sig (minwise values, see _planes)."""
     schema = T.StructType([util.field(docs, id_col, "id"), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -62,12 +62,30 @@ def signatures(docs: DataFrame, width: int, seed: int, id_col: str, text_col: st
                 found = shingles.shingle_set(text.as_py() or "", width)
                 n.append(len(found))
                 fp.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sig.append(shingles.minhash(found, draws).tobytes())
+                sig.append(_planes(shingles.minhash(found, draws)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], schema=arrow)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Minwise values as planes of equal bytes, the lowest first: what compares members needs that plane alone."""
+    return values.view(np.uint8).reshape(PLACES, 4).T.tobytes()
+
+
+def _values(sigs: list[bytes]) -> np.ndarray:
+    """The minwise values of signatures, a row each."""
+    planes = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 4, PLACES)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32).reshape(-1, PLACES)
+
+
+def _brief(places: int = PLACES) -> Column:
+    """The lowest bytes of the first minwise values. Equal values have equal bytes, so a pair agrees in as
+    many places as before, or in a few more (one in 256 of the others); what that adds are candidates,
+    which are decided by their full sets."""
+    return F.substring("sig", 1, places)
+
+
 def chosen_places(path: int, similarity: float) -> list[int]:
     """The signature places that the node with this path branches by: 1 / similarity on average."""
     h = xxhash.xxh3_64_intdigest(path.to_bytes(8, "little"), seed=11)
@@ -131,7 +149,7 @@ def _branch(rows: DataFrame, similarity: float, trees: int | None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES)
+            values = _values(batch.column("sig").to_pylist())
             if trees is not None:
                 parents = [(t, t + 1, np.arange(len(values))) for t in range(trees)]
             else:
@@ -162,13 +180,13 @@ def _dense(large: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, hubs = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, places) for x in (batch.column("s"), batch.column("hubs").flatten()))
+            own, hubs = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, places) for x in (batch.column("s"), batch.column("hubs").flatten()))
             owner = np.repeat(np.arange(len(own)), batch.column("hubs").value_lengths().to_numpy())
             nodes, at = np.unique(batch.column("node").to_numpy()[owner], return_inverse=True)
             same = np.bincount(at, (own[owner] == hubs).sum(1), len(nodes)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(same), pa.array(places * np.bincount(at, minlength=len(nodes)))], schema=arrow)
 
-    first = sets.select("id", F.substring("sig", 1, 4 * places).alias("s"))
+    first = sets.select("id", _brief(places).alias("s"))
     hubs = _hubs(large.select("node", "id", F.lit(2).alias("parts")), "node").join(first, "id").groupBy("node").agg(F.collect_list("s").alias("hubs"))
     # written, so that the join can be split at a node that holds many documents
     hubs = util.materialize(hubs, "node_hubs")
@@ -366,7 +384,7 @@ def candidate_forest(leaf: DataFrame, sets: DataFrame, similarity: float, block_
         table = table.sort_by([("node", "ascending"), ("p", "ascending"), ("q", "ascending"), ("id", "ascending")])
         ids = table["id"].combine_chunks()
         node, p, q, n, block = (table[c].to_numpy() for c in ("node", "p", "q", "n", "block"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
         starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
         sizes = np.diff(np.r_[starts, len(node)])
         few = (sizes <= 32) & (p[starts] == q[starts])
@@ -408,7 +426,7 @@ def candidate_forest(leaf: DataFrame, sets: DataFrame, similarity: float, block_
         table = table.sort_by([("node", "ascending"), ("block", "ascending"), ("k", "ascending")])
         node, block, n = (table[c].to_numpy() for c in ("node", "block", "n"))
         k = table["k"].fill_null(-1).to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, PLACES)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
         starts = np.flatnonzero(np.r_[True, (np.diff(node) != 0) | (np.diff(block) != 0)])
         found = []
         for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
@@ -421,6 +439,7 @@ def candidate_forest(leaf: DataFrame, sets: DataFrame, similarity: float, block_
         ids = table["id"].combine_chunks()
         return pa.Table.from_arrays([pa.array(node[i]), ids.take(pa.array(i)).cast(star_arrow.field(1).type), pa.array(k[j].astype(np.int32)), ids.take(pa.array(j)).cast(star_arrow.field(3).type)], schema=star_arrow)
 
+    sets = sets.select("id", "n", _brief().alias("sig"))
     sized = leaf.select("node", "id", F.ceil(F.col("size") / block_rows).cast("int").alias("parts"))
     linked = None
     if not leaf.where(F.col("size") > block_rows).isEmpty():
@@ -579,9 +598,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, width: int = 5, r
     trees, least_places, least_quarter = calibrate(similarity, recall, depth)
     table = util.materialize(signatures(docs, width, seed, id_col, text_col), "signatures")
     own = table.where("id is not null and n > 0")
-    # the first id of each set; written, so that joins with it can be split where a set is common
-    least = util.materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "first_ids")
-    sets = util.materialize(own.join(least.withColumnRenamed("rep", "id"), ["fp", "id"]).dropDuplicates(["fp"]).select("id", "n", "sig"), "representatives")
+    # the first id of each set with its signature, which moves once; copies meet before they do
+    first = own.groupBy("fp").agg(F.min(F.struct("id", "n", "sig")).alias("first"))
+    sets = util.materialize(first.select("fp", "first.*"), "representatives")
+    # written, so that joins with it can be split where a set is common
+    least = util.materialize(sets.select("fp", F.col("id").alias("rep")), "first_ids")
+    # the signatures of all rows are of no more use
+    whole, table = table, util.materialize(table.select("id", "n", "fp"), "shingled")
+    own = table.where("id is not null and n > 0")
+    util.drop_table(whole)
     leaf = leaves(sets, similarity, trees, leaf_rows, depth)
     buckets = max(8, leaf.count() // 8192)
     forest = candidate_forest(leaf, sets, similarity, block_rows, buckets, least_places, least_quarter)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parcelgraph.llm import neardup
@@ -78,3 +79,18 @@ def test_members_of_large_groups_do_not_branch(spark):
     found = neardup.leaves(sets, 0.75, 16, 24, 4)
     first = neardup._branch(sets, 0.75, 16).where("id < 1000").count()
     assert found.where("id < 1000").count() <= 1.05 * first
+
+
+def test_members_are_compared_by_a_byte_of_each_place(spark):
+    """Items of round 3 for op8 and the pipeline: comparing needs the lowest plane of a signature, and whole
+    ones, four times as long, were sent to every pair of blocks."""
+    draw = np.random.default_rng(3)
+    whole = draw.integers(0, 1 << 32, (3, neardup.PLACES), np.uint32)
+    whole[1, ::4], whole[1, 1::4], whole[1, 2::4] = whole[0, ::4], whole[0, 1::4], whole[0, 2::4]
+    packed = [neardup._planes(x) for x in whole]
+    assert (neardup._values(packed) == whole).all()
+    sets = spark.createDataFrame([(k, 40, bytearray(x[: neardup.PLACES])) for k, x in enumerate(packed)], "id long, n long, sig binary")
+    leaf = spark.createDataFrame([(7, k, 3) for k in range(3)], "node long, id long, size long")
+    for block_rows in (512, 1):
+        found = neardup.candidate_forest(leaf, sets, 0.75, block_rows, 8, 75, 13).collect()
+        assert {tuple(sorted(r)) for r in found} == {(0, 1)}
