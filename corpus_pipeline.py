@@ -37,8 +37,10 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     of ``documents`` are dropped.
     """
     groups = neardup.near_duplicates(docs, similarity=0.75, width=5)
-    dropped = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    dropped = util.materialize(groups.where("doc_id is not null and not kept").select("doc_id").distinct(), "dropped")
+    # few ids are sent to the texts, so that these stay where they are
+    few = dropped.count() <= neardup.BROADCAST_IDS
+    kept = docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
         once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
