@@ -494,3 +494,43 @@ def test_suffix_tree_sends_a_row_a_task_to_the_driver(spark):
     # words have counts, other runs none
     assert dict(zip(g.tolist(), c.tolist(), strict=True)) == {2 * k + 1: 100 * (k % 2) for k in range(0, parts * parts, 75)} and set(v.tolist()) == {0.5}
     assert [len(x) for x in suffix_tree.frequent(table, 1000)] == [0, 0, 0]
+
+
+def test_suffix_tree_reads_texts_eight_times(spark):
+    """Each reading hashes all words again, which took most of the CPU seconds when there were ten."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(k, "one two three " * k) for k in range(40)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert suffix_tree.score_texts(docs, F.lit(True)).count() == 40
+    assert 0 < read.value <= 8 * 40
+
+
+def test_suffix_tree_sorts_and_finds_hashes():
+    rng = np.random.default_rng(5)
+    far = rng.integers(0, 1 << 64, 6000, np.uint64)
+    two = np.array([1 << 63, (1 << 63) + 1, 0, (1 << 64) - 1], np.uint64)  # neighbours that lead alike, over the whole range
+    for x in (far, np.r_[far, far + np.uint64(1), far], np.repeat(two[:1], 5000), two[rng.integers(0, 4, 9000)], far[:5], far[:0]):
+        order, out = suffix_tree._sorted(x)
+        assert np.array_equal(out, np.sort(x)) and np.array_equal(x[order], out) and np.array_equal(np.sort(order), np.arange(len(x)))
+        known, wanted = np.unique(x), np.r_[x, far + np.uint64(2), two]
+        for at, hit in (suffix_tree._found_by_range(suffix_tree._ranged(known), wanted), suffix_tree._found(known, wanted)):
+            assert np.array_equal(hit, np.isin(wanted, known)) and np.array_equal(known[at[hit]], wanted[hit])
+    for row in (np.array([5, 5, 0, 9], np.uint32), np.array([1 << 30, 3], np.uint32), np.zeros(0, np.uint32)):
+        for x, y in zip(suffix_tree._numbered(row), np.unique(row, return_inverse=True), strict=True):
+            assert np.array_equal(x, y)
+
+
+def test_suffix_tree_slices_hold_each_part_once():
+    h = np.r_[np.random.default_rng(6).integers(0, 1 << 64, 5000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]
+    for parts, slices in ((8, 3), (37, 2), (1000, 3), (9, 1)):
+        part = suffix_tree.part_of(h, parts)
+        assert np.array_equal(part, np.searchsorted(suffix_tree.starts(parts), h, "right") - 1)
+        for k in range(slices):
+            first, after = suffix_tree.part_slice(k, slices, parts)
+            assert np.array_equal(suffix_tree._within(h, first, after, parts), (part >= first) & (part < after)) and suffix_tree.part_slice(k + 1, slices, parts)[0] == after
+        assert suffix_tree.part_slice(0, slices, parts)[0] == 0 and after == parts
