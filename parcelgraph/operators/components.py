@@ -19,6 +19,8 @@ from parcelgraph.sources.shared import delete, shared_dir, write
 
 #: Edges that a task contracts at once.
 HELD_EDGES = 1 << 20
+#: Contracted edges up to which one task finishes the components.
+LAST_EDGES = 1 << 22
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -52,9 +54,10 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             root = root[root]
 
 
-def _contract(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) of integers, those that a task holds replaced by an edge of each node to the smallest
-    one that it reaches by them."""
+def _contract(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges (u, v) of integers, those that a task holds (of each ``most``, if it has more) replaced by an
+    edge of each node to the smallest one that it reaches by them."""
+    most = HELD_EDGES if most is None else most
 
     def run(batches):
         def stars(held):
@@ -69,7 +72,7 @@ def _contract(edges: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= HELD_EDGES:
+            if n >= most:
                 yield stars(held)
                 held, n = [], 0
         if n:
@@ -84,7 +87,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges are undirected; repeated ones, loops and edges with a null end are of no effect, but a
     loop's node is a component of its own. Nodes need an order (integers, strings, ...). With
     ``contract``, for which they have to be integers, each task contracts the edges that it reads before
-    the first round, which saves rounds.
+    the first round, which saves rounds, and one task does the rest once ``LAST_EDGES`` are left.
     """
     spark = edges.sparkSession
     base = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
@@ -96,6 +99,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     # contracted edges may be stars from the start
     before = state_of(at) if contract else None
     for k in range(1, max_rounds + 1):
+        if contract and before[0] <= LAST_EDGES:
+            at = write(_contract(at.coalesce(1), LAST_EDGES + 1), f"{base}/{k}")
+            delete(spark, f"{base}/{k - 1}")
+            break
         at = write(_small_star(_large_star(at)), f"{base}/{k}")
         state = state_of(at)
         if k > 1:
